@@ -5,17 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from figmill.llm.packing import pack
+from figmill.llm.quality_forest import BASE, quality
 from figmill.llm.sharding import shard
+from figmill.llm.url_filter import judge
+
+#: The url rules (host, path, verdict) and the listed hosts, under each of three top-level domains.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+LISTED_HOSTS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_DOMAINS = ["example.com", "example.net", "example.org"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_sharding": op1_sharding}
-ORACLES: dict[str, str] = {}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame([(f"{h}.{d}", "") for h in LISTED_HOSTS for d in LISTED_DOMAINS], "host string, path string")
+    return judge(table(spark, sf_dir, "pages"), rules, listed)
+
+
+OP2_SQL = f"""
+WITH u AS (SELECT page_id, url, row_number() OVER () AS k,
+             CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rh, rp, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+f AS (SELECT k, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v FROM p JOIN r
+      ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k),
+l AS (SELECT DISTINCT k FROM p JOIN (SELECT h || '.' || d AS lh FROM (VALUES {", ".join(f"('{h}')" for h in LISTED_HOSTS)}) a(h), (VALUES {", ".join(f"('{d}')" for d in LISTED_DOMAINS)}) b(d))
+      ON host = lh OR ends_with(host, '.' || lh))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN l.k IS NULL THEN 'allow' ELSE 'block' END) AS verdict, l.k IS NOT NULL AS listed
+FROM p LEFT JOIN f ON p.k = f.k LEFT JOIN l ON p.k = l.k
+"""
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *BASE, "base_failed", "kept", "anomaly")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_url_filter": op2_url_filter, "op4_quality_rules": op4_quality_rules, "op5_packing": op5_packing}
+ORACLES = {"op2_url_filter": OP2_SQL}
