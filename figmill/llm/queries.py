@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import mixing, toxicity
+from figmill.llm import mixing, setsketch, toxicity
 from figmill.llm.packing import pack
 from figmill.llm.quality_forest import BASE, quality
 from figmill.llm.sharding import shard
@@ -62,6 +62,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,5 +76,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_quality_rules, op5_packing, op7_toxicity, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing)}
 ORACLES = {"op2_url_filter": OP2_SQL}
