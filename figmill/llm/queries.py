@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import mixing, setsketch, toxicity
+from figmill.llm import license_scan, mixing, setsketch, toxicity
 from figmill.llm.packing import pack
 from figmill.llm.quality_forest import BASE, quality
 from figmill.llm.sharding import shard
@@ -53,6 +53,22 @@ FROM p LEFT JOIN f ON p.k = f.k LEFT JOIN l ON p.k = l.k
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+_WORDS = "list_filter(string_split(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_GRAMS = "CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END"
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, text FROM documents),
+t AS (SELECT name, list_distinct({_GRAMS}) AS tg FROM (SELECT name, {_WORDS.format("body")} AS w FROM (VALUES {", ".join("('" + n + "', '" + b + "')" for n, b in sorted(license_scan.TEMPLATES.items()))}) v(name, body))),
+l AS (SELECT k, row_number() OVER () AS line, {_GRAMS} AS g FROM (SELECT k, {_WORDS.format("x")} AS w FROM (SELECT k, unnest(string_split(text, chr(10))) AS x FROM d)) WHERE len(w) BETWEEN 1 AND 40),
+s AS (SELECT k, line, name, round(2.0 * len(list_intersect(tg, g)) / (len(g) + len(tg)), 6) AS dice FROM l JOIN t ON list_has_any(tg, g)),
+h AS (SELECT k, count(DISTINCT line) AS n, max(dice) AS dice, min(name) FILTER (WHERE r = 1) AS name FROM (SELECT *, rank() OVER (PARTITION BY k ORDER BY dice DESC) AS r FROM s WHERE dice >= {license_scan.THRESHOLD}) GROUP BY k)
+SELECT doc_id, coalesce(n, 0) AS n_hits, name AS license, dice FROM d LEFT JOIN h USING (k)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *BASE, "base_failed", "kept", "anomaly")
@@ -76,5 +92,5 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing)}
-ORACLES = {"op2_url_filter": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_license_scan, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing)}
+ORACLES = {"op2_url_filter": OP2_SQL, "op3_license_scan": OP3_SQL}
