@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import license_scan, mixing, setsketch, toxicity
+from figmill.llm import license_scan, mixing, mtree, setsketch, toxicity
 from figmill.llm.packing import pack
 from figmill.llm.quality_forest import BASE, quality
 from figmill.llm.sharding import shard
@@ -92,5 +92,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_license_scan, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing)}
-ORACLES = {"op2_url_filter": OP2_SQL, "op3_license_scan": OP3_SQL}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_license_scan, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing, op9_topk)}
+ORACLES = {"op2_url_filter": OP2_SQL, "op3_license_scan": OP3_SQL, "op9_topk": OP9_SQL}
