@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from figmill.llm.common import saved
 
 #: Bounds of the fit: labelled examples of each class (first by a hash of doc_id), terms, neighbours, examples a block.
-EXAMPLES_EACH, TERMS, NEIGHBOURS, BLOCK = 3000, 2048, 15, 64
-#: A term needs this many toxic examples and this many standard errors of its log odds.
-LEAST_TOXIC, LEAST_Z = 5, 4.0
+EXAMPLES_EACH, TERMS, NEIGHBOURS, BLOCK = 2000, 256, 15, 64
+#: A term needs this many toxic examples, and this chi-square of its share among them against the others, at all and for each example.
+LEAST_TOXIC, LEAST_CHI, LEAST_CHI_EACH = 5, 11.0, 0.0125
 _CLEAN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
@@ -39,36 +39,50 @@ def term_counts(text: str | None) -> Counter:
 
 
 class Index:
-    """Block-max inverted index of unit vectors over few terms."""
+    """Block-max inverted index of unit vectors over few terms.
+
+    A term's postings in a block are one row of weights by example, so a query reads
+    a block as as many rows as it has terms.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        self.block, self.blocks = block, max(1, -(-len(vectors) // block))
-        row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]).astype(np.int64)
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        order = np.lexsort((row, term))
-        self.row, self.weight = row[order], weight[order]
-        cell = term[order] * self.blocks + self.row // block
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))  # postings of each term and block
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
+        self.block, self.terms = block, terms
+        self.size = len(vectors)
+        self.row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]).astype(np.int64)
+        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
+        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        self.postings = self.most = None
+
+    def __getstate__(self):  # only the sparse weights travel
+        return self.__dict__ | {"postings": None, "most": None}
+
+    def _open(self) -> None:
+        self.postings = np.zeros((max(1, -(-self.size // self.block)), self.terms, self.block))
+        self.postings[self.row // self.block, self.term, self.row % self.block] = self.weight
+        self.most = self.postings.max(axis=2)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k rows of highest positive cosine, ties to the smaller row; ``skip`` takes no part."""
-        best: list[tuple[float, int]] = []
-        bounds = weights @ self.most[terms]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-12):
+        if self.postings is None:
+            self._open()
+        bounds = self.most[:, terms] @ weights
+        order = np.argsort(-bounds, kind="stable")
+        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for i in range(0, len(order), 8):
+            some = order[i : i + 8]
+            some = some[(bounds[some] > 0) & ((len(scores) < k) or (bounds[some] >= scores[-1] - 1e-12))]
+            if not len(some):
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                i, j = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                scores[self.row[i:j] - b * self.block] += w * self.weight[i:j]
-            found = np.flatnonzero(scores > 0)
-            rows = ((float(scores[r]), int(r + b * self.block)) for r in found)
-            best = sorted([*best, *(x for x in rows if x[1] != skip)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            cosines = np.einsum("t,btk->bk", weights, self.postings[some[:, None], terms])
+            at = (some[:, None] * self.block + np.arange(self.block)).ravel()
+            cosines = cosines.ravel()
+            good = (cosines > 0) & (at != skip)
+            if len(scores) == k:
+                good &= cosines >= scores[-1]
+            rows, scores = np.concatenate([rows, at[good]]), np.concatenate([scores, cosines[good]])
+            best = np.lexsort((rows, -np.round(scores, 12)))[:k]
+            rows, scores = rows[best], scores[best]
+        return list(zip(scores.tolist(), rows.tolist(), strict=True))
 
 
 class Votes:
@@ -89,8 +103,8 @@ class Votes:
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             s = self.share * p * (1 - p)
-            g = np.array([np.sum(self.share * (p - self.toxic) * x) + 0.01 * (a - 1), np.sum(self.share * (p - self.toxic)) + 0.01 * b])
-            h = np.array([[np.sum(s * x * x) + 0.01, np.sum(s * x)], [np.sum(s * x), np.sum(s) + 0.01]])
+            g = np.array([np.sum(self.share * (p - self.toxic) * x) + (a - 1), np.sum(self.share * (p - self.toxic)) + b])
+            h = np.array([[np.sum(s * x * x) + 1, np.sum(s * x)], [np.sum(s * x), np.sum(s) + 1]])
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
             if np.abs(step).max() < 1e-9:
@@ -134,9 +148,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     per_class = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = per_class.get(1, 0), per_class.get(0, 0)
     by_term = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (F.lit(bad) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(good) - F.col("b") + 0.5))
-    error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.lit(bad) - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (F.lit(good) - F.col("b") + 0.5))
-    strong = by_term.filter(F.col("a") >= LEAST_TOXIC).withColumn("z", odds / error).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(TERMS)
+    a, b, c, d = F.col("a").cast("double"), F.col("b").cast("double"), F.lit(float(bad)) - F.col("a"), F.lit(float(good)) - F.col("b")
+    chi = (a * d - b * c) * (a * d - b * c) * (bad + good) / ((a + b) * (c + d + 1e-9) * max(1, bad) * max(1, good))
+    strong = by_term.filter((F.col("a") >= LEAST_TOXIC) & (a * d > b * c)).withColumn("chi", chi).filter(F.col("chi") >= max(LEAST_CHI, LEAST_CHI_EACH * (bad + good))).orderBy(F.desc("chi"), "term").limit(TERMS)
     vocabulary = {bytes(r["term"]): i for i, r in enumerate(strong.select("term").collect())}
     wanted = set(vocabulary)
 
