@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.llm import license_scan, mixing, mtree, setsketch, toxicity
+from figmill.llm import license_scan, line_dedup, mixing, mtree, setsketch, toxicity
 from figmill.llm.packing import pack
 from figmill.llm.quality_forest import BASE, quality
 from figmill.llm.sharding import shard
@@ -104,5 +104,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_license_scan, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing, op9_topk)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_license_scan, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing, op9_topk, op10_line_dedup)}
 ORACLES = {"op2_url_filter": OP2_SQL, "op3_license_scan": OP3_SQL, "op9_topk": OP9_SQL}
