@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figmill.llm.common import saved
@@ -122,20 +122,41 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Toxicity of every whole text of ``docs(doc_id, text)``, learnt from ``labels(doc_id, toxic)``.
+class Model:
+    """What ``fit`` learnt: terms, their weights over all documents, and the examples."""
 
-    Returns doc_id, held_out (crc32 of doc_id as text mod 5 is 0: never learnt
-    from), score, predicted, evidence (the nearest examples' doc_id, cosine and
-    label). Terms' document frequencies are of all documents. Null and empty
-    texts, and texts without a term, get the score of their like among the
-    examples. Without labelled rows the score is 0.0. Repeated rows are scored
-    each, null labels are ignored, a doc_id labelled twice counts as toxic if
-    one label says so; other columns are ignored.
-    """
+    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, votes: Votes | None, ids: list[int]):
+        self.vocabulary, self.wanted, self.idf, self.votes, self.ids = vocabulary, set(vocabulary), idf, votes, ids
+
+    def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
+        t = np.asarray(terms, dtype=np.int64)
+        w = (1 + np.log(np.asarray(counts, dtype=float))) * self.idf[t] if len(t) else np.zeros(0)
+        return t, w / (np.sqrt(w @ w) or 1.0)
+
+    def read(self, text: str | None) -> tuple[list[int], list[int]]:
+        """Term numbers and counts of a text."""
+        c = term_counts(text)
+        found = sorted((self.vocabulary[t], c[t]) for t in self.wanted.intersection(c))
+        return [t for t, _ in found], [n for _, n in found]
+
+    def judge(self, terms, counts) -> tuple[float, list[tuple[float, int]]]:
+        """Score and (cosine, example) evidence of a text's terms."""
+        return self.votes.score(*self.vector(terms, counts)) if self.votes else (0.0, [])
+
+    def rejects(self, text) -> Column:
+        """Whether the texts of a column are predicted toxic."""
+
+        @F.pandas_udf("boolean")
+        def toxic(texts: pd.Series) -> pd.Series:
+            return pd.Series([self.judge(*self.read(t))[0] >= 0.5 for t in texts], dtype=bool)
+
+        return toxic(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the terms of all documents: doc_id, terms, counts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     classes = dict(known.groupBy("toxic").count().collect())
     chosen = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES_EACH) for t in (0, 1)]
     examples = saved(chosen[0].unionByName(chosen[1]), "toxicity-examples")  # at most 2 * EXAMPLES_EACH rows
@@ -152,41 +173,53 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chi = (a * d - b * c) * (a * d - b * c) * (bad + good) / ((a + b) * (c + d + 1e-9) * max(1, bad) * max(1, good))
     strong = by_term.filter((F.col("a") >= LEAST_TOXIC) & (a * d > b * c)).withColumn("chi", chi).filter(F.col("chi") >= max(LEAST_CHI, LEAST_CHI_EACH * (bad + good))).orderBy(F.desc("chi"), "term").limit(TERMS)
     vocabulary = {bytes(r["term"]): i for i, r in enumerate(strong.select("term").collect())}
-    wanted = set(vocabulary)
+    reader = Model(vocabulary, np.ones(max(1, len(vocabulary))), None, [])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                c = term_counts(text)
-                rows.append(sorted((vocabulary[t], c[t]) for t in wanted.intersection(c)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [[t for t, _ in r] for r in rows], "counts": [[n for _, n in r] for r in rows]})
+            rows = [reader.read(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [t for t, _ in rows], "counts": [n for _, n in rows]})
 
     sparse = saved(texts.mapInPandas(counted, "doc_id long, terms array<int>, counts array<int>"), "toxicity-terms")
     total = sparse.count()
     frequency = np.zeros(max(1, len(vocabulary)))
     for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
         frequency[r[0]] = r[1]
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-
-    def vector(terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, dtype=np.int64)
-        w = (1 + np.log(np.asarray(counts, dtype=float))) * idf[t] if len(t) else np.zeros(0)
-        return t, w / (np.sqrt(w @ w) or 1.0)
-
+    model = Model(vocabulary, np.log((1 + total) / (1 + frequency)) + 1, None, [])
     rows = sparse.join(F.broadcast(examples), "doc_id").orderBy("doc_id", "terms", "counts").collect()
-    vectors = [vector(r["terms"], r["counts"]) for r in rows]
+    vectors = [model.vector(r["terms"], r["counts"]) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], dtype=float)
-    ids = [r["doc_id"] for r in rows]
+    if not len(rows):
+        return model, sparse
     kept = Counter(toxic)
     # a class sampled more thinly weighs more, so that votes and calibration follow all labelled rows
-    share = np.array([classes[int(t)] / kept[t] for t in toxic]) if len(rows) else np.zeros(0)
-    share = share / share.mean() if len(rows) else share
+    share = np.array([classes[int(t)] / kept[t] for t in toxic])
+    share = share / share.mean()
     none = np.array([not len(t) for t, _ in vectors], dtype=bool)
-    prior = float(((share * toxic)[none].sum() + 0.01) / (share[none].sum() + 1)) if len(rows) else 0.0
+    prior = float(((share * toxic)[none].sum() + 0.01) / (share[none].sum() + 1))
     votes = Votes(Index(vectors, max(1, len(vocabulary))), toxic, share, prior)
-    if len(set(toxic)) == 2:
+    if len(kept) == 2:
         votes.calibrate(vectors)
+    return Model(vocabulary, model.idf, votes, [r["doc_id"] for r in rows]), sparse
+
+
+def held_out() -> Column:
+    """Rows never learnt from: crc32 of doc_id as text mod 5 is 0."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Toxicity of every whole text of ``docs(doc_id, text)``, learnt from ``labels(doc_id, toxic)``.
+
+    Returns doc_id, held_out (crc32 of doc_id as text mod 5 is 0: never learnt
+    from), score, predicted, evidence (the nearest examples' doc_id, cosine and
+    label). Terms' document frequencies are of all documents. Null and empty
+    texts, and texts without a term, get the score of their like among the
+    examples. Without labelled rows the score is 0.0. Repeated rows are scored
+    each, null labels are ignored, a doc_id labelled twice counts as toxic if
+    one label says so; other columns are ignored.
+    """
+    model, sparse = fit(docs, labels)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[bytes, tuple] = {}
@@ -197,11 +230,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 if key not in cache:
                     if len(cache) > 50_000:
                         cache.clear()
-                    cache[key] = votes.score(*vector(terms, counts)) if len(ids) else (0.0, [])
+                    cache[key] = model.judge(terms, counts)
                 value, near = cache[key]
                 out.append(value)
-                evidence.append([{"doc_id": ids[r], "cosine": c, "toxic": int(toxic[r])} for c, r in near])
+                evidence.append([{"doc_id": model.ids[r], "cosine": c, "toxic": int(model.votes.toxic[r])} for c, r in near])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": out, "evidence": evidence})
 
     found = sparse.mapInPandas(scored, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
-    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
