@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.llm.bloom import build_filter, probe
@@ -27,12 +27,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs stay unless similarity at the threshold is this many nats less likely than the best (5 sigma).
 NATS = 12.5
-#: Different orders in which bands choose their pivots.
-PIVOTS = 4
 _rng = np.random.default_rng(2024)
 _MUL = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.int64).view(np.uint64) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.int64).view(np.uint64)
-_MASKS = _rng.integers(0, 1 << 62, PIVOTS, dtype=np.int64)
 _word_hash: dict[bytes, int] = {}
 
 
@@ -124,13 +121,13 @@ def _banded(classes: DataFrame) -> DataFrame:
                     for r in range(ROWS):
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
                 cid = part["cid"].to_numpy()
-                yield pd.DataFrame({"band": np.tile(band, len(part)).astype(np.int8), "key": key.view(np.int64).ravel(), "turn": (cid[:, None] ^ _MASKS[band % PIVOTS]).ravel(), "n": np.repeat(part["n"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"band": np.tile(band, len(part)).astype(np.int8), "key": key.view(np.int64).ravel(), "cid": np.repeat(cid, BANDS), "n": np.repeat(part["n"].to_numpy(), BANDS)})
 
-    return classes.mapInPandas(run, "band byte, key long, turn long, n long")
+    return classes.mapInPandas(run, "band byte, key long, cid long, n long")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets have ``percent`` or more in common."""
+def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Exact overlaps (a, b, n_a, n_b, common) of the pairs (a, b) of classes that may have ``percent`` in common, and the full sets used."""
     r = classes.select("cid", "n", "regs")
     both = pairs.join(r.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("r_b")), "b").join(r.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("r_a")), "a")
 
@@ -158,18 +155,68 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
     full = saved(texts.select("cid", "text").mapInPandas(sets, "cid long, s binary"), "near-sets")
     paired = near.join(full.select(F.col("cid").alias("b"), F.col("s").alias("s_b")), "b").join(full.select(F.col("cid").alias("a"), F.col("s").alias("s_a")), "a")
 
-    @F.pandas_udf("boolean")
-    def similar(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(s_a, s_b, strict=True):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-            out.append(100 * common >= percent * (len(p) + len(q) - common))
-        return pd.Series(out, dtype=bool)
+    @F.pandas_udf("long")
+    def overlap(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
+        return pd.Series([_shared(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(s_a, s_b, strict=True)], dtype="int64")
+
+    out = paired.select("a", "b", (F.octet_length("s_a") / 8).cast("long").alias("n_a"), (F.octet_length("s_b") / 8).cast("long").alias("n_b"), overlap("s_a", "s_b").alias("common"))
+    return saved(out, "near-overlaps"), full
+
+
+def _shared(p: np.ndarray, q: np.ndarray) -> int:
+    if len(p) > len(q):
+        p, q = q, p
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
 
-    return saved(paired.filter(similar("s_a", "s_b")).select("a", "b"), "near-links")
+
+def _around_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among members of one pivot's group, found by how they differ from the pivot.
+
+    ``pairs(a, b, n_a, n_b, c_a, c_b)`` are members a near pivots b and both components.
+    D(x), the shingles in which x differs from the pivot, gives the difference of x and y
+    as D(x) + D(y) - 2 * common. If x is not linked to the pivot, x and y can only link if
+    D(x) and D(y) share elements, at least as many as ``least`` below; so their prefixes in
+    order of rarity meet. Edits are rare where the pivot's own shingles are not, so few do.
+    """
+    beta = (100 - percent) / (100 + percent)  # most that two linked sets differ, over both sizes
+    wanted = pairs.filter("c_a <> c_b").select("b").distinct()
+    group = pairs.join(wanted, "b", "left_semi")
+    held = group.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("cid").alias("a"), F.col("s").alias("s_a")), "a")
+
+    @F.pandas_udf("array<long>")
+    def differing(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
+        return pd.Series([np.setxor1d(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), assume_unique=True) for x, y in zip(s_a, s_b, strict=True)])
+
+    d = held.select(F.col("b").alias("pivot"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.col("n_b").alias("n_pivot"), F.col("c_a").alias("c"), (F.col("c_a") != F.col("c_b")).alias("apart"), differing("s_a", "s_b").alias("d"))
+    d = saved(d, "near-differences")
+    size = F.size("d")
+    alone = F.ceil(size - beta * F.col("n") * (1 + 100 / percent) - 1e-9)
+    beside = F.ceil((size + beta * (F.col("n_pivot") - F.col("n"))) / 2 - 1e-9)  # if the other is not linked to the pivot
+    least = F.greatest(F.lit(1), alone, F.when(F.col("apart"), F.lit(1)).otherwise(beside))
+    each = d.select("pivot", "x", "c", "apart", (size - least + 1).alias("prefix"), F.explode("d").alias("token"))
+    common = each.groupBy("pivot", "token").agg(F.count("*").alias("f")).filter("f > 1")
+    # a token that only one member has cannot meet another, but takes its place in the prefix
+    ranked = each.join(common, ["pivot", "token"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("pivot", "x").orderBy("f", "token"))
+    fore = saved(ranked.withColumn("rank", rank).filter("rank <= prefix AND f > 1").select("pivot", "token", "x", "c", "apart"), "near-prefixes")
+    left = fore.filter("apart").select("pivot", "token", F.col("x").alias("a"), F.col("c").alias("c_a"))
+    right = fore.select("pivot", "token", F.col("x").alias("b"), F.col("c").alias("c_b"), F.col("apart").alias("both"))
+    met = left.join(right, ["pivot", "token"]).filter("c_a <> c_b AND (NOT both OR a < b)").select("pivot", "a", "b").distinct()
+    sides = [d.select("pivot", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}")) for k in "ab"]
+    full = met.join(sides[0], ["pivot", "a"]).join(sides[1], ["pivot", "b"])
+
+    @F.pandas_udf("long")
+    def overlap(d_a: pd.Series, d_b: pd.Series) -> pd.Series:
+        # as sorted signed numbers, which both sides are
+        return pd.Series([_shared(np.sort(x), np.sort(y)) for x, y in zip(d_a, d_b, strict=True)], dtype="int64")
+
+    apart_by = F.size("d_a") + F.size("d_b") - 2 * overlap("d_a", "d_b")
+    shared = (F.col("n_a") + F.col("n_b") - apart_by) / 2
+    return saved(full.withColumn("common", shared).filter(F.expr(_LINKED.format(percent))).select("a", "b"), "near-links")
+
+
+#: Exact test on two sets' sizes and overlap.
+_LINKED = "100 * common >= {} * (n_a + n_b - common)"
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -182,32 +229,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     words; a row without doc_id links, but names no component unless all in it
     are null; other columns are ignored.
 
-    Every member of a band's bucket meets the bucket's pivot; only members that
-    this leaves in another component than the pivot meet the whole bucket, so
-    large groups of copies cost their size, and no proposed pair that matters
-    for the components goes untested.
+    Every member of a band's bucket meets the bucket's pivot, the member that meets most
+    others over all bands. Similarity is a metric: a member near the pivot can only link
+    with members at most twice as far from it, and those that this leaves in several
+    components are compared by their differences from the pivot; the few that are farther
+    meet the bucket's other members that are not linked to the pivot. So a large group
+    costs about its size, and no proposed pair that matters for the components goes untested.
     """
     rows = saved(_sketched(docs, width), "sketches")
     classes = saved(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     bands = saved(_banded(classes), "bands")
-    shared = bands.groupBy("band", "key").agg(F.min("turn").alias("pivot"), F.max("turn").alias("last")).filter("pivot <> last").select("band", "key", "pivot")
-    mask = F.element_at(F.array(*[F.lit(int(m)) for m in _MASKS]), (F.col("band") % PIVOTS + 1).cast("int"))
-    members = saved(bands.join(shared, ["band", "key"]).select("band", "key", F.col("turn").bitwiseXOR(mask).alias("cid"), F.col("pivot").bitwiseXOR(mask).alias("pivot"), "n"), "bucket-members")
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes bound the similarity
-    sizes = classes.select(F.col("cid").alias("other"), F.col("n").alias("other_n"))
-    stars = members.filter("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"), "n").distinct()
-    stars = stars.join(sizes.withColumnRenamed("other", "b"), "b").filter(fits(F.col("n"), F.col("other_n"))).select("a", "b")
-    links = _linked(stars, classes, docs, width, percent)
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = saved(bands.join(shared, ["band", "key"]), "bucket-members")
+    central = met.groupBy("cid").agg(F.sum("size").alias("meets"))
+    pivots = met.join(central, "cid").groupBy("band", "key").agg(F.max(F.struct("meets", "cid", "n")).alias("p")).select("band", "key", F.col("p.cid").alias("pivot"), F.col("p.n").alias("n_pivot"))
+    members = saved(met.join(pivots, ["band", "key"]).select("band", "key", "cid", "n", "pivot", "n_pivot"), "bucket-pivots")
+    around = max(0, 2 * percent - 100)
+    fits = lambda x, y, least: F.least(x, y) * 100 >= F.greatest(x, y) * least  # noqa: E731  sizes bound the similarity
+    stars = members.filter("cid <> pivot").filter(fits(F.col("n"), F.col("n_pivot"), around)).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
+    near, sets = _common(stars, classes, docs, width, around)
+    links = saved(near.filter(_LINKED.format(percent)).select("a", "b"), "near-links")
     first = components(links, "near-first")
-    placed = members.join(first.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    pivots = first.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-    placed = saved(placed.join(pivots, "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot")), "bucket-placed")
-    apart = placed.filter("component <> pivot_component").select("band", "key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    rest = apart.join(placed.select("band", "key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "pivot", "pivot_component"), ["band", "key"])
-    rest = rest.filter("c_a <> c_b").filter(fits(F.col("n_a"), F.col("n_b"))).filter("b <> pivot AND (c_b = pivot_component OR a < b)")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _linked(rest, classes, docs, width, percent)
-    final = components(links.unionAll(more), "near-final")
+    part = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
+    placed = near.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({f"c_{k}": F.coalesce(f"c_{k}", k) for k in "ab"})
+    more = _around_pivots(saved(placed, "near-placed"), sets, percent)
+    seen = near.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), F.expr(_LINKED.format(percent)).alias("linked"))
+    open_members = members.filter("cid <> pivot").join(seen, ["cid", "pivot"], "left").filter("linked IS NULL OR NOT linked")
+    open_members = saved(open_members.join(part("cid"), "cid", "left").select("band", "key", "cid", "n", F.coalesce("c_cid", "cid").alias("c"), F.col("linked").isNull().alias("far")), "bucket-open")
+    far = open_members.filter("far").select("band", "key", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    others = open_members.select("band", "key", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("far").alias("both"))
+    rest = far.join(others, ["band", "key"]).filter("c_a <> c_b AND (NOT both OR a < b)").filter(fits(F.col("n_a"), F.col("n_b"), percent))
+    last, _ = _common(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, docs, width, percent)
+    final = components(links.unionAll(more).unionAll(last.filter(_LINKED.format(percent)).select("a", "b")), "near-final")
     named = classes.select("cid", "doc_id").join(final.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = saved(named, "near-named")
     labels = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("cid", "component_id")
