@@ -37,47 +37,80 @@ def windows(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(line: Column, edits: int) -> Column:
-    """Hashes of the line's substrings at all windows."""
-    keys, parts = [], edits + 1
-    for less, i, shift in windows(edits):
-        size = F.length(line) - less
-        base, more = F.floor(size / parts).cast("int"), (size % parts).cast("int")
-        start = base * i + F.greatest(F.lit(0), more - (parts - i)) + shift
-        long = base + (more >= parts - i).cast("int")
-        inside = (start >= 0) & (start + long <= F.length(line)) & (base > 0)
-        keys.append(F.when(inside, F.xxhash64(F.lit(i), size, F.substring(line, start + 1, long))))
-    return F.filter(F.array_distinct(F.array(*keys)), lambda k: k.isNotNull())
-
-
-def within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` edits: one state word for each number of errors, one bit for each diagonal.
+def _keyed(lines: DataFrame, edits: int) -> DataFrame:
+    """(id, key) of ``lines(id, line, chars)``: hashes of the substrings at all windows that fit.
+
+    One row a window comes first, so the expression stays small enough to be compiled.
+    """
+    parts = edits + 1
+    shape = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in windows(edits)])
+    each = lines.select("id", "line", "chars", F.explode(shape).alias("w")).select("id", "line", "chars", "w.*")
+    each = each.withColumn("size", F.col("chars") - F.col("less")).withColumn("more", F.col("size") % parts).withColumn("base", ((F.col("size") - F.col("more")) / parts).cast("int"))
+    start = F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("more") - parts + F.col("i")) + F.col("shift")
+    each = each.withColumn("start", start).withColumn("long", F.col("base") + F.when(F.col("more") >= parts - F.col("i"), 1).otherwise(0))
+    fit = each.filter("start >= 0 AND start + long <= chars AND base > 0")
+    return fit.select("id", F.xxhash64("i", "size", F.substring("line", F.col("start") + 1, F.col("long"))).alias("key"))
+
+
+def _states(a: Column, b: Column, edits: int) -> Column:
+    """State words after ``b`` of the automaton for ``a``: one for each number of errors, one bit for each diagonal.
 
     Bit d after j characters of ``b`` says that the first j + d - edits characters of
     ``a`` reach them with that many errors: kept by an equal character, gained from one
     error less by a substitution, an insertion (diagonal above) or a deletion (below).
+    Only the band of 2 * edits + 1 diagonals is held; dead states stay dead unread.
     """
     wide = 2 * edits + 1
     full = (1 << wide) - 1
     chars = lambda x: F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
-    one_of = lambda bits, x: bits.getField(x)
+    top = f"r{edits}"
     start = F.struct(chars(a).alias("a"), F.lit(0).alias("j"), *[F.lit(((1 << (e + 1)) - 1) << edits).alias(f"r{e}") for e in range(edits + 1)])
 
     def step(s: Column, c: Column) -> Column:
-        j = s["j"]
         equal = F.lit(0)
         for d in range(wide):
-            at = j + (d - edits)
+            at = s["j"] + (d - edits)
             equal = equal.bitwiseOR(F.when((at >= 0) & (F.get(s["a"], at) == c), 1 << d).otherwise(0))
-        nxt = [one_of(s, "r0").bitwiseAND(equal)]
-        for e in range(1, edits + 1):
-            less = one_of(s, f"r{e - 1}")
-            nxt.append(one_of(s, f"r{e}").bitwiseAND(equal).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(nxt[-1], 1)).bitwiseAND(F.lit(full)))
-        return F.struct(s["a"].alias("a"), (j + 1).alias("j"), *[x.alias(f"r{e}") for e, x in enumerate(nxt)])
+        seen = F.struct(s.alias("s"), equal.alias("equal"))
+
+        def move(x: Column) -> Column:
+            words = [x["s"]["r0"].bitwiseAND(x["equal"])]
+            for e in range(1, edits + 1):
+                less = x["s"][f"r{e - 1}"]
+                words.append(x["s"][f"r{e}"].bitwiseAND(x["equal"]).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(words[-1], 1)).bitwiseAND(F.lit(full)))
+            return F.struct(x["s"]["a"].alias("a"), (x["s"]["j"] + 1).alias("j"), *[w.alias(f"r{e}") for e, w in enumerate(words)])
+
+        return F.when(s[top] == 0, s).otherwise(F.get(F.transform(F.array(seen), move), F.lit(0)))
+
+    return F.aggregate(chars(b), start, step, lambda s: s[top])
+
+
+#: Characters after the first difference that are read before the rest.
+_PEEK = 16
+
+
+def near_pairs(pairs: DataFrame, edits: int) -> DataFrame:
+    """The rows of ``pairs(a, b, ...)`` whose strings are within ``edits`` edits.
+
+    Equal beginnings and ends never need an edit, so only what lies between them is
+    compared, and its first characters first: most other pairs end there.
+    """
+    powers = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    least = F.least(F.length("a"), F.length("b"))
+
+    def common(side) -> Column:
+        # the longest equal beginning (or end), by halving
+        def grow(n: Column, more: Column) -> Column:
+            return F.when((n + more <= F.col("least")) & (side(F.col("a"), n + more) == side(F.col("b"), n + more)), n + more).otherwise(n)
+
+        return F.aggregate(powers, F.lit(0), grow)
 
-    diagonal = F.length(a) - F.length(b) + edits
-    last = F.aggregate(chars(b), start, step, lambda s: s[f"r{edits}"])
-    return F.when(F.abs(F.length(a) - F.length(b)) > edits, F.lit(False)).otherwise(F.getbit(last, diagonal) == 1)
+    out = pairs.withColumn("least", least).filter(F.abs(F.length("a") - F.length("b")) <= edits).withColumn("head", common(F.left))
+    out = out.withColumn("rest_a", F.substring("a", F.col("head") + 1, F.length("a") - F.col("head"))).withColumn("rest_b", F.substring("b", F.col("head") + 1, F.length("b") - F.col("head")))
+    peek = _states(F.substring("rest_a", 1, _PEEK + edits), F.substring("rest_b", 1, _PEEK), edits)
+    out = out.filter((F.length("rest_b") <= _PEEK) | (peek != 0))
+    diagonal = F.length("rest_a") - F.length("rest_b") + edits
+    return out.filter(F.getbit(_states(F.col("rest_a"), F.col("rest_b"), edits), diagonal) == 1).drop("least", "head", "rest_a", "rest_b")
 
 
 def instances(docs: DataFrame, least: int) -> DataFrame:
@@ -95,9 +128,9 @@ def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     spark = docs.sparkSession
     grouped = instances(docs, least).groupBy(line_hash(F.col("line")).alias("hash")).agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     rank = F.shiftleft(63 - F.floor(F.log2("n")), HASH_BITS)
-    lines = saved(grouped.select(rank.bitwiseOR(F.col("hash")).alias("id"), "hash", "line", "n", "first_doc"), "lines")
+    lines = saved(grouped.select(rank.bitwiseOR(F.col("hash")).alias("id"), "hash", "line", F.length("line").alias("chars"), "n", "first_doc"), "lines")
     release(spark)
-    keyed = lambda: lines.select("id", F.explode(_keys(F.col("line"), edits)).alias("key"))
+    keyed = lambda: _keyed(lines, edits)
     shared = keyed().groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first")
     shared = saved(shared, "line-keys")
     release(spark)
@@ -110,7 +143,7 @@ def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Later lines of (id, earlier) pairs that are near the earlier one."""
         left = pairs.join(texts.select(F.col("id").alias("earlier"), F.col("line").alias("b")), "earlier")
-        return saved(left.join(texts, "id").filter(within(F.col("line"), F.col("b"), edits)).select("id").distinct(), name)
+        return saved(near_pairs(left.join(texts.withColumnRenamed("line", "a"), "id"), edits).select("id").distinct(), name)
 
     # all members of a key meet its first line; only those that this leaves undecided meet the others before them
     stars = confirmed(members.filter("id <> first").select("id", F.col("first").alias("earlier")).distinct(), "line-near-first")

@@ -415,8 +415,9 @@ def test_line_pairs_and_verdicts(spark):
             s[k : k + rng.randrange(2)] = rng.choice(["", "x", "yz"])
         lines.append("".join(s))
     lines = [x for x in lines if len(x) >= 10]
-    pairs = spark.createDataFrame([(a, b) for a in lines[:60] for b in lines[::7]], "a string, b string")
-    assert all(r["near"] == (edits(r["a"], r["b"]) <= 2) for r in pairs.withColumn("near", line_dedup.within(F.col("a"), F.col("b"), 2)).collect())
+    pairs = [(a, b) for a in lines[:60] for b in lines[::7]]
+    near = line_dedup.near_pairs(spark.createDataFrame(pairs, "a string, b string"), 2).collect()
+    assert sorted((r["a"], r["b"]) for r in near) == sorted(p for p in pairs if edits(*p) <= 2)
     d = docs_of(spark, ["\n".join(lines[i::20]) for i in range(20)]).withColumn("row", F.monotonically_increasing_id())
     got = {r["hash"]: r["near"] for r in line_dedup.judge_lines(d, edits=2, least=10).collect()}
     hashes = spark.createDataFrame([(x, n) for x, n in Counter(lines).items()], "line string, n int").withColumn("hash", line_dedup.line_hash(F.col("line"))).collect()
