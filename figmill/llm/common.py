@@ -27,15 +27,26 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def saved(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The new frame has no lineage: a lost executor costs a file read, and row
     identifiers taken from it stay the same however often it is scanned.
+    ``batch``: most rows that Python functions get at once while it is written,
+    where rows may be large.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/figmill/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(_BATCH)
+    if batch:
+        spark.conf.set(_BATCH, str(batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._figmill_path = path
     return out
@@ -51,6 +62,29 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+#: Words of 64 bits in a key filter: 2 MB whatever the number of keys.
+FILTER_WORDS = 1 << 17
+
+
+def _place(column: str) -> tuple[Column, Column]:
+    """Slot and bit of a hashed key, from its low bits."""
+    slot = F.col(column).bitwiseAND(FILTER_WORDS - 1)
+    return slot, F.expr(f"shiftleft(1L, cast(shiftright({column}, 17) & 63 AS int))")
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of a column of 64-bit hashes as rows (slot, bits), at most FILTER_WORDS of them."""
+    slot, bit = _place(column)
+    return keys.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))
+
+
+def passing(rows: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """Rows whose hashed key may be in the bitmap: none that is in it is lost, and nothing is moved for it."""
+    slot, bit = _place(column)
+    met = rows.withColumn("slot", slot).join(F.broadcast(bitmap), "slot")
+    return met.filter(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now, not at the driver's next full collection."""
     gc.collect()

@@ -49,7 +49,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_word_hash) > 500_000:
+    if len(_word_hash) > 150_000:
         _word_hash.clear()
     known = _word_hash
     for w in set(words).difference(known):
@@ -139,7 +139,7 @@ def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             out[i : i + 1000] = similar_enough(x, y, n_a.iloc[i : i + 1000].to_numpy(float), n_b.iloc[i : i + 1000].to_numpy(float), percent / 100)
         return pd.Series(out)
 
-    near = saved(both.filter(plausible("r_a", "r_b", "n_a", "n_b")).select("a", "b"), "near-pairs")
+    near = saved(both.filter(plausible("r_a", "r_b", "n_a", "n_b")).select("a", "b"), "near-pairs", batch=4000)
     ids = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     wanted = saved(ids.join(classes.select("cid", "doc_id"), "cid"), "near-classes")
     listed = probe(build_filter(wanted.select(F.xxhash64("doc_id").alias("h"))))
@@ -152,7 +152,7 @@ def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
 
     # only texts that the filter passes are moved
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(listed(F.xxhash64("doc_id"))).join(wanted, "doc_id")
-    full = saved(texts.select("cid", "text").mapInPandas(sets, "cid long, s binary"), "near-sets")
+    full = saved(texts.select("cid", "text").mapInPandas(sets, "cid long, s binary"), "near-sets", batch=1000)
     paired = near.join(full.select(F.col("cid").alias("b"), F.col("s").alias("s_b")), "b").join(full.select(F.col("cid").alias("a"), F.col("s").alias("s_a")), "a")
 
     @F.pandas_udf("long")
@@ -160,7 +160,7 @@ def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
         return pd.Series([_shared(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(s_a, s_b, strict=True)], dtype="int64")
 
     out = paired.select("a", "b", (F.octet_length("s_a") / 8).cast("long").alias("n_a"), (F.octet_length("s_b") / 8).cast("long").alias("n_b"), overlap("s_a", "s_b").alias("common"))
-    return saved(out, "near-overlaps"), full
+    return saved(out, "near-overlaps", batch=500), full
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -172,11 +172,13 @@ def _shared(p: np.ndarray, q: np.ndarray) -> int:
 def _around_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among members of one pivot's group, found by how they differ from the pivot.
 
-    ``pairs(a, b, n_a, n_b, c_a, c_b)`` are members a near pivots b and both components.
+    ``pairs(a, b, n_a, n_b, c_a, c_b, meets)`` are members a near pivots b, both components
+    and how central the pivot is.
     D(x), the shingles in which x differs from the pivot, gives the difference of x and y
     as D(x) + D(y) - 2 * common. If x is not linked to the pivot, x and y can only link if
-    D(x) and D(y) share elements, at least as many as ``least`` below; so their prefixes in
-    order of rarity meet. Edits are rare where the pivot's own shingles are not, so few do.
+    D(x) and D(y) share elements, at least as many as ``alone`` and ``beside`` below say; so
+    their prefixes in order of rarity meet. Edits are rare where the pivot's own shingles are
+    not, so few do. Two members are compared around the most central pivot that both are near.
     """
     beta = (100 - percent) / (100 + percent)  # most that two linked sets differ, over both sizes
     wanted = pairs.filter("c_a <> c_b").select("b").distinct()
@@ -187,21 +189,27 @@ def _around_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def differing(s_a: pd.Series, s_b: pd.Series) -> pd.Series:
         return pd.Series([np.setxor1d(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), assume_unique=True) for x, y in zip(s_a, s_b, strict=True)])
 
-    d = held.select(F.col("b").alias("pivot"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.col("n_b").alias("n_pivot"), F.col("c_a").alias("c"), (F.col("c_a") != F.col("c_b")).alias("apart"), differing("s_a", "s_b").alias("d"))
-    d = saved(d, "near-differences")
+    d = held.select(F.col("b").alias("pivot"), F.col("a").alias("x"), F.col("n_a").alias("n"), F.col("n_b").alias("n_pivot"), F.col("c_a").alias("c"), "meets", (F.col("c_a") != F.col("c_b")).alias("apart"), differing("s_a", "s_b").alias("d"))
+    d = saved(d, "near-differences", batch=500)
     size = F.size("d")
-    alone = F.ceil(size - beta * F.col("n") * (1 + 100 / percent) - 1e-9)
-    beside = F.ceil((size + beta * (F.col("n_pivot") - F.col("n"))) / 2 - 1e-9)  # if the other is not linked to the pivot
-    least = F.greatest(F.lit(1), alone, F.when(F.col("apart"), F.lit(1)).otherwise(beside))
-    each = d.select("pivot", "x", "c", "apart", (size - least + 1).alias("prefix"), F.explode("d").alias("token"))
+    # elements that must be common: whatever the other member, and if the other is not linked to the pivot
+    alone = F.greatest(F.lit(1), F.ceil(size - beta * F.col("n") * (1 + 100 / percent) - 1e-9))
+    beside = F.greatest(alone, F.ceil((size + beta * (F.col("n_pivot") - F.col("n"))) / 2 - 1e-9))
+    home = F.max_by("pivot", F.struct("meets", "pivot")).over(Window.partitionBy("x"))
+    each = d.withColumn("home", home).select("pivot", "x", "n", "c", "apart", "home", size.alias("size"), (size - alone + 1).alias("long"), (size - beside + 1).alias("short"), F.explode("d").alias("token"))
     common = each.groupBy("pivot", "token").agg(F.count("*").alias("f")).filter("f > 1")
     # a token that only one member has cannot meet another, but takes its place in the prefix
     ranked = each.join(common, ["pivot", "token"], "left").withColumn("f", F.coalesce("f", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("pivot", "x").orderBy("f", "token"))
-    fore = saved(ranked.withColumn("rank", rank).filter("rank <= prefix AND f > 1").select("pivot", "token", "x", "c", "apart"), "near-prefixes")
-    left = fore.filter("apart").select("pivot", "token", F.col("x").alias("a"), F.col("c").alias("c_a"))
-    right = fore.select("pivot", "token", F.col("x").alias("b"), F.col("c").alias("c_b"), F.col("apart").alias("both"))
-    met = left.join(right, ["pivot", "token"]).filter("c_a <> c_b AND (NOT both OR a < b)").select("pivot", "a", "b").distinct()
+    fore = ranked.withColumn("rank", rank).filter("f > 1 AND rank <= IF(apart, long, short)")
+    fore = saved(fore.select("pivot", "token", "x", "n", "c", "apart", "home", "size", (F.col("size") - F.col("rank")).alias("after"), (F.col("rank") <= F.col("short")).alias("short")), "near-prefixes")
+    side = lambda k, df: df.select("pivot", "token", F.col("x").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("c", "home", "n", "size", "after")])
+    # if this is their first common element, what comes after it must still hold enough
+    other = f"c_a <> c_b AND (home_a <> home_b OR home_a = pivot) AND 1 + least(after_a, after_b) >= (size_a + size_b - {beta!r} * (n_a + n_b)) / 2 - 1e-9"
+    loose = side("a", fore.filter("apart")).join(side("b", fore.filter("NOT apart")), ["pivot", "token"]).filter(other)
+    tight = fore.filter("apart AND short")
+    tight = side("a", tight).join(side("b", tight), ["pivot", "token"]).filter(f"a < b AND {other}")
+    met = loose.unionByName(tight).select("pivot", "a", "b").distinct()
     sides = [d.select("pivot", F.col("x").alias(k), F.col("n").alias(f"n_{k}"), F.col("d").alias(f"d_{k}")) for k in "ab"]
     full = met.join(sides[0], ["pivot", "a"]).join(sides[1], ["pivot", "b"])
 
@@ -236,12 +244,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     meet the bucket's other members that are not linked to the pivot. So a large group
     costs about its size, and no proposed pair that matters for the components goes untested.
     """
-    rows = saved(_sketched(docs, width), "sketches")
+    rows = saved(_sketched(docs, width), "sketches", batch=1000)
     classes = saved(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     bands = saved(_banded(classes), "bands")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     met = saved(bands.join(shared, ["band", "key"]), "bucket-members")
-    central = met.groupBy("cid").agg(F.sum("size").alias("meets"))
+    central = saved(met.groupBy("cid").agg(F.sum("size").alias("meets")), "bucket-central")
     pivots = met.join(central, "cid").groupBy("band", "key").agg(F.max(F.struct("meets", "cid", "n")).alias("p")).select("band", "key", F.col("p.cid").alias("pivot"), F.col("p.n").alias("n_pivot"))
     members = saved(met.join(pivots, ["band", "key"]).select("band", "key", "cid", "n", "pivot", "n_pivot"), "bucket-pivots")
     around = max(0, 2 * percent - 100)
@@ -252,6 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = components(links, "near-first")
     part = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
     placed = near.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({f"c_{k}": F.coalesce(f"c_{k}", k) for k in "ab"})
+    placed = placed.join(central.withColumnRenamed("cid", "b"), "b")
     more = _around_pivots(saved(placed, "near-placed"), sets, percent)
     seen = near.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), F.expr(_LINKED.format(percent)).alias("linked"))
     open_members = members.filter("cid <> pivot").join(seen, ["cid", "pivot"], "left").filter("linked IS NULL OR NOT linked")
