@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from figmill.functions import exprs
-from figmill.operators import audit, corpus, flatten, metrics, repair
+from figmill.operators import audit, corpus, flatten, metrics, render, repair
 from figmill.plans.registry import query
 from figmill.plans.synthetic import FLAT, WARNINGS, WIDE, load, records, reported, shown, warnings
 
@@ -249,3 +249,40 @@ def node_search(spark, sf):
 @query("tree_counts", f"""WITH {WIDE} SELECT ord, 1 + (SELECT count(*) FROM pan WHERE pan.ord = f.ord) + (SELECT count(*) FROM wide w WHERE w.ord = f.ord AND {reported("w.name")}) AS nodes FROM fig f""")
 def tree_counts(spark, sf):
     return corpus.tree(records(spark, sf)).groupBy("ord").agg(F.count("*").alias("nodes"))
+
+
+@query("flow_links", f"WITH {WIDE} SELECT source, target, count(*) AS n FROM (SELECT independent_var AS source, role AS target FROM wide UNION ALL SELECT role, readout FROM wide) GROUP BY ALL")
+def flow_links(spark, sf):
+    return render.flow_links(records(spark, sf))
+
+
+@query("tree_layout", f"WITH {FLAT} SELECT ord, depth * 180 AS x, CAST((row_number() OVER (PARTITION BY ord ORDER BY depth, k) - 1) * 24 AS INT) AS y, text FROM (SELECT ord, 0 AS depth, 0 AS k, figure_id AS text FROM fig UNION ALL SELECT ord, 1, panel_idx, label FROM pan JOIN fig USING (ord))")
+def tree_layout(spark, sf):
+    return render.tree_layout(corpus.tree(records(spark, sf)).filter("depth < 2")).select("ord", "x", "y", "text")
+
+
+@query("kpi_tiles", f"""WITH {WIDE}, p AS (SELECT * FROM fig JOIN pan USING (ord)) SELECT 'figures' AS tile, CAST(count(*) AS VARCHAR) AS text FROM fig UNION ALL SELECT 'panels', CAST(count(*) AS VARCHAR) FROM p UNION ALL SELECT 'groups', CAST(count(*) AS VARCHAR) FROM wide
+    UNION ALL SELECT 'n', CAST(round_even(100.0 * count(*) FILTER ({reported("n")}) / count(*), 0) AS BIGINT) || '%' FROM wide UNION ALL SELECT 'test', CAST(round_even(100.0 * count(*) FILTER ({reported("test")}) / count(*), 0) AS BIGINT) || '%' FROM p UNION ALL SELECT 'review', CAST(count(*) FILTER (inferred <> '') AS VARCHAR) FROM p""")
+def kpi_tiles(spark, sf):
+    return render.tiles(records(spark, sf))
+
+
+@query("provenance_line", f"WITH {FLAT} SELECT paper_id, ord, CAST(panel_idx AS INT) AS panel_idx, figure_id || ' ' || label || ' ← ' || CASE WHEN {_EV} = '' THEN '未说明' ELSE {_EV} END AS line FROM fig JOIN pan USING (ord)")
+def provenance_line(spark, sf):
+    return render.provenance(records(spark, sf))
+
+
+@query("markdown_notes")
+def markdown_notes(spark, sf):
+    r = records(spark, sf)
+    return render.notes(r, audit.review_reasons(r, warnings(spark, sf)))
+
+
+@query("page_data")
+def page_data(spark, sf):
+    return render.page_data(records(spark, sf))
+
+
+@query("audit_warnings", f"""WITH {FLAT} SELECT paper_id, ord, '[复核] ' || figure_id || ': figure_kind=schematic 但 panels 非空' AS warning FROM fig WHERE figure_kind = 'schematic' AND ord IN (SELECT ord FROM pan)""")
+def audit_warnings(spark, sf):
+    return audit.as_warnings(audit.figure_findings(records(spark, sf)).filter("rule = 'schematic_with_panels'"))
