@@ -127,8 +127,9 @@ def keyword_topk(spark, sf):
 @query("methods_recall", """WITH p AS (SELECT c_nationkey AS doc, c_custkey AS ord, c_custkey % 5 AS k FROM customer),
     s AS (SELECT doc, ord, CASE k WHEN 0 THEN 3.2 + 0.5 WHEN 1 THEN 0.6 WHEN 2 THEN 3.8 ELSE NULL END AS score FROM p),
     h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, 'm' || ord) AS r FROM s WHERE score >= 1),
-    t AS (SELECT doc, ord, row_number() OVER (PARTITION BY doc ORDER BY ord) AS r FROM p WHERE k = 4)
-    SELECT doc, 'm' || ord AS id, CAST(round(score * 100) AS INT) AS score, 'hit' AS how FROM h WHERE r <= 5 UNION ALL SELECT doc, 'm' || ord, 0, 'pinned' FROM t WHERE r <= 2""")
+    b AS (SELECT doc, ord, row_number() OVER (PARTITION BY doc ORDER BY ord) AS r FROM p WHERE doc NOT IN (SELECT doc FROM h)), f AS (SELECT * FROM b WHERE r <= 2),
+    t AS (SELECT doc, ord, row_number() OVER (PARTITION BY doc ORDER BY ord) AS r FROM p WHERE k = 4 AND ord NOT IN (SELECT ord FROM f))
+    SELECT doc, 'm' || ord AS id, CAST(round(score * 100) AS INT) AS score, 'hit' AS how FROM h WHERE r <= 5 UNION ALL SELECT doc, 'm' || ord, 0, 'fallback' FROM f UNION ALL SELECT doc, 'm' || ord, 0, 'pinned' FROM t WHERE r <= 2""")
 def methods_recall(spark, sf):
     c = load(spark, sf, "customer")["customer"]
     k = F.col("c_custkey") % 5
