@@ -477,3 +477,55 @@ def merge_tables(assets: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("ord", "pages", "grid")))
     g = assets.groupBy("paper_id", "number").agg(parts.alias("p"))
     return g.select("paper_id", "number", F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["pages"])))).alias("pages"), F.flatten(F.transform("p", lambda x: x["grid"])).alias("grid"))
+
+
+def nearest_gap(bands: DataFrame, rules: DataFrame) -> DataFrame:
+    """Gap between each band's caption side and its nearest rule: band_id, gap; none without a rule. bands have side ('above': the band lies above its caption)."""
+    met = rules_in(bands, rules)
+    gap = F.when(F.first("side") == "above", F.first("y1") - F.max("r_y1")).otherwise(F.min("r_y0") - F.first("y0"))
+    return met.groupBy(*PAGE, "band_id").agg(gap.alias("gap"))
+
+
+def choose_band(bands: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each table's region: a sane band drawn in to its rules (8 points beyond, 6 at the sides) with high trust, the band without rules with medium, the page with low."""
+    met = rules_in(bands, rules).groupBy(*PAGE, "band_id").agg(F.min("r_x0").alias("a0"), F.min("r_y0").alias("b0"), F.max("r_x1").alias("a1"), F.max("r_y1").alias("b1"))
+    x = bands.join(met, [*PAGE, "band_id"], "left").join(pages.select(*PAGE, "width", "height"), PAGE)
+    sane = band_is_sane(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"), F.col("height"))
+    ruled = F.col("a0").isNotNull()
+    trust = F.when(~sane, "low").when(ruled, "high").otherwise("medium")
+    pick = lambda page, band, tight: F.when(~sane, page).when(ruled, tight).otherwise(band)
+    above = F.col("side") == "above"
+    return x.select(
+        *PAGE, "band_id", trust.alias("trust"),
+        pick(F.lit(0.0), F.col("x0"), F.least(F.col("a0") - 6, F.col("x0"))).alias("x0"),
+        pick(F.lit(0.0), F.col("y0"), F.when(above, F.greatest(F.col("y0"), F.col("b0") - 8)).otherwise(F.col("y0"))).alias("y0"),
+        pick(F.col("width"), F.col("x1"), F.greatest(F.col("a1") + 6, F.col("x1"))).alias("x1"),
+        pick(F.col("height"), F.col("y1"), F.when(above, F.col("y1")).otherwise(F.least(F.col("y1"), F.col("b1") + 8))).alias("y1"),
+    )
+
+
+def assign_rows(words: DataFrame, most: int = 250) -> DataFrame:
+    """Text rows of words(table_id, x0, y0, x1, y1, text): a word joins the row before if its middle lies within the tolerance of that row's mean middle.
+
+    The mean moves with every word, so a table is read in order; tables are read in parallel.
+    """
+    import pandas as pd
+
+    def read(w: pd.DataFrame) -> pd.DataFrame:
+        w = w[w["text"].str.strip() != ""].copy()
+        tall = (w["y1"] - w["y0"])[w["y1"] > w["y0"]]
+        near = max(2.0, 0.55 * (float(tall.median()) if len(tall) else 10.0))
+        w["mid"] = (w["y0"] + w["y1"]) / 2
+        w = w.sort_values(["mid", "x0"], kind="stable")
+        rows, total, count = [], 0.0, 0
+        for mid in w["mid"]:
+            if count and abs(mid - total / count) <= near:
+                total, count = total + mid, count + 1
+                rows.append(rows[-1])
+            else:
+                total, count = mid, 1
+                rows.append(rows[-1] + 1 if rows else 0)
+        w["row"] = rows
+        return w[w["row"] < most][["table_id", "row", "x0", "x1", "text"]]
+
+    return words.select("table_id", "x0", "y0", "x1", "y1", "text").groupBy("table_id").applyInPandas(read, "table_id long, row long, x0 double, x1 double, text string")

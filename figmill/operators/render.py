@@ -74,3 +74,45 @@ def tree_layout(nodes: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return nodes.withColumn("x", F.col("depth") * 180).withColumn("y", (F.row_number().over(Window.partitionBy("ord").orderBy("path")) - 1) * 24)
+
+
+def readable_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:
+    """Section marks in refs(paper_id, k, ref) replaced by short titles: Parent › Title, the parent if it has at most 12 characters and differs; unknown marks stay."""
+    mark = F.regexp_extract("ref", r"^(§[0-9A-Z]+(?:\.[0-9]+)*)", 1)
+    parent = F.regexp_replace(F.col("sid"), r"\.[^.]*$", "")
+    r = refs.withColumn("sid", mark).withColumn("pid", F.regexp_replace(mark, r"\.[^.]*$", ""))
+    named = sections.select("paper_id", F.col("id").alias("sid"), F.col("title").alias("own"))
+    above = sections.select("paper_id", F.col("id").alias("pid"), F.col("title").alias("up"))
+    x = r.join(named, ["paper_id", "sid"], "left").join(above, ["paper_id", "pid"], "left")
+    short = F.when(F.length("own") > 30, F.concat(F.substring("own", 1, 29), F.lit("…"))).otherwise(F.col("own"))
+    shown_up = F.col("up").isNotNull() & (F.length("up") <= 12) & (F.col("up") != F.col("own")) & (parent != F.col("sid"))
+    return x.select("paper_id", "k", F.when(F.col("own").isNull(), F.col("ref")).otherwise(F.concat(F.when(shown_up, F.concat("up", F.lit(" › "))).otherwise(""), short, F.expr("substring(ref, length(sid) + 1)"))).alias("ref"))
+
+
+def pending(reasons: DataFrame, records: DataFrame) -> DataFrame:
+    """What is open about each figure: sentinel hits, inferred fields, low trust, then open questions."""
+    rank = F.when(F.col("kind") == "sentinel", 0).when(F.col("kind") == "inferred", 1).otherwise(2)
+    asked = records.select("paper_id", "figure_id", F.explode("open_questions").alias("text"), F.lit(3).alias("rank"))
+    return reasons.select("paper_id", "figure_id", "text", rank.alias("rank")).unionByName(asked)
+
+
+def api_messages(tasks: DataFrame) -> DataFrame:
+    """Chat messages of tasks(paper_id, figure_id, doc, image binary) as JSON, images in base64; nothing is sent."""
+    image = F.when(F.col("image").isNotNull(), F.concat(F.lit("data:image/png;base64,"), F.base64("image")))
+    content = F.struct(F.col("doc").alias("text"), image.alias("image_url"))
+    return tasks.select("paper_id", "figure_id", F.to_json(F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))).alias("messages"))
+
+
+def extract(messages: DataFrame, extractor) -> DataFrame:
+    """Raw records by a caller's extractor(iterator of pandas frames) -> frames with paper_id, figure_id, json; this library ships none."""
+    return messages.mapInPandas(extractor, "paper_id string, figure_id string, json string")
+
+
+def markmap_html(tree: dict) -> str:
+    """A self-contained page of one nested tree; its JSON cannot close the script."""
+    import json
+
+    safe = json.dumps(tree, ensure_ascii=False)
+    for c in "<>&":
+        safe = safe.replace(c, f"\\u{ord(c):04x}")
+    return f'<!doctype html><meta charset="utf-8"><title>map</title><ul id="t"></ul><script>const d={safe};const w=(n,e)=>{{const l=document.createElement("li");l.textContent=n.text;e.append(l);if(n.children){{const u=document.createElement("ul");l.append(u);n.children.forEach(c=>w(c,u))}}}};w(d,document.getElementById("t"))</script>'

@@ -334,3 +334,32 @@ def merge_tables(spark, sf):
     p = _sql(spark, sf, "SELECT CAST(p_size % 9 AS STRING) AS paper_id, CAST(p_size AS STRING) AS number, p_partkey AS ord, array(CAST(p_partkey % 8 AS INT)) AS pages, array(array(p_name)) AS grid FROM {part}", "part")
     m = layout.merge_tables(p)
     return m.select("paper_id", "number", F.concat(F.lit("["), F.array_join(F.col("pages").cast("array<string>"), ", "), F.lit("]")).alias("pages"), F.array_join(F.flatten("grid"), "|").alias("grid"))
+
+
+@query("choose_band", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id AS band_id, c0 AS x0, CASE WHEN anchor_id % 2 = 0 THEN y0 - 150 ELSE y1 END AS y0, c0 + 300 AS x1, CASE WHEN anchor_id % 2 = 0 THEN y0 ELSE y1 + 15 * (anchor_id % 7) END AS y1, c0, anchor_id % 2 = 0 AS up FROM a),
+    l AS (SELECT b.band_id, min(r.x0) AS a0, min(r.y0) AS b0, max(r.x0 + 200) AS a1, max(r.y0 + 1) AS b1 FROM b JOIN (SELECT * FROM r WHERE o_orderkey % 9 = 0) r USING (paper_id, pno) WHERE r.y0 >= b.y0 - 2 AND r.y0 + 1 <= b.y1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY ALL),
+    s AS (SELECT b.*, a0, b0, a1, b1, y1 - y0 BETWEEN 24 AND 680 AS sane FROM b LEFT JOIN l USING (band_id))
+    SELECT band_id, CASE WHEN NOT sane THEN 'low' WHEN a0 IS NOT NULL THEN 'high' ELSE 'medium' END AS trust, CAST(CASE WHEN NOT sane THEN 0 WHEN a0 IS NOT NULL THEN least(a0 - 6, x0) ELSE x0 END AS DOUBLE) AS x0, CAST(CASE WHEN NOT sane THEN 0 WHEN a0 IS NOT NULL AND up THEN greatest(y0, b0 - 8) ELSE y0 END AS DOUBLE) AS y0,
+    CAST(CASE WHEN NOT sane THEN 600 WHEN a0 IS NOT NULL THEN greatest(a1 + 6, x1) ELSE x1 END AS DOUBLE) AS x1, CAST(CASE WHEN NOT sane THEN 800 WHEN a0 IS NOT NULL AND NOT up THEN least(y1, b1 + 8) ELSE y1 END AS DOUBLE) AS y1 FROM s""")
+def choose_band(spark, sf):
+    even = F.col("anchor_id") % 2 == 0
+    a = _anchors(spark, sf)
+    bands = a.select("paper_id", "pno", F.col("anchor_id").alias("band_id"), F.col("col_x0").alias("x0"), F.when(even, F.col("y0") - 150).otherwise(F.col("y1")).alias("y0"), F.col("col_x1").alias("x1"), F.when(even, F.col("y0")).otherwise(F.col("y1") + 15 * (F.col("anchor_id") % 7)).alias("y1"), "col_x0", "col_x1", F.when(even, "above").otherwise("below").alias("side"))
+    r = _rects(spark, sf).filter("o_orderkey % 9 = 0")
+    rules = r.select("paper_id", "pno", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 1).alias("y1"))
+    return layout.choose_band(bands, rules, _pages(spark)).select("band_id", "trust", "x0", "y0", "x1", "y1")
+
+
+@query("nearest_rule_gap", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id AS band_id, c0, y1 AS b0, y1 + 200 AS b1 FROM a)
+    SELECT b.band_id, CAST(min(r.y0) - any_value(b0) AS DOUBLE) AS gap FROM b JOIN (SELECT * FROM r WHERE o_orderkey % 9 = 0) r USING (paper_id, pno) WHERE r.y0 >= b0 - 2 AND r.y0 + 1 <= b1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY b.band_id""")
+def nearest_rule_gap(spark, sf):
+    bands = _anchors(spark, sf).select("paper_id", "pno", F.col("anchor_id").alias("band_id"), F.col("col_x0").alias("x0"), F.col("y1").alias("y0"), F.col("col_x1").alias("x1"), (F.col("y1") + 200).alias("y1"), "col_x0", "col_x1", F.lit("below").alias("side"))
+    r = _rects(spark, sf).filter("o_orderkey % 9 = 0")
+    rules = r.select("paper_id", "pno", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 1).alias("y1"))
+    return layout.nearest_gap(bands, rules).select("band_id", "gap")
+
+
+@query("assign_rows", "SELECT CAST(n_regionkey AS BIGINT) AS table_id, 'c' || k || '-' || n_nationkey AS text, row_number() OVER (PARTITION BY n_regionkey, k ORDER BY n_nationkey) - 1 AS row FROM nation, range(3) r(k)")
+def assign_rows(spark, sf):
+    w = _cells(spark, sf).withColumn("y0", F.col("row") * 20.0 + F.col("x0") % 2).withColumn("y1", F.col("y0") + 10).withColumn("table_id", F.col("table_id").cast("long"))
+    return layout.assign_rows(w.drop("row")).select("table_id", "text", "row")

@@ -286,3 +286,30 @@ def page_data(spark, sf):
 @query("audit_warnings", f"""WITH {FLAT} SELECT paper_id, ord, '[复核] ' || figure_id || ': figure_kind=schematic 但 panels 非空' AS warning FROM fig WHERE figure_kind = 'schematic' AND ord IN (SELECT ord FROM pan)""")
 def audit_warnings(spark, sf):
     return audit.as_warnings(audit.figure_findings(records(spark, sf)).filter("rule = 'schematic_with_panels'"))
+
+
+@query("pending", f"""WITH {FLAT}, {WARNINGS}
+    SELECT paper_id, figure_id, '含模型推断字段：' || inferred AS text, 1 AS rank FROM fig JOIN pan USING (ord) WHERE inferred <> '' UNION ALL SELECT paper_id, figure_id, '整图置信度自评为低', 2 FROM fig WHERE confidence = 'low'
+    UNION ALL SELECT paper_id, 'Figure ' || c_custkey, body, 0 FROM warn WHERE event_type = 'click' UNION ALL SELECT paper_id, figure_id, '?', 3 FROM fig WHERE asks""")
+def pending(spark, sf):
+    r = records(spark, sf)
+    return render.pending(audit.review_reasons(r, warnings(spark, sf)), r)
+
+
+@query("readable_refs", """SELECT r_name AS paper_id, n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN CASE WHEN length(r_name) <= 12 THEN r_name || ' › ' ELSE '' END || n_name || '¶1' WHEN 1 THEN r_name || '¶2' ELSE '§9.9¶1' END AS ref FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def readable_refs(spark, sf):
+    t = load(spark, sf, "nation", "region")
+    n = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    top = F.concat(F.lit("§"), (F.col("r_regionkey") + 1).cast("string"))
+    own = F.concat(top, F.lit("."), (F.col("n_nationkey") + 1).cast("string"))
+    sections = n.select(F.col("r_name").alias("paper_id"), own.alias("id"), F.col("n_name").alias("title")).unionByName(n.select(F.col("r_name").alias("paper_id"), top.alias("id"), F.col("r_name").alias("title")).distinct())
+    kind = F.col("n_nationkey") % 3
+    refs = n.select(F.col("r_name").alias("paper_id"), F.col("n_nationkey").alias("k"), F.when(kind == 0, F.concat(own, F.lit("¶1"))).when(kind == 1, F.concat(top, F.lit("¶2"))).otherwise("§9.9¶1").alias("ref"))
+    return render.readable_refs(refs, sections)
+
+
+@query("api_messages", """SELECT CAST(c_nationkey AS VARCHAR) AS paper_id, 'Figure ' || c_custkey AS figure_id, '[{"role":"user","content":{"text":"Task ' || c_custkey || '","image_url":"data:image/png;base64,' || base64(CAST(c_custkey AS VARCHAR)::BLOB) || '"}}]' AS messages FROM customer""")
+def api_messages(spark, sf):
+    c = load(spark, sf, "customer")["customer"]
+    t = c.select(F.col("c_nationkey").cast("string").alias("paper_id"), F.concat(F.lit("Figure "), "c_custkey").alias("figure_id"), F.concat(F.lit("Task "), "c_custkey").alias("doc"), F.col("c_custkey").cast("string").cast("binary").alias("image"))
+    return render.api_messages(t)
