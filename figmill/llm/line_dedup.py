@@ -3,8 +3,8 @@
 Lines within ``edits`` edits of each other, cut into edits + 1 segments, share at least
 one segment at nearly the same place. Every distinct line is entered under the hashes of
 the substrings at which its own segments, or those of a line up to ``edits`` shorter, can
-lie; lines that meet under a hash are compared by a bit-parallel automaton whose state
-covers only the band of 2 * edits + 1 diagonals.
+lie; lines that meet under a hash and whose character counts allow it are compared by a
+bit-parallel automaton whose state covers only the band of 2 * edits + 1 diagonals.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.common import discard, release, saved, text_crc32
+from figmill.llm.common import discard, key_filter, passing, release, saved, text_crc32
 
 #: Edits that near lines may differ by; shorter lines (code points) are left alone.
 EDITS, LEAST_CHARS = 2, 40
@@ -44,12 +44,15 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
     """
     parts = edits + 1
     shape = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for less, i, shift in windows(edits)])
-    each = lines.select("id", "line", "chars", F.explode(shape).alias("w")).select("id", "line", "chars", "w.*")
+    # where characters are bytes, parts are cut without counting from the line's beginning
+    each = lines.select("id", "line", "chars", F.col("line").cast("binary").alias("raw"), (F.octet_length("line") == F.col("chars")).alias("plain"))
+    each = each.withColumn("w", F.explode(shape)).select("id", "line", "chars", "raw", "plain", "w.*")
     each = each.withColumn("size", F.col("chars") - F.col("less")).withColumn("more", F.col("size") % parts).withColumn("base", ((F.col("size") - F.col("more")) / parts).cast("int"))
     start = F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("more") - parts + F.col("i")) + F.col("shift")
     each = each.withColumn("start", start).withColumn("long", F.col("base") + F.when(F.col("more") >= parts - F.col("i"), 1).otherwise(0))
     fit = each.filter("start >= 0 AND start + long <= chars AND base > 0")
-    return fit.select("id", F.xxhash64("i", "size", F.substring("line", F.col("start") + 1, F.col("long"))).alias("key"))
+    cut = lambda c: F.xxhash64("i", "size", F.substring(c, F.col("start") + 1, F.col("long")))
+    return fit.select("id", F.when(F.col("plain"), cut("raw")).otherwise(cut("line")).alias("key"))
 
 
 def _states(a: Column, b: Column, edits: int) -> Column:
@@ -113,6 +116,28 @@ def near_pairs(pairs: DataFrame, edits: int) -> DataFrame:
     return out.filter(F.getbit(_states(F.col("rest_a"), F.col("rest_b"), edits), diagonal) == 1).drop("least", "head", "rest_a", "rest_b")
 
 
+#: Disjoint sets of characters whose counts bound the edits between two strings.
+BAGS = [" ", "e", "t", "a", "n", "r", "o", "i", "s", "h", "d", "l", "u", "cmg", "fwyp", "bvkjxqz"]
+
+
+def bags(line: Column) -> list[Column]:
+    """Counts of the character sets (255 at most), eight to a number."""
+    counts = [F.least(F.lit(255), F.length(line) - F.length(F.translate(line, x, ""))).cast("long") for x in BAGS]
+    packed = []
+    for half in (counts[:8], counts[8:]):
+        word = half[0]
+        for k, c in enumerate(half[1:], 1):
+            word = word.bitwiseOR(F.shiftleft(c, 8 * k))
+        packed.append(word)
+    return packed
+
+
+def bags_fit(a: str, b: str, edits: int) -> Column:
+    """One edit changes the counts by two in all at most, so pairs that differ more are no near ones."""
+    terms = [f"abs((shiftright({a}{w}, {8 * k}) & 255) - (shiftright({b}{w}, {8 * k}) & 255))" for w in (0, 1) for k in range(8)]
+    return F.expr(" + ".join(terms)) <= 2 * edits
+
+
 def instances(docs: DataFrame, least: int) -> DataFrame:
     """The lines of ``docs(row, doc_id, text)`` with ``least`` or more code points: row, doc_id, pos, line."""
     return docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.length("line") >= least)
@@ -126,33 +151,41 @@ def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     line is repeated and only its first copy in the document of smallest id stays.
     """
     spark = docs.sparkSession
-    grouped = instances(docs, least).groupBy(line_hash(F.col("line")).alias("hash")).agg(F.first("line").alias("line"), F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    grouped = instances(docs, least).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).withColumn("hash", line_hash(F.col("line")))
     rank = F.shiftleft(63 - F.floor(F.log2("n")), HASH_BITS)
     lines = saved(grouped.select(rank.bitwiseOR(F.col("hash")).alias("id"), "hash", "line", F.length("line").alias("chars"), "n", "first_doc"), "lines")
     release(spark)
     keyed = lambda: _keyed(lines, edits)
-    shared = keyed().groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first")
-    shared = saved(shared, "line-keys")
-    release(spark)
-    members = saved(keyed().join(shared, "key"), "line-members")
+    shared = saved(keyed().groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys")
     release(spark)
-    involved = members.select("id").distinct()
-    texts = saved(lines.join(involved, "id", "left_semi").select("id", "line"), "line-texts")
+    # lines with a shared key are few, so the second pass over all keys moves only those
+    met = passing(keyed(), "key", saved(key_filter(shared, "key"), "line-key-filter")).join(shared, "key")
+    met = saved(met.distinct(), "line-met")
+    firsts = met.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first")
+    members = saved(met.join(firsts, "key"), "line-members")
+    involved = saved(members.select("id").distinct(), "line-involved")
+    texts = passing(lines.select("id", "line"), "id", saved(key_filter(involved, "id"), "line-id-filter")).join(involved, "id")
+    texts = saved(texts.select("id", "line", *[x.alias(f"b{i}") for i, x in enumerate(bags(F.col("line")))]), "line-texts")
+    members = saved(members.join(texts.drop("line"), "id"), "line-bags")
     release(spark)
+    own = lambda name: [F.col("id").alias(name), *[F.col(f"b{i}").alias(f"{name}{i}") for i in (0, 1)]]
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Later lines of (id, earlier) pairs that are near the earlier one."""
         left = pairs.join(texts.select(F.col("id").alias("earlier"), F.col("line").alias("b")), "earlier")
-        return saved(near_pairs(left.join(texts.withColumnRenamed("line", "a"), "id"), edits).select("id").distinct(), name)
+        return saved(near_pairs(left.join(texts.select("id", F.col("line").alias("a")), "id"), edits).select("id").distinct(), name)
 
     # all members of a key meet its first line; only those that this leaves undecided meet the others before them
-    stars = confirmed(members.filter("id <> first").select("id", F.col("first").alias("earlier")).distinct(), "line-near-first")
-    open_lines = members.filter("id <> first").join(stars, "id", "left_anti").select("key", "id", "first")
-    rest = open_lines.join(members.select("key", F.col("id").alias("earlier")), "key").filter("earlier < id AND earlier <> first").select("id", "earlier").distinct()
+    firsts = texts.select(*own("first"))
+    stars = members.filter("id <> first").select("id", "first", "b0", "b1").distinct().join(firsts, "first").filter(bags_fit("b", "first", edits))
+    stars = confirmed(stars.select("id", F.col("first").alias("earlier")), "line-near-first")
+    open_lines = members.filter("id <> first").join(stars, "id", "left_anti").select("key", "first", *own("later"))
+    met_again = open_lines.join(members.select("key", *own("earlier")), "key").filter(F.expr("earlier < later AND earlier <> first") & bags_fit("later", "earlier", edits))
+    rest = met_again.select(F.col("later").alias("id"), "earlier").distinct()
     near = stars.unionAll(confirmed(rest, "line-near-rest")).distinct().withColumn("near", F.lit(True))
     out = lines.select("id", "hash", "n", "first_doc").join(near, "id", "left").filter("near OR n > 1").select("hash", F.coalesce("near", F.lit(False)).alias("near"), "first_doc")
     out = saved(out, "line-verdicts")
-    discard(lines, shared, members, texts)
+    discard(lines, shared, met, members, involved, texts)
     release(spark)
     return out
 
@@ -172,7 +205,8 @@ def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Data
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     keyed = numbered.select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
     verdicts = judge_lines(keyed, edits, least)
-    found = instances(keyed, least).select("row", "doc_id", "pos", line_hash(F.col("line")).alias("hash")).join(verdicts, "hash")
+    hashed = instances(keyed, least).select("row", "doc_id", "pos", line_hash(F.col("line")).alias("hash"))
+    found = passing(hashed, "hash", saved(key_filter(verdicts, "hash"), "line-verdict-filter")).join(verdicts, "hash")
     # the copies of one line in one row, in order
     per_line = found.groupBy("row", "hash", "near", (F.col("doc_id") == F.col("first_doc")).alias("own")).agg(F.sort_array(F.collect_list("pos")).alias("at"))
     gone = per_line.select("row", "near", F.when(F.col("near") | ~F.col("own"), F.col("at")).otherwise(F.slice("at", 2, F.size("at"))).alias("at"))
@@ -182,7 +216,8 @@ def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Data
     lines = F.split("text", "\n")
     dropped = F.map_from_entries(F.transform(F.array_sort("drops"), lambda p: F.struct(p, F.lit(True))))
     left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.element_at("gone", i), F.lit(False))), "\n")
-    out = numbered.join(drops.withColumn("gone", dropped), "row", "left")
+    # no side has a size bound, so both are dealt by row at every size
+    out = numbered.join(drops.withColumn("gone", dropped).hint("merge"), "row", "left")
     n_gone = F.coalesce(F.size("drops"), F.lit(0)).cast("long")
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long")).withColumn("n_repeated", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone - F.col("n_near")))
     return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("drops", "gone")
