@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated long lines go, and the documents that have nothing else; n_chars follows the text."""
-    clean = line_dedup.clean(docs.select(COLUMNS))
+    """Repeated and nearly repeated lines go, and the documents that have nothing else; n_chars follows the text."""
+    clean = line_dedup.clean(docs.select(COLUMNS), short=True)
     gone = F.col("n_repeated") + F.col("n_near")
     # a text that is empty from the start stays
     left = clean.filter((gone == 0) | (F.trim("text") != ""))

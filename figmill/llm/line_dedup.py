@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.common import discard, key_filter, passing, release, saved, text_crc32
+from figmill.llm.common import WORD, discard, key_filter, passing, release, saved, text_crc32
 
-#: Edits that near lines may differ by; shorter lines (code points) are left alone.
+#: Edits that near lines may differ by, and the code points from which they may be that many; see judge_lines for shorter lines.
 EDITS, LEAST_CHARS = 2, 40
 #: Low bits of a line's id are its hash; the high ones order lines by how common they are, common ones first.
 HASH_BITS = 57
@@ -51,7 +51,7 @@ def _keyed(lines: DataFrame, edits: int) -> DataFrame:
     start = F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("more") - parts + F.col("i")) + F.col("shift")
     each = each.withColumn("start", start).withColumn("long", F.col("base") + F.when(F.col("more") >= parts - F.col("i"), 1).otherwise(0))
     fit = each.filter("start >= 0 AND start + long <= chars AND base > 0")
-    cut = lambda c: F.xxhash64("i", "size", F.substring(c, F.col("start") + 1, F.col("long")))
+    cut = lambda c: F.xxhash64(F.lit(edits), "i", "size", F.substring(c, F.col("start") + 1, F.col("long")))
     return fit.select("id", F.when(F.col("plain"), cut("raw")).otherwise(cut("line")).alias("key"))
 
 
@@ -138,24 +138,42 @@ def bags_fit(a: str, b: str, edits: int) -> Column:
     return F.expr(" + ".join(terms)) <= 2 * edits
 
 
-def instances(docs: DataFrame, least: int) -> DataFrame:
-    """The lines of ``docs(row, doc_id, text)`` with ``least`` or more code points: row, doc_id, pos, line."""
-    return docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.length("line") >= least)
+def instances(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
+    """The lines of ``docs(row, doc_id, text)`` with ``least`` or more code points, or with ``short`` all that hold a word: row, doc_id, pos, line."""
+    judged = F.col("line").rlike(WORD) if short else F.length("line") >= least
+    return docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(judged)
 
 
-def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def _shortest(k: int, edits: int, least: int) -> int:
+    """Code points from which lines may differ by ``k`` edits: the share of ``least`` that k is of ``edits``."""
+    return -(-k * least // edits)
+
+
+def _keyed_by_length(lines: DataFrame, edits: int, least: int, short: bool) -> DataFrame:
+    """_keyed with as many edits as each line's length allows; a line that is longer than such a one by its edits is keyed for both."""
+    keyed = _keyed(lines.filter(F.col("chars") >= least), edits)
+    for k in range(1, edits if short else 1):
+        fits = F.col("chars").between(_shortest(k, edits, least), _shortest(k + 1, edits, least) - 1 + k)
+        keyed = keyed.unionAll(_keyed(lines.filter(fits), k))
+    return keyed
+
+
+def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """The distinct lines that lose copies: hash, near, first_doc.
 
     Lines are ordered by how many copies they have (by powers of two), then by hash.
     ``near``: an earlier line is within ``edits`` edits, so all copies go. Else the
     line is repeated and only its first copy in the document of smallest id stays.
+    Lines shorter than ``least`` are left out; with ``short`` those that hold a word
+    are judged too: equal ones at every length, near ones by the edits that the
+    shorter line's length allows, ``edits`` at ``least`` and in proportion below.
     """
     spark = docs.sparkSession
-    grouped = instances(docs, least).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).withColumn("hash", line_hash(F.col("line")))
+    grouped = instances(docs, least, short).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).withColumn("hash", line_hash(F.col("line")))
     rank = F.shiftleft(63 - F.floor(F.log2("n")), HASH_BITS)
     lines = saved(grouped.select(rank.bitwiseOR(F.col("hash")).alias("id"), "hash", "line", F.length("line").alias("chars"), "n", "first_doc"), "lines")
     release(spark)
-    keyed = lambda: _keyed(lines, edits)
+    keyed = lambda: _keyed_by_length(lines, edits, least, short)
     shared = saved(keyed().groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "line-keys")
     release(spark)
     # lines with a shared key are few, so the second pass over all keys moves only those
@@ -173,7 +191,10 @@ def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Later lines of (id, earlier) pairs that are near the earlier one."""
         left = pairs.join(texts.select(F.col("id").alias("earlier"), F.col("line").alias("b")), "earlier")
-        return saved(near_pairs(left.join(texts.select("id", F.col("line").alias("a")), "id"), edits).select("id").distinct(), name)
+        near = near_pairs(left.join(texts.select("id", F.col("line").alias("a")), "id"), edits)
+        shorter = F.least(F.length("a"), F.length("b"))
+        allowed = (shorter >= least) | (F.levenshtein("a", "b") <= F.floor(shorter * edits / least))
+        return saved(near.filter(allowed).select("id").distinct(), name)
 
     # all members of a key meet its first line; only those that this leaves undecided meet the others before them
     firsts = texts.select(*own("first"))
@@ -190,22 +211,23 @@ def judge_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     return out
 
 
-def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """``docs(doc_id, text, ...)`` without repeated and nearly repeated lines, with row, n_lines, n_repeated and n_near added.
 
     Of lines with ``least`` or more code points, a line that is within ``edits`` edits
     of an earlier one (see judge_lines) goes; of equal lines the first one in the
     document of smallest doc_id stays. Rows that share that doc_id are taken for one
-    document and keep theirs each; null doc_ids come last. Shorter lines stay, and
-    texts without such repeats are unchanged. Null texts stay null with no lines; an
+    document and keep theirs each; null doc_ids come last. Shorter lines stay; with
+    ``short`` they are judged as well (see judge_lines), and only lines without a word
+    stay whatever their length. Texts without such repeats are unchanged. Null texts stay null with no lines; an
     empty text has one line; an empty table gives no rows. Columns of ``docs`` that
     have one of the added names are replaced.
     """
     # a null doc_id is after all others
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     keyed = numbered.select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    verdicts = judge_lines(keyed, edits, least)
-    hashed = instances(keyed, least).select("row", "doc_id", "pos", line_hash(F.col("line")).alias("hash"))
+    verdicts = judge_lines(keyed, edits, least, short)
+    hashed = instances(keyed, least, short).select("row", "doc_id", "pos", line_hash(F.col("line")).alias("hash"))
     found = passing(hashed, "hash", saved(key_filter(verdicts, "hash"), "line-verdict-filter")).join(verdicts, "hash")
     # the copies of one line in one row, in order
     per_line = found.groupBy("row", "hash", "near", (F.col("doc_id") == F.col("first_doc")).alias("own")).agg(F.sort_array(F.collect_list("pos")).alias("at"))
@@ -223,6 +245,6 @@ def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> Data
     return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("drops", "gone")
 
 
-def digest(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def digest(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
     """One row for each of ``docs``: doc_id, n_lines, n_repeated, n_near, text_crc32 of what stays."""
-    return clean(docs.select("doc_id", "text"), edits, least).select("doc_id", "n_lines", "n_repeated", "n_near", text_crc32(F.col("text")).alias("text_crc32"))
+    return clean(docs.select("doc_id", "text"), edits, least, short).select("doc_id", "n_lines", "n_repeated", "n_near", text_crc32(F.col("text")).alias("text_crc32"))

@@ -105,7 +105,7 @@ SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(table(spark, sf_dir, "documents"))
+    return line_dedup.digest(table(spark, sf_dir, "documents"), short=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_url_filter, op3_license_scan, op4_quality_rules, op5_packing, op6_near_dedup, op7_toxicity, op8_mixing, op9_topk, op10_line_dedup)}

@@ -435,3 +435,31 @@ def test_clean_lines(spark):
     assert got[5]["n_near"] == 1 and got[5]["n_repeated"] == 1 and got[0]["n_lines"] == 0 and got[1]["n_lines"] == 1
     assert line_dedup.clean(empty(spark)).count() == 0
     assert line_dedup.digest(docs_of(spark, texts)).count() == 9
+
+
+def test_short_lines(spark, tmp_path):
+    from figmill.llm.queries import QUERIES
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdé😀 ") for _ in range(n)) + "." for n in (1, 3, 8, 17, 18, 19, 20, 25, 30, 37, 38, 39, 40, 45)]
+    lines = base + base[:4] + [x[:-1] + "!" for x in base] + [x + "yz" for x in base] + [x[:5] + x[6:] for x in base[6:]]
+    texts = ["\n".join(lines[i::5]) + "\n \n\n \n" for i in range(5)]
+    docs = docs_of(spark, texts)
+    from pyspark.sql import functions as F
+
+    hashes = spark.createDataFrame([(x, n) for x, n in Counter(lines).items()], "line string, n int").withColumn("hash", line_dedup.line_hash(F.col("line"))).collect()
+    key = {r["line"]: (-int(math.log2(r["n"])), r["hash"]) for r in hashes}
+    near = {x: any(key[y] < key[x] and edits(x, y) <= min(2, min(len(x), len(y)) // 20) for y in key) for x in key}
+    assert any(v and 20 <= len(x) < 40 for x, v in near.items())
+    seen, want = set(), {}
+    for i, text in enumerate(texts):
+        left, repeated, gone = [], 0, 0
+        for x in text.split("\n"):
+            repeated += x in seen and not near[x]
+            gone += near.get(x, False)
+            left += [x] if not WORD.search(x) or x not in seen and not near[x] else []
+            seen |= {x} if WORD.search(x) else set()
+        want[i] = (repeated, gone, zlib.crc32("\n".join(left).encode()))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_repeated"], r["n_near"], r["text_crc32"]) for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(v[0] for v in want.values())
