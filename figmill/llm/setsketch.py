@@ -103,10 +103,10 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 cid.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
                 n.append(len(s))
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "cid": pd.array(cid, dtype="Int64"), "n": n, "regs": regs})
+            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "text_key": b["text_key"], "cid": pd.array(cid, dtype="Int64"), "n": n, "regs": regs})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(run, "row long, doc_id long, cid long, n long, regs binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInPandas(run, "row long, doc_id long, text_key long, cid long, n long, regs binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -141,8 +141,8 @@ def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
 
     near = saved(both.filter(plausible("r_a", "r_b", "n_a", "n_b")).select("a", "b"), "near-pairs", batch=4000)
     ids = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = saved(ids.join(classes.select("cid", "doc_id"), "cid"), "near-classes")
-    listed = probe(build_filter(wanted.select(F.xxhash64("doc_id").alias("h"))))
+    wanted = saved(ids.join(classes.select("cid", "text_key"), "cid"), "near-classes")
+    listed = probe(build_filter(wanted.select(F.col("text_key").alias("h"))))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -150,8 +150,9 @@ def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
             own = [xxhash.xxh64_intdigest(s) - (1 << 63) == c for s, c in zip(found, b["cid"], strict=True)]
             yield pd.DataFrame({"cid": b["cid"], "s": found})[own]
 
-    # only texts that the filter passes are moved
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(listed(F.xxhash64("doc_id"))).join(wanted, "doc_id")
+    # only texts that the filter passes are moved, equal ones once: rows may lack a doc_id or repeat it, and a class needs one set
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").filter(listed(F.col("text_key")))
+    texts = texts.groupBy("text_key").agg(F.first("text").alias("text")).join(wanted, "text_key")
     full = saved(texts.select("cid", "text").mapInPandas(sets, "cid long, s binary"), "near-sets", batch=1000)
     paired = near.join(full.select(F.col("cid").alias("b"), F.col("s").alias("s_b")), "b").join(full.select(F.col("cid").alias("a"), F.col("s").alias("s_a")), "a")
 
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     costs about its size, and no proposed pair that matters for the components goes untested.
     """
     rows = saved(_sketched(docs, width), "sketches", batch=1000)
-    classes = saved(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    classes = saved(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     bands = saved(_banded(classes), "bands")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     met = saved(bands.join(shared, ["band", "key"]), "bucket-members")
@@ -272,12 +273,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     final = components(links.unionAll(more).unionAll(last.filter(_LINKED.format(percent)).select("a", "b")), "near-final")
     named = classes.select("cid", "doc_id").join(final.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = saved(named, "near-named")
-    labels = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("cid", "component_id")
+    labels = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("cid", "component", "component_id")
     out = rows.select("row", "doc_id", "n", "cid").join(labels, "cid", "left").withColumn("component_id", F.coalesce("component_id", F.when(F.col("cid").isNull(), F.col("doc_id"))))
     out = saved(out, "near-out")
-    first_row = out.filter("doc_id = component_id AND cid IS NOT NULL").groupBy("component_id").agg(F.min("row").alias("first_row"))
+    # a component without any doc_id has no component_id, so its rows meet under its class
+    first_row = out.filter("doc_id <=> component_id AND cid IS NOT NULL").groupBy("component").agg(F.min("row").alias("first_row"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.join(first_row, "component_id", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), F.coalesce(F.col("row") == F.col("first_row"), F.col("component_id").isNull() | F.col("cid").isNull()).alias("stays"))
+    return out.join(first_row, "component", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), (F.col("cid").isNull() | (F.col("row") == F.col("first_row"))).alias("stays"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -267,6 +267,45 @@ def test_near_duplicate_edges(spark):
     assert len(got) == 6 and sum(r["stays"] for r in got if r["n_shingles"]) == 1
 
 
+def test_near_duplicates_of_repeated_rows_and_null_ids(spark, monkeypatch):
+    rng = random.Random(13)
+
+    def near_group(n):
+        base = prose(rng, 120, 5000).split()
+        out = [" ".join(base)]
+        for _ in range(n):
+            w = list(base)
+            for k in rng.sample(range(len(w)), rng.choice([1, 2, 4, 6, 8])):
+                w[k] = f"e{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+        return out
+
+    ids, texts = [], []
+    for i, t in enumerate(near_group(40)):  # every row three times
+        ids += [i] * 3
+        texts += [t] * 3
+    for lacking in (2, 1):  # every other row, then all rows without an id
+        for i, t in enumerate(near_group(12)):
+            ids.append(None if i % lacking == 0 else 1000 + i)
+            texts.append(t)
+    _, component = truth(texts, 2, 80)
+    named = defaultdict(list)
+    for i, c in component.items():
+        named[c] += [] if ids[i] is None else [ids[i]]
+    held, common = [], setsketch._common
+
+    def watched(*args):
+        near, full = common(*args)
+        held.append(full.groupBy("cid").count().filter("count > 1").count())
+        return near, full
+
+    monkeypatch.setattr(setsketch, "_common", watched)
+    rows = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string")
+    got = setsketch.near_duplicates(rows, 2, 80).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((ids[i], min(named[c], default=None)) for i, c in component.items())
+    assert sum(r["stays"] for r in got) == len(set(component.values())) and held == [0, 0]
+
+
 def test_likelihood_keeps_similar_pairs():
     rng = np.random.default_rng(6)
     a = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
