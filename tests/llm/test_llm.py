@@ -116,6 +116,54 @@ def test_licences(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_licences_inside_and_across_lines(spark):
+    def words(text):
+        return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda c: c[0].lower(), text)).split()
+
+    grams = lambda w: [" ".join(p) for p in zip(w, w[1:])] if len(w) > 1 else w
+    known = [(-n, name, set(grams(words(b)))) for n, (name, b) in enumerate(sorted(license_scan.TEMPLATES.items()))]
+
+    def best(w):
+        g = grams(w)
+        return max((round(2 * len(set(g) & k) / (len(g) + len(k)), 6), n, name) for n, name, k in known) if g else (0, 0, "")
+
+    def slow(text):
+        hits, runs = [], [[]]
+        for line in (text or "").split("\n"):
+            b = best(words(line))
+            if b[0] >= 0.8:
+                hits.append(b)
+                runs.append([])
+            else:
+                runs[-1] += words(line)
+        n = len(hits)
+        for w in runs:  # every window there is
+            found = sorted((j, i, b) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 40)) if (b := best(w[i : j + 1]))[0] >= 0.8)
+            end = -1
+            for j, i, b in found:
+                hits.append(b)
+                if i > end:
+                    n, end = n + 1, j
+        return (n, max(hits)[2], max(hits)[0]) if hits else (0, None, None)
+
+    rng = random.Random(14)
+    notices = list(license_scan.TEMPLATES.values())
+    texts = ["Copyright (c) 2020 Example Inc. All rights reserved.", "The code on this page is Released under the MIT License. See below.", notices[2].replace(" General", "\nGeneral"), "All rights\nreserved", "rights all reserved", "all rights reserved. All rights reserved.\nAll rights reserved."]
+    for _ in range(30):
+        w = []
+        for _ in range(rng.randrange(1, 3)):
+            own = rng.choice(notices).split()
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(["of", "the", "license", "x", "code is"])
+            w += prose(rng, rng.randrange(5)).split() + own
+        texts.append("".join(x + rng.choice([" ", " ", " ", "\n"]) for x in w))
+    got = {r["doc_id"]: (r["n_hits"], r["license"], r["dice"]) for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert got == {i: slow(t) for i, t in enumerate(texts)}
+    assert [got[i][:2] for i in range(4)] == [(1, "All-Rights-Reserved"), (1, "MIT"), (1, "GPL-3.0"), (1, "All-Rights-Reserved")]
+    one = {r["doc_id"]: r["n_hits"] for r in license_scan.scan(docs_of(spark, ["so x11 it\nis X11", "x11", "x1"]), {"X11": "X11"}).collect()}
+    assert one == {0: 2, 1: 1, 2: 0}
+
+
 # quality
 
 
