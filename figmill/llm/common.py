@@ -91,6 +91,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def first_by_hash(df: DataFrame, keys: list[str], most: int, total: int) -> DataFrame:
+    """The first ``most`` rows of ``df`` by a hash of ``keys``, of ``total`` rows in all.
+
+    A bound on the hash leaves some four times as many before they are ordered, so
+    that partitions do not each send ``most`` rows.
+    """
+    order = F.xxhash64(*keys)
+    if total > 4 * most:
+        df = df.filter(F.pmod(order, F.lit(1 << 32)) < int((1 << 32) * (4 * most / total)))
+    return df.orderBy(order, *keys).limit(most)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings that labelled texts tie to toxicity. Postings
-of the examples lie in blocks with the largest weight of each block; a query reads
-blocks in order of their upper bound until no block can reach its k-th neighbour.
-Class-weighted, distance-weighted votes of the neighbours give the score, which a
+Terms are all words and word beginnings of the labelled examples. A term's weight in a
+text is its TF-IDF, times how far the labels tie it to toxicity; a term without such a
+tie keeps a small share of its weight, so none is left out. Examples that are alike lie
+in one block of the inverted index, which holds for each term the largest weight of
+every block: a query reads blocks in order of their upper bound until no block can reach
+its k-th neighbour. Distance-weighted votes of the neighbours give the score, which a
 logistic fit on the examples (each judged without itself) calibrates.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,71 +19,167 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.common import saved
-
-#: Bounds of the fit: labelled examples of each class (first by a hash of doc_id), terms, neighbours, examples a block.
-EXAMPLES_EACH, TERMS, NEIGHBOURS, BLOCK = 3000, 2048, 15, 64
-#: A term needs this many toxic examples, and this chi-square of its share among them against the others, at all and for each example.
-LEAST_TOXIC, LEAST_CHI, LEAST_CHI_EACH = 5, 11.0, 0.0125
+from figmill.llm.common import first_by_hash, saved
+
+#: Bounds of the fit: labelled examples of each class (first by a hash of doc_id) and distinct terms of all of them together.
+EXAMPLES_EACH, EXAMPLE_TERMS = 3000, 4_000_000
+#: Neighbours that vote, most examples of a block, texts judged at a time.
+NEIGHBOURS, BLOCK, TEXTS = 15, 64, 128
+#: Most frequent terms that blocks hold whole, blocks that are read for a first bound, and the margin of single precision.
+FREQUENT, FIRST_BLOCKS, _MARGIN = 1024, 4, 1e-4
+#: Share of its TF-IDF that a term without any tie to toxicity keeps; chi-square at which a tie counts by half; the prior's vote.
+LOOSE, HALF_CHI, PRIOR_VOTE = 0.02, 40.0, 0.2
+#: Code points of the word beginnings that are terms beside whole words.
+BEGINNINGS = (4, 5)
 _CLEAN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
+def words_of(text: str | None) -> Counter:
+    """Counts of the words of a whole text: lower case, ASCII marks dropped."""
+    return Counter((text or "").lower().encode("utf-8", "surrogatepass").translate(_CLEAN).split())
+
+
+def terms_of(word: bytes) -> list[bytes]:
+    """A word and its beginnings of 4 and 5 code points, if it is longer."""
+    out = [word]
+    if len(word) > BEGINNINGS[0]:
+        chars = word.decode("utf-8", "surrogatepass")
+        out += [chars[:n].encode("utf-8", "surrogatepass") + b"*" for n in BEGINNINGS if len(chars) > n]
+    return out
+
+
 def term_counts(text: str | None) -> Counter:
-    """Counts of the words of a whole text (lower case, ASCII marks dropped) and of their first 4 and 5 bytes."""
-    words = Counter((text or "").lower().encode("utf-8", "surrogatepass").translate(_CLEAN).split())
-    for w, n in list(words.items()):
-        if len(w) > 4:
-            words[w[:4] + b"*"] += n
-            if len(w) > 5:
-                words[w[:5] + b"*"] += n
-    return words
+    out: Counter = Counter()
+    for word, n in words_of(text).items():
+        for t in terms_of(word):
+            out[t] += n
+    return out
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + count), one after another."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class Index:
-    """Block-max inverted index of unit vectors over few terms.
+    """Block-max inverted index of unit vectors (terms, weights).
 
-    A term's postings in a block are one row of weights by example, so a query reads
-    a block as as many rows as it has terms.
+    Rows that are alike lie in one block. Of a frequent term, a block holds all its rows'
+    weights, so that many queries read a block in one product; of other terms, postings are
+    read as they are. A query's bound for a block is the most that its rows get from other
+    terms, and the frequent terms' largest weights in the block. Bounds and products are in
+    single precision with a margin; the rows that remain are compared exactly.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
-        self.block, self.terms = block, terms
-        self.size = len(vectors)
-        self.row = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]).astype(np.int64)
-        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        self.postings = self.most = None
-
-    def __getstate__(self):  # only the sparse weights travel
-        return self.__dict__ | {"postings": None, "most": None}
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK, frequent: int = FREQUENT):
+        self.size, self.terms = len(vectors), terms
+        row = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        blocks = _alike(row, term, weight, self.size, terms, block)
+        self.rows = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)  # place -> row
+        self.edges = np.cumsum([0, *map(len, blocks)])
+        place = np.empty(self.size, np.int64)
+        place[self.rows] = np.arange(self.size)
+        self.place = place
+        order = np.lexsort((term, place[row]))
+        self.term, self.weight = term[order], weight[order]
+        self.start = np.searchsorted(place[row[order]], np.arange(self.size + 1))
+        counts = np.bincount(term, minlength=terms)
+        often = np.argsort(-counts, kind="stable")[:frequent]
+        often = often[counts[often] * 32 > self.size]
+        self.column = np.full(terms, -1)
+        self.column[often] = np.arange(len(often))
+        rare = np.flatnonzero(self.column[term] < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.posting_place, self.posting_weight = place[row[rare]], weight[rare]
+        self.posting_start = np.searchsorted(term[rare], np.arange(terms + 1))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("panels", "most")}
 
     def _open(self) -> None:
-        self.postings = np.zeros((max(1, -(-self.size // self.block)), self.terms, self.block))
-        self.postings[self.row // self.block, self.term, self.row % self.block] = self.weight
-        self.most = self.postings.max(axis=2)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k rows of highest positive cosine, ties to the smaller row; ``skip`` takes no part."""
-        if self.postings is None:
+        at = np.repeat(np.arange(self.size), np.diff(self.start))
+        often = self.column[self.term] >= 0
+        dense = np.zeros((int(self.column.max(initial=-1)) + 1, self.size), np.float32)
+        dense[self.column[self.term[often]], at[often]] = self.weight[often]
+        self.panels = [np.ascontiguousarray(dense[:, a:b]) for a, b in zip(self.edges, self.edges[1:], strict=False)]
+        self.most = np.stack([p.max(axis=1) for p in self.panels], axis=1) if self.panels else np.zeros((0, 0), np.float32)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[np.ndarray] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the ``k`` rows of highest positive cosine, ties to the smaller row; rows in its ``skip`` take no part."""
+        if not hasattr(self, "panels"):
             self._open()
-        bounds = self.most[:, terms] @ weights
-        order = np.argsort(-bounds, kind="stable")
-        rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for i in range(0, len(order), 8):
-            some = order[i : i + 8]
-            some = some[(bounds[some] > 0) & ((len(scores) < k) or (bounds[some] >= scores[-1] - 1e-12))]
-            if not len(some):
-                break
-            cosines = np.einsum("t,btk->bk", weights, self.postings[some[:, None], terms])
-            at = (some[:, None] * self.block + np.arange(self.block)).ravel()
-            cosines = cosines.ravel()
-            good = (cosines > 0) & (at != skip)
-            if len(scores) == k:
-                good &= cosines >= scores[-1]
-            rows, scores = np.concatenate([rows, at[good]]), np.concatenate([scores, cosines[good]])
-            best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[best], scores[best]
-        return list(zip(scores.tolist(), rows.tolist(), strict=True))
+        n, blocks = len(queries), len(self.panels)
+        if not n or not blocks:
+            return [[] for _ in queries]
+        of = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        term, weight = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        column = self.column[term]
+        often = column >= 0
+        dense = np.zeros((n, self.most.shape[0]), np.float32)
+        dense[of[often], column[often]] = weight[often]
+        t = term[~often]
+        counts = self.posting_start[t + 1] - self.posting_start[t]
+        posting = _ranges(self.posting_start[t], counts)
+        cell = np.repeat(of[~often] * self.size, counts) + self.posting_place[posting]
+        scores = np.bincount(cell, np.repeat(weight[~often], counts) * self.posting_weight[posting], minlength=n * self.size).reshape(n, self.size)
+        out_of = np.zeros((n, self.size), bool)
+        for i, rows in enumerate(skip or ()):
+            out_of[i, self.place[rows]] = True
+        bounds = np.maximum.reduceat(scores, self.edges[:-1], axis=1) + dense @ self.most
+        found, least = np.full((n, self.size), -1.0), np.zeros(n)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        first = np.zeros((n, blocks), bool)
+        np.put_along_axis(first, order[:, :FIRST_BLOCKS], True, axis=1)
+        for wanted in (first, ~first):  # the best blocks give a bound that rules out others
+            wanted = wanted & (bounds > 0) & (bounds >= least[:, None] - _MARGIN)
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                some, s = np.flatnonzero(wanted[:, b]), slice(self.edges[b], self.edges[b + 1])
+                found[some, s] = scores[some, s] + dense[some] @ self.panels[b]
+            found[out_of] = -1
+            if self.size > k:
+                least = np.maximum(np.partition(found, self.size - k, axis=1)[:, self.size - k], 0)
+        out, whole = [], np.zeros(self.terms)
+        for i, (t, w) in enumerate(queries):
+            near = np.flatnonzero(found[i] > max(least[i] - _MARGIN, 0))
+            sizes = self.start[near + 1] - self.start[near]
+            at = _ranges(self.start[near], sizes)
+            whole[t] = w
+            exact = np.bincount(np.repeat(np.arange(len(near)), sizes), whole[self.term[at]] * self.weight[at], minlength=len(near))
+            whole[t] = 0
+            rows = self.rows[near]
+            best = np.lexsort((rows, -np.round(exact, 9)))[:k]
+            out.append([(float(exact[j]), int(rows[j])) for j in best if exact[j] > 0])
+        return out
+
+
+def _alike(row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms: int, block: int) -> list[np.ndarray]:
+    """Blocks of rows: sets are halved by which of two far rows their rows are closer to, until they fit."""
+    starts, out, todo = np.searchsorted(row, np.arange(size + 1)), [], [np.arange(size)] if size else []
+    dense = np.zeros(terms)
+    while todo:
+        part = todo.pop()
+        if len(part) <= block:
+            out.append(part)
+            continue
+        sizes = starts[part + 1] - starts[part]
+        at, local = _ranges(starts[part], sizes), np.repeat(np.arange(len(part)), sizes)
+
+        def cosines(one: int) -> np.ndarray:
+            s = slice(starts[one], starts[one + 1])
+            dense[term[s]] = weight[s]
+            found = np.bincount(local, dense[term[at]] * weight[at], minlength=len(part))  # noqa: B023
+            dense[term[s]] = 0
+            return found
+
+        far = cosines(part[int(cosines(part[0]).argmin())])
+        gap = far - cosines(part[int(far.argmin())])
+        half = np.argsort(gap, kind="stable")
+        cut = int(np.clip(np.searchsorted(gap[half], 0), len(part) // 4, len(part) - len(part) // 4))
+        todo += [part[half[:cut]], part[half[cut:]]]
+    return out
 
 
 class Votes:
@@ -91,15 +188,17 @@ class Votes:
     def __init__(self, index: Index, toxic: np.ndarray, shares: np.ndarray, prior: float, k: int = NEIGHBOURS):
         self.index, self.toxic, self.share, self.prior, self.k, self.fit = index, toxic, shares, prior, k, (1.0, 0.0)
 
-    def raw(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(terms, weights, self.k, skip) if len(terms) else []
-        votes = [(c * self.share[r], self.toxic[r]) for c, r in near]
-        # one vote of the prior's opinion keeps few or far neighbours from certainty
-        return (sum(v * t for v, t in votes) + 0.2 * self.prior) / (sum(v for v, _ in votes) + 0.2), near
-
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        x = np.array([_logit(self.raw(t, w, skip=i)[0]) for i, (t, w) in enumerate(vectors)])
-        a, b = 1.0, 0.0
+    def raw(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[np.ndarray]) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """The vote for each vector, weighted by cosine and class, and its neighbours."""
+        near = self.index.nearest(vectors, self.k, skip)
+        # the prior's opinion keeps few or far neighbours from certainty
+        total = [PRIOR_VOTE + sum(c * self.share[r] for c, r in some) for some in near]
+        toxic = [PRIOR_VOTE * self.prior + sum(c * self.share[r] * self.toxic[r] for c, r in some) for some in near]
+        return np.array(toxic) / np.array(total), near
+
+    def calibrate(self, raw: np.ndarray) -> None:
+        """A logistic fit of the examples' labels on their own votes."""
+        x, a, b = _logit(raw), 1.0, 0.0
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             s = self.share * p * (1 - p)
@@ -112,95 +211,151 @@ class Votes:
         if a > 0:
             self.fit = (float(a), float(b))
 
-    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        raw, near = self.raw(terms, weights)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.fit[0] * _logit(raw) + self.fit[1])))), near
+    def score(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[np.ndarray]) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        raw, near = self.raw(vectors, skip)
+        return 1 / (1 + np.exp(-np.clip(self.fit[0] * _logit(raw) + self.fit[1], -30, 30))), near
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-6), 1 - 1e-6)
-    return math.log(p / (1 - p))
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
 
 
-class Model:
-    """What ``fit`` learnt: terms, their weights over all documents, and the examples."""
+def ties(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How far each term is tied to toxicity, LOOSE to 1, by the chi-square of the examples that hold it."""
+    a, b, c, d = toxic, clean, n_toxic - toxic, n_clean - clean
+    chi = (a * d - b * c) ** 2 * (n_toxic + n_clean) / np.maximum((a + b) * (c + d) * max(1, n_toxic) * max(1, n_clean), 1)
+    return LOOSE + (1 - LOOSE) * np.where(a * d > b * c, chi**2 / (chi**2 + HALF_CHI**2), 0)
 
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray, votes: Votes | None, ids: list[int]):
-        self.vocabulary, self.wanted, self.idf, self.votes, self.ids = vocabulary, set(vocabulary), idf, votes, ids
 
-    def vector(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        t = np.asarray(terms, dtype=np.int64)
-        w = (1 + np.log(np.asarray(counts, dtype=float))) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / (np.sqrt(w @ w) or 1.0)
+class Model:
+    """What ``fit`` learnt: the terms, their weights, and the examples."""
+
+    def __init__(self, vocabulary: dict[bytes, int], weights: np.ndarray, votes: Votes | None, ids: np.ndarray):
+        self.vocabulary, self.weights, self.votes, self.ids = vocabulary, weights, votes, ids
+        self.known: dict[bytes, list[int]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and counts of a whole text."""
+        if len(self.known) > 100_000:  # words met lately
+            self.known.clear()
+        known, found, times = self.known, [], []
+        for word, n in words_of(text).items():
+            own = known.get(word)
+            if own is None:
+                own = known[word] = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
+            found += own
+            times += [n] * len(own)
+        terms, at = np.unique(np.array(found, dtype=np.int64), return_inverse=True)
+        return terms, np.bincount(at, times, minlength=len(terms))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weights[terms]
+        return terms, w / (np.sqrt(w @ w) or 1.0)
+
+    def judge(self, doc_ids, texts) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """Scores and (cosine, example) evidence of texts; a document's own label is no evidence."""
+        if not self.votes:
+            return np.zeros(len(texts)), [[] for _ in texts]
+        scores, near = [np.zeros(0)], []
+        for i in range(0, len(texts), TEXTS):
+            ids = doc_ids[i : i + TEXTS]
+            low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
+            some = self.votes.score([self.vector(*self.read(t)) for t in texts[i : i + TEXTS]], [np.arange(a, b) for a, b in zip(low, high, strict=True)])
+            scores.append(some[0])
+            near += some[1]
+        return np.concatenate(scores), near
+
+    def rejects(self, doc_id: Column, text: Column) -> Column:
+        """Whether documents are predicted toxic."""
 
-    def read(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Term numbers and counts of a text."""
-        c = term_counts(text)
-        found = sorted((self.vocabulary[t], c[t]) for t in self.wanted.intersection(c))
-        return [t for t, _ in found], [n for _, n in found]
+        @F.pandas_udf("boolean")
+        def toxic(ids: pd.Series, texts: pd.Series) -> pd.Series:
+            return pd.Series(self.judge(_plain(ids), texts.to_list())[0] >= 0.5)
 
-    def judge(self, terms, counts) -> tuple[float, list[tuple[float, int]]]:
-        """Score and (cosine, example) evidence of a text's terms."""
-        return self.votes.score(*self.vector(terms, counts)) if self.votes else (0.0, [])
+        return toxic(doc_id.cast("long"), text)
 
-    def rejects(self, text) -> Column:
-        """Whether the texts of a column are predicted toxic."""
 
-        @F.pandas_udf("boolean")
-        def toxic(texts: pd.Series) -> pd.Series:
-            return pd.Series([self.judge(*self.read(t))[0] >= 0.5 for t in texts], dtype=bool)
+def _plain(ids: pd.Series) -> np.ndarray:
+    """Ids as whole numbers; rows without one get a number that no example has."""
+    return ids.astype("Int64").fillna(_NO_ID).to_numpy(dtype=np.int64)
 
-        return toxic(text)
 
+_NO_ID = -(1 << 63)
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the terms of all documents: doc_id, terms, counts."""
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model learnt from the labelled rows that are not held out, with document frequencies over all of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = saved(known, "toxicity-labels")
     classes = dict(known.groupBy("toxic").count().collect())
-    chosen = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES_EACH) for t in (0, 1)]
+    chosen = [first_by_hash(known.filter(F.col("toxic") == t), ["doc_id"], EXAMPLES_EACH, classes.get(t, 0)) for t in (0, 1)]
     examples = saved(chosen[0].unionByName(chosen[1]), "toxicity-examples")  # at most 2 * EXAMPLES_EACH rows
 
-    def to_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"toxic": b["toxic"], "terms": [[t for t in term_counts(x)] for x in b["text"]]})
-
-    seen = saved(texts.join(F.broadcast(examples), "doc_id").select("toxic", "text").mapInPandas(to_terms, "toxic int, terms array<binary>"), "toxicity-example-terms")
-    per_class = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = per_class.get(1, 0), per_class.get(0, 0)
-    by_term = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b, c, d = F.col("a").cast("double"), F.col("b").cast("double"), F.lit(float(bad)) - F.col("a"), F.lit(float(good)) - F.col("b")
-    chi = (a * d - b * c) * (a * d - b * c) * (bad + good) / ((a + b) * (c + d + 1e-9) * max(1, bad) * max(1, good))
-    strong = by_term.filter((F.col("a") >= LEAST_TOXIC) & (a * d > b * c)).withColumn("chi", chi).filter(F.col("chi") >= max(LEAST_CHI, LEAST_CHI_EACH * (bad + good))).orderBy(F.desc("chi"), "term").limit(TERMS)
-    vocabulary = {bytes(r["term"]): i for i, r in enumerate(strong.select("term").collect())}
-    reader = Model(vocabulary, np.ones(max(1, len(vocabulary))), None, [])
-
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [reader.read(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "terms": [t for t, _ in rows], "counts": [n for _, n in rows]})
-
-    sparse = saved(texts.mapInPandas(counted, "doc_id long, terms array<int>, counts array<int>"), "toxicity-terms")
-    total = sparse.count()
-    frequency = np.zeros(max(1, len(vocabulary)))
-    for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most TERMS rows
-        frequency[r[0]] = r[1]
-    model = Model(vocabulary, np.log((1 + total) / (1 + frequency)) + 1, None, [])
-    rows = sparse.join(F.broadcast(examples), "doc_id").orderBy("doc_id", "terms", "counts").collect()
-    vectors = [model.vector(r["terms"], r["counts"]) for r in rows]
+            rows = [term_counts(x) for x in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [list(c) for c in rows], "counts": [list(c.values()) for c in rows], "n": [len(c) for c in rows]})
+
+    # of rows that share a doc_id one text is the example
+    one = texts.join(F.broadcast(examples), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    seen = saved(one.mapInPandas(counted, "doc_id long, toxic int, terms array<binary>, counts array<int>, n long"), "toxicity-example-terms", batch=64)
+    sizes = seen.select("doc_id", "toxic", "n", F.xxhash64("doc_id").alias("h")).orderBy("toxic", "h", "doc_id").collect()  # at most 2 * EXAMPLES_EACH rows
+    held, total = [], Counter()
+    for r in sizes:
+        if total[r["toxic"]] + r["n"] <= EXAMPLE_TERMS // 2:
+            total[r["toxic"]] += r["n"]
+            held.append(r["doc_id"])
+    if not held:
+        return Model({}, np.ones(1), None, np.zeros(0, np.int64))
+    rows = seen.filter(F.col("doc_id").isin(held)).orderBy("doc_id").select("doc_id", "toxic", "terms", "counts").collect()  # at most EXAMPLE_TERMS terms
+    vocabulary = {t: i for i, t in enumerate(sorted({bytes(t) for r in rows for t in r["terms"]}))}
+    numbered = [np.array([vocabulary[bytes(t)] for t in r["terms"]], dtype=np.int64) for r in rows]
     toxic = np.array([r["toxic"] for r in rows], dtype=float)
-    if not len(rows):
-        return model, sparse
+    reader = Model(vocabulary, np.ones(len(vocabulary)), None, np.zeros(0, np.int64))
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents, found = 0, np.zeros(len(vocabulary), dtype=np.int64)
+        for b in batches:
+            documents += len(b)
+            for t in b["text"]:
+                found[reader.read(t)[0]] += 1
+        terms = np.flatnonzero(found)
+        yield pd.DataFrame({"term": np.r_[-1, terms], "n": np.r_[documents, found[terms]]})
+
+    # one row for each term of the examples at most, whatever the corpus
+    frequency = texts.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = saved(frequency, "toxicity-frequencies").toPandas()
+    df = np.zeros(len(vocabulary))
+    df[found["term"][found["term"] >= 0]] = found["n"][found["term"] >= 0]
+    documents = int(found["n"][found["term"] < 0].sum())
+    held_by = lambda own: np.bincount(np.concatenate([numbered[i] for i in np.flatnonzero(own)] or [np.zeros(0, np.int64)]), minlength=len(vocabulary)).astype(float)
+    tied = ties(held_by(toxic > 0), held_by(toxic == 0), int(toxic.sum()), int((toxic == 0).sum()))
+    model = Model(vocabulary, (np.log((1 + documents) / (1 + df)) + 1) * tied, None, np.array([r["doc_id"] for r in rows], dtype=np.int64))
+    vectors = [model.vector(t[(o := np.argsort(t))], np.array(r["counts"], dtype=float)[o]) for t, r in zip(numbered, rows, strict=True)]
     kept = Counter(toxic)
     # a class sampled more thinly weighs more, so that votes and calibration follow all labelled rows
     share = np.array([classes[int(t)] / kept[t] for t in toxic])
     share = share / share.mean()
-    none = np.array([not len(t) for t, _ in vectors], dtype=bool)
-    prior = float(((share * toxic)[none].sum() + 0.01) / (share[none].sum() + 1))
-    votes = Votes(Index(vectors, max(1, len(vocabulary))), toxic, share, prior)
+    bare = np.array([not len(t) for t, _ in vectors], dtype=bool)
+    prior = float(((share * toxic)[bare].sum() + 0.01) / (share[bare].sum() + 1))
+    model.votes = votes = Votes(Index(vectors, len(vocabulary)), toxic, share, prior)
     if len(kept) == 2:
-        votes.calibrate(vectors)
-    return Model(vocabulary, model.idf, votes, [r["doc_id"] for r in rows]), sparse
+
+        def own_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i in range(0, len(b), TEXTS):
+                    at = b["id"].to_numpy()[i : i + TEXTS]
+                    yield pd.DataFrame({"id": at, "raw": votes.raw([vectors[j] for j in at], [np.array([j]) for j in at])[0]})
+
+        spark = docs.sparkSession
+        raw = spark.range(len(rows), numPartitions=max(1, min(len(rows) // 500, 16))).mapInPandas(own_votes, "id long, raw double").toPandas()
+        votes.calibrate(raw.sort_values("id")["raw"].to_numpy())
+    return model
 
 
 def held_out() -> Column:
@@ -213,28 +368,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Returns doc_id, held_out (crc32 of doc_id as text mod 5 is 0: never learnt
     from), score, predicted, evidence (the nearest examples' doc_id, cosine and
-    label). Terms' document frequencies are of all documents. Null and empty
-    texts, and texts without a term, get the score of their like among the
-    examples. Without labelled rows the score is 0.0. Repeated rows are scored
-    each, null labels are ignored, a doc_id labelled twice counts as toxic if
-    one label says so; other columns are ignored.
+    label). The vector space is of all terms of the examples; their document
+    frequencies are of all documents. A document's own label is not among its
+    evidence. Null and empty texts, and texts without a term of the space, get the
+    score of their like among the examples. Without labelled rows the score is 0.0.
+    Repeated rows are scored each, null labels are ignored, a doc_id labelled twice
+    counts as toxic if one label says so; of rows that share a labelled doc_id the
+    first text in order is the example; other columns are ignored.
     """
-    model, sparse = fit(docs, labels)
+    model = fit(docs, labels)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[bytes, tuple] = {}
         for b in batches:
-            out, evidence = [], []
-            for terms, counts in zip(b["terms"], b["counts"], strict=True):
-                key = np.asarray(terms, dtype=np.int32).tobytes() + b"/" + np.asarray(counts, dtype=np.int32).tobytes()
-                if key not in cache:
-                    if len(cache) > 50_000:
-                        cache.clear()
-                    cache[key] = model.judge(terms, counts)
-                value, near = cache[key]
-                out.append(value)
-                evidence.append([{"doc_id": model.ids[r], "cosine": c, "toxic": int(model.votes.toxic[r])} for c, r in near])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": out, "evidence": evidence})
-
-    found = sparse.mapInPandas(scored, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+            value, near = model.judge(_plain(b["doc_id"]), b["text"].to_list())
+            evidence = [[{"doc_id": int(model.ids[r]), "cosine": c, "toxic": int(model.votes.toxic[r])} for c, r in some] for some in near]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": value, "evidence": evidence})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = texts.mapInPandas(scored, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

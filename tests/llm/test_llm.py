@@ -402,19 +402,74 @@ def test_toxicity(spark):
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(8)
-    vectors = []
-    for _ in range(300):
-        t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.random(len(t)) + 0.1
-        vectors.append((t, w / np.sqrt(w @ w)))
-    index = toxicity.Index(vectors, 40, block=16)
-    for t, w in vectors[:50]:
-        cosines = []
-        for i, (u, v) in enumerate(vectors):
-            c = sum(a * b for x, a in zip(t, w) for y, b in zip(u, v) if x == y)
-            cosines.append((-round(c, 12), i))
-        want = [i for c, i in sorted(cosines)[:7] if c < 0]
-        assert [i for _, i in index.nearest(t, w, 7)] == want
+    for words, frequent in ((40, 8), (40, 0), (3000, 64)):
+        vectors = [(np.zeros(0, np.int64), np.zeros(0))]
+        for _ in range(300):
+            t = np.sort(rng.choice(words, rng.integers(1, 30), replace=False))
+            w = rng.random(len(t)) + 0.1
+            vectors.append((t, w / np.sqrt(w @ w)))
+        vectors += vectors[5:9]  # ties
+        index = toxicity.Index(vectors, words, block=16, frequent=frequent)
+        assert sorted(index.rows.tolist()) == list(range(len(vectors))) and np.diff(index.edges).max() <= 16
+        skip = [np.array([i]) for i in range(60)]
+        got = index.nearest(vectors[:60], 7, skip)
+        for q, (t, w) in enumerate(vectors[:60]):
+            cosines = []
+            for i, (u, v) in enumerate(vectors):
+                c = sum(a * v[list(u).index(x)] for x, a in zip(t, w) if x in u)
+                cosines.append((-round(c, 9), i))
+            want = [i for c, i in sorted(cosines) if c < 0 and i != q][:7]
+            assert [i for _, i in got[q]] == want
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """TF-IDF over all terms, ties, cosines, votes and calibration, computed term by term."""
+    rng = random.Random(17)
+    texts, toxic = [None, "", "?!"], [0, 0, 0]
+    for i in range(90):
+        w = prose(rng, rng.randrange(3, 40), 120).split() + (["Idiot!"] if i % 3 == 0 else [])
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        toxic.append(int(i % 3 == 0))
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic) if i % 4], "doc_id long, toxic int")
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, texts[8])]  # a repeated row and one without an id
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    counts = [toxicity.term_counts(t) for _, t in rows]
+    learn = [i for i in range(len(texts)) if i % 4 and zlib.crc32(str(i).encode()) % 5]
+    space = {t for i in learn for t in counts[i]}
+    bad, good = [i for i in learn if toxic[i]], [i for i in learn if not toxic[i]]
+    weight = {}
+    for t in space:
+        a, b = sum(t in counts[i] for i in bad), sum(t in counts[i] for i in good)
+        c, d = len(bad) - a, len(good) - b
+        chi = (a * d - b * c) ** 2 * len(learn) / max((a + b) * (c + d) * len(bad) * len(good), 1)
+        tie = chi**2 / (chi**2 + toxicity.HALF_CHI**2) if a * d > b * c else 0
+        df = sum(t in x for x in counts)
+        weight[t] = (math.log((1 + len(rows)) / (1 + df)) + 1) * (toxicity.LOOSE + (1 - toxicity.LOOSE) * tie)
+
+    def vector(x):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in x.items() if t in space}
+        norm = math.sqrt(sum(a * a for a in v.values())) or 1
+        return {t: a / norm for t, a in v.items()}
+
+    vectors = {i: vector(counts[i]) for i in learn}
+    bare = [i for i in learn if not vectors[i]]
+    prior = (sum(toxic[i] for i in bare) + 0.01) / (len(bare) + 1)
+
+    def vote(v, own):
+        near = sorted((-round(sum(a * vectors[i].get(t, 0) for t, a in v.items()), 9), i) for i in learn if i != own)[: toxicity.NEIGHBOURS]
+        near = [(-c, i) for c, i in near if c < 0]
+        p = (0.2 * prior + sum(c * toxic[i] for c, i in near)) / (0.2 + sum(c for c, _ in near))
+        return math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))), [i for _, i in near]
+
+    x, y, a, b = np.array([vote(vectors[i], i)[0] for i in learn]), np.array([toxic[i] for i in learn]), 1.0, 0.0
+    for _ in range(4000):  # plain descent on the same regularised loss
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        a, b = a - 0.002 * (np.sum((p - y) * x) + a - 1), b - 0.002 * (np.sum(p - y) + b)
+    for r, (i, _), c in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"])), sorted(rows, key=lambda r: (r[0] is None, r[0])), [vector(counts[k]) for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0]))]):
+        z, near = vote(c, i)
+        assert r["doc_id"] == i and [e["doc_id"] for e in r["evidence"]] == near
+        assert abs(r["score"] - 1 / (1 + math.exp(-(a * z + b)))) < 2e-3
 
 
 # mixing
