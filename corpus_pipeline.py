@@ -18,8 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go; no text is moved for it."""
-    model, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.select(COLUMNS).filter(~model.rejects(F.col("text")))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.select(COLUMNS).filter(~model.rejects(F.col("doc_id"), F.col("text")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
