@@ -296,15 +296,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = [first_by_hash(known.filter(F.col("toxic") == t), ["doc_id"], EXAMPLES_EACH, classes.get(t, 0)) for t in (0, 1)]
     examples = saved(chosen[0].unionByName(chosen[1]), "toxicity-examples")  # at most 2 * EXAMPLES_EACH rows
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # of rows that share a doc_id one text is the example
+    one = saved(texts.join(F.broadcast(examples), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-example-texts")
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [term_counts(x) for x in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [list(c) for c in rows], "counts": [list(c.values()) for c in rows], "n": [len(c) for c in rows]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "n": [len(term_counts(x)) for x in b["text"]]})
 
-    # of rows that share a doc_id one text is the example
-    one = texts.join(F.broadcast(examples), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    seen = saved(one.mapInPandas(counted, "doc_id long, toxic int, terms array<binary>, counts array<int>, n long"), "toxicity-example-terms", batch=64)
-    sizes = seen.select("doc_id", "toxic", "n", F.xxhash64("doc_id").alias("h")).orderBy("toxic", "h", "doc_id").collect()  # at most 2 * EXAMPLES_EACH rows
+    sizes = one.mapInPandas(sized, "doc_id long, toxic int, n long").orderBy("toxic", F.xxhash64("doc_id"), "doc_id").collect()  # at most 2 * EXAMPLES_EACH rows
     held, total = [], Counter()
     for r in sizes:
         if total[r["toxic"]] + r["n"] <= EXAMPLE_TERMS // 2:
@@ -312,12 +311,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             held.append(r["doc_id"])
     if not held:
         return Model({}, np.ones(1), None, np.zeros(0, np.int64))
-    rows = seen.filter(F.col("doc_id").isin(held)).orderBy("doc_id").select("doc_id", "toxic", "terms", "counts").collect()  # at most EXAMPLE_TERMS terms
-    vocabulary = {t: i for i, t in enumerate(sorted({bytes(t) for r in rows for t in r["terms"]}))}
-    numbered = [np.array([vocabulary[bytes(t)] for t in r["terms"]], dtype=np.int64) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], dtype=float)
+    if len(held) < len(sizes):
+        one = one.filter(F.col("doc_id").isin(held))
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_by: dict[bytes, list[int]] = {}
+        for b in batches:
+            for t, x in zip(b["toxic"], b["text"], strict=True):
+                for term in term_counts(x):
+                    held_by.setdefault(term, [0, 0])[t] += 1
+        yield pd.DataFrame({"term": list(held_by), "clean": [n[0] for n in held_by.values()], "toxic": [n[1] for n in held_by.values()]})
+
+    # at most EXAMPLE_TERMS rows
+    known_terms = one.mapInPandas(distinct, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    known_terms = saved(known_terms, "toxicity-terms").toArrow().sort_by("term")
+    vocabulary = {t: i for i, t in enumerate(known_terms["term"].to_pylist())}
+    in_clean, in_toxic = known_terms["clean"].to_numpy().astype(float), known_terms["toxic"].to_numpy().astype(float)
+    del known_terms
     reader = Model(vocabulary, np.ones(len(vocabulary)), None, np.zeros(0, np.int64))
 
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [reader.read(x) for x in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [t.astype(np.int32) for t, _ in rows], "counts": [n.astype(np.int32) for _, n in rows]})
+
+    rows = saved(one.mapInPandas(numbered, "doc_id long, toxic int, terms array<int>, counts array<int>"), "toxicity-vectors").toArrow().sort_by("doc_id")  # at most EXAMPLE_TERMS numbers
+    toxic = rows["toxic"].to_numpy().astype(float)
+
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         documents, found = 0, np.zeros(len(vocabulary), dtype=np.int64)
         for b in batches:
@@ -329,14 +349,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     # one row for each term of the examples at most, whatever the corpus
     frequency = texts.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = saved(frequency, "toxicity-frequencies").toPandas()
+    found = saved(frequency, "toxicity-frequencies").toArrow()
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
     df = np.zeros(len(vocabulary))
-    df[found["term"][found["term"] >= 0]] = found["n"][found["term"] >= 0]
-    documents = int(found["n"][found["term"] < 0].sum())
-    held_by = lambda own: np.bincount(np.concatenate([numbered[i] for i in np.flatnonzero(own)] or [np.zeros(0, np.int64)]), minlength=len(vocabulary)).astype(float)
-    tied = ties(held_by(toxic > 0), held_by(toxic == 0), int(toxic.sum()), int((toxic == 0).sum()))
-    model = Model(vocabulary, (np.log((1 + documents) / (1 + df)) + 1) * tied, None, np.array([r["doc_id"] for r in rows], dtype=np.int64))
-    vectors = [model.vector(t[(o := np.argsort(t))], np.array(r["counts"], dtype=float)[o]) for t, r in zip(numbered, rows, strict=True)]
+    df[term[term >= 0]] = n[term >= 0]
+    documents = int(n[term < 0].sum())
+    tied = ties(in_toxic, in_clean, int(toxic.sum()), int((toxic == 0).sum()))
+    model = Model(vocabulary, (np.log((1 + documents) / (1 + df)) + 1) * tied, None, rows["doc_id"].to_numpy())
+    arrays = lambda c, kind: [x.values.to_numpy().astype(kind) for x in rows[c]]
+    vectors = [model.vector(t, n) for t, n in zip(arrays("terms", np.int64), arrays("counts", float), strict=True)]
     kept = Counter(toxic)
     # a class sampled more thinly weighs more, so that votes and calibration follow all labelled rows
     share = np.array([classes[int(t)] / kept[t] for t in toxic])
