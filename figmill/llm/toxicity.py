@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figmill.llm.common import first_by_hash, saved
@@ -84,26 +84,32 @@ class Index:
         place[self.rows] = np.arange(self.size)
         self.place = place
         order = np.lexsort((term, place[row]))
-        self.term, self.weight = term[order], weight[order]
+        self.frequent, self.place = frequent, place
+        # the vectors by place; all else is made where it is used
+        self.term, self.weight = term[order].astype(np.int32), weight[order].astype(np.float32)
         self.start = np.searchsorted(place[row[order]], np.arange(self.size + 1))
-        counts = np.bincount(term, minlength=terms)
-        often = np.argsort(-counts, kind="stable")[:frequent]
-        often = often[counts[often] * 32 > self.size]
-        self.column = np.full(terms, -1)
-        self.column[often] = np.arange(len(often))
-        rare = np.flatnonzero(self.column[term] < 0)
-        rare = rare[np.argsort(term[rare], kind="stable")]
-        self.posting_place, self.posting_weight = place[row[rare]], weight[rare]
-        self.posting_start = np.searchsorted(term[rare], np.arange(terms + 1))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("panels", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in _OPENED}
+
+    def vector(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.start[self.place[row]], self.start[self.place[row] + 1])
+        return self.term[at].astype(np.int64), self.weight[at].astype(float)
 
     def _open(self) -> None:
-        at = np.repeat(np.arange(self.size), np.diff(self.start))
-        often = self.column[self.term] >= 0
+        at, term = np.repeat(np.arange(self.size), np.diff(self.start)), self.term
+        counts = np.bincount(term, minlength=self.terms)
+        often = np.argsort(-counts, kind="stable")[: self.frequent]
+        often = often[counts[often] * 32 > self.size]
+        self.column = np.full(self.terms, -1)
+        self.column[often] = np.arange(len(often))
+        rare = np.flatnonzero(self.column[term] < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.posting_place, self.posting_weight = at[rare].astype(np.int32), self.weight[rare]
+        self.posting_start = np.searchsorted(term[rare], np.arange(self.terms + 1))
+        often = self.column[term] >= 0
         dense = np.zeros((int(self.column.max(initial=-1)) + 1, self.size), np.float32)
-        dense[self.column[self.term[often]], at[often]] = self.weight[often]
+        dense[self.column[term[often]], at[often]] = self.weight[often]
         self.panels = [np.ascontiguousarray(dense[:, a:b]) for a, b in zip(self.edges, self.edges[1:], strict=False)]
         self.most = np.stack([p.max(axis=1) for p in self.panels], axis=1) if self.panels else np.zeros((0, 0), np.float32)
 
@@ -150,11 +156,15 @@ class Index:
             exact = np.bincount(np.repeat(np.arange(len(near)), sizes), whole[self.term[at]] * self.weight[at], minlength=len(near))
             whole[t] = 0
             rows = self.rows[near]
-            best = np.lexsort((rows, -np.round(exact, 9)))[:k]
+            best = np.lexsort((rows, -np.round(exact, 6)))[:k]
             out.append([(float(exact[j]), int(rows[j])) for j in best if exact[j] > 0])
         return out
 
 
+#: What an index makes of its vectors where it is used.
+_OPENED = {"panels", "most", "column", "posting_place", "posting_weight", "posting_start"}
+
+
 def _alike(row: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, terms: int, block: int) -> list[np.ndarray]:
     """Blocks of rows: sets are halved by which of two far rows their rows are closer to, until they fit."""
     starts, out, todo = np.searchsorted(row, np.arange(size + 1)), [], [np.arange(size)] if size else []
@@ -272,9 +282,11 @@ class Model:
     def rejects(self, doc_id: Column, text: Column) -> Column:
         """Whether documents are predicted toxic."""
 
+        shared = SparkSession.active().sparkContext.broadcast(self)
+
         @F.pandas_udf("boolean")
         def toxic(ids: pd.Series, texts: pd.Series) -> pd.Series:
-            return pd.Series(self.judge(_plain(ids), texts.to_list())[0] >= 0.5)
+            return pd.Series(shared.value.judge(_plain(ids), texts.to_list())[0] >= 0.5)
 
         return toxic(doc_id.cast("long"), text)
 
@@ -328,9 +340,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     vocabulary = {t: i for i, t in enumerate(known_terms["term"].to_pylist())}
     in_clean, in_toxic = known_terms["clean"].to_numpy().astype(float), known_terms["toxic"].to_numpy().astype(float)
     del known_terms
-    reader = Model(vocabulary, np.ones(len(vocabulary)), None, np.zeros(0, np.int64))
+    sc = docs.sparkSession.sparkContext
+    shared_reader = sc.broadcast(Model(vocabulary, np.ones(1), None, np.zeros(0, np.int64)))  # at most EXAMPLE_TERMS terms
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = shared_reader.value
         for b in batches:
             rows = [reader.read(x) for x in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "terms": [t.astype(np.int32) for t, _ in rows], "counts": [n.astype(np.int32) for _, n in rows]})
@@ -339,7 +353,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = rows["toxic"].to_numpy().astype(float)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        documents, found = 0, np.zeros(len(vocabulary), dtype=np.int64)
+        reader = shared_reader.value
+        documents, found = 0, np.zeros(len(reader.vocabulary), dtype=np.int64)
         for b in batches:
             documents += len(b)
             for t in b["text"]:
@@ -350,6 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # one row for each term of the examples at most, whatever the corpus
     frequency = texts.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = saved(frequency, "toxicity-frequencies").toArrow()
+    shared_reader.destroy()
     term, n = found["term"].to_numpy(), found["n"].to_numpy()
     df = np.zeros(len(vocabulary))
     df[term[term >= 0]] = n[term >= 0]
@@ -364,18 +380,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = share / share.mean()
     bare = np.array([not len(t) for t, _ in vectors], dtype=bool)
     prior = float(((share * toxic)[bare].sum() + 0.01) / (share[bare].sum() + 1))
-    model.votes = votes = Votes(Index(vectors, len(vocabulary)), toxic, share, prior)
+    model.votes = Votes(Index(vectors, len(vocabulary)), toxic, share, prior)
+    del vectors, rows
     if len(kept) == 2:
+        shared = sc.broadcast(model.votes)  # at most EXAMPLE_TERMS weights
 
         def own_votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            votes = shared.value
             for b in batches:
                 for i in range(0, len(b), TEXTS):
                     at = b["id"].to_numpy()[i : i + TEXTS]
-                    yield pd.DataFrame({"id": at, "raw": votes.raw([vectors[j] for j in at], [np.array([j]) for j in at])[0]})
+                    yield pd.DataFrame({"id": at, "raw": votes.raw([votes.index.vector(j) for j in at], [np.array([j]) for j in at])[0]})
 
-        spark = docs.sparkSession
-        raw = spark.range(len(rows), numPartitions=max(1, min(len(rows) // 500, 16))).mapInPandas(own_votes, "id long, raw double").toPandas()
-        votes.calibrate(raw.sort_values("id")["raw"].to_numpy())
+        examples = docs.sparkSession.range(len(toxic), numPartitions=max(1, min(len(toxic) // 500, 16)))
+        raw = saved(examples.mapInPandas(own_votes, "id long, raw double"), "toxicity-votes").toArrow().sort_by("id")
+        model.votes.calibrate(raw["raw"].to_numpy())
+        shared.destroy()
     return model
 
 
@@ -397,9 +417,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts as toxic if one label says so; of rows that share a labelled doc_id the
     first text in order is the example; other columns are ignored.
     """
-    model = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for b in batches:
             value, near = model.judge(_plain(b["doc_id"]), b["text"].to_list())
             evidence = [[{"doc_id": int(model.ids[r]), "cosine": c, "toxic": int(model.votes.toxic[r])} for c, r in some] for some in near]

@@ -417,7 +417,7 @@ def test_block_max_search_is_exact():
             cosines = []
             for i, (u, v) in enumerate(vectors):
                 c = sum(a * v[list(u).index(x)] for x, a in zip(t, w) if x in u)
-                cosines.append((-round(c, 9), i))
+                cosines.append((-round(c, 6), i))
             want = [i for c, i in sorted(cosines) if c < 0 and i != q][:7]
             assert [i for _, i in got[q]] == want
 
@@ -457,7 +457,7 @@ def test_toxicity_scores_by_brute_force(spark):
     prior = (sum(toxic[i] for i in bare) + 0.01) / (len(bare) + 1)
 
     def vote(v, own):
-        near = sorted((-round(sum(a * vectors[i].get(t, 0) for t, a in v.items()), 9), i) for i in learn if i != own)[: toxicity.NEIGHBOURS]
+        near = sorted((-round(sum(a * vectors[i].get(t, 0) for t, a in v.items()), 6), i) for i in learn if i != own)[: toxicity.NEIGHBOURS]
         near = [(-c, i) for c, i in near if c < 0]
         p = (0.2 * prior + sum(c * toxic[i] for c, i in near)) / (0.2 + sum(c for c, _ in near))
         return math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))), [i for _, i in near]
