@@ -25,8 +25,8 @@ from figmill.llm.common import first_by_hash, saved
 EXAMPLES_EACH, EXAMPLE_TERMS = 3000, 4_000_000
 #: Neighbours that vote, most examples of a block, texts judged at a time.
 NEIGHBOURS, BLOCK, TEXTS = 15, 64, 128
-#: Most frequent terms that blocks hold whole, blocks that are read for a first bound, and the margin of single precision.
-FREQUENT, FIRST_BLOCKS, _MARGIN = 1024, 4, 1e-4
+#: Share of the examples from which on a term is frequent, most such terms, blocks that are read for a first bound, and the margin of single precision.
+OFTEN, FREQUENT, FIRST_BLOCKS, _MARGIN = 1 / 24, 1536, 4, 1e-5
 #: Share of its TF-IDF that a term without any tie to toxicity keeps; chi-square at which a tie counts by half; the prior's vote.
 LOOSE, HALF_CHI, PRIOR_VOTE = 0.02, 40.0, 0.2
 #: Code points of the word beginnings that are terms beside whole words.
@@ -74,9 +74,9 @@ class Index:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK, frequent: int = FREQUENT):
         self.size, self.terms = len(vectors), terms
-        row = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        row = np.repeat(np.arange(self.size, dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in vectors)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(w.astype(np.float32) for _, w in vectors)])
         blocks = _alike(row, term, weight, self.size, terms, block)
         self.rows = np.concatenate(blocks) if blocks else np.zeros(0, np.int64)  # place -> row
         self.edges = np.cumsum([0, *map(len, blocks)])
@@ -86,7 +86,7 @@ class Index:
         order = np.lexsort((term, place[row]))
         self.frequent, self.place = frequent, place
         # the vectors by place; all else is made where it is used
-        self.term, self.weight = term[order].astype(np.int32), weight[order].astype(np.float32)
+        self.term, self.weight = term[order], weight[order]
         self.start = np.searchsorted(place[row[order]], np.arange(self.size + 1))
 
     def __getstate__(self):
@@ -100,7 +100,7 @@ class Index:
         at, term = np.repeat(np.arange(self.size), np.diff(self.start)), self.term
         counts = np.bincount(term, minlength=self.terms)
         often = np.argsort(-counts, kind="stable")[: self.frequent]
-        often = often[counts[often] * 32 > self.size]
+        often = often[counts[often] > OFTEN * self.size]
         self.column = np.full(self.terms, -1)
         self.column[often] = np.arange(len(often))
         rare = np.flatnonzero(self.column[term] < 0)
@@ -135,18 +135,24 @@ class Index:
         for i, rows in enumerate(skip or ()):
             out_of[i, self.place[rows]] = True
         bounds = np.maximum.reduceat(scores, self.edges[:-1], axis=1) + dense @ self.most
-        found, least = np.full((n, self.size), -1.0), np.zeros(n)
+        found, least = np.full((n, self.size), -1.0, np.float32), np.zeros(n)
         order = np.argsort(-bounds, axis=1, kind="stable")
         first = np.zeros((n, blocks), bool)
         np.put_along_axis(first, order[:, :FIRST_BLOCKS], True, axis=1)
-        for wanted in (first, ~first):  # the best blocks give a bound that rules out others
+        held, filled = np.full((n, FIRST_BLOCKS * int(np.diff(self.edges).max())), -1.0, np.float32), np.zeros(n, np.int64)
+        for at_first, wanted in ((True, first), (False, ~first)):  # the best blocks give a bound that rules out others
             wanted = wanted & (bounds > 0) & (bounds >= least[:, None] - _MARGIN)
             for b in np.flatnonzero(wanted.any(axis=0)):
                 some, s = np.flatnonzero(wanted[:, b]), slice(self.edges[b], self.edges[b + 1])
-                found[some, s] = scores[some, s] + dense[some] @ self.panels[b]
-            found[out_of] = -1
-            if self.size > k:
-                least = np.maximum(np.partition(found, self.size - k, axis=1)[:, self.size - k], 0)
+                own = (scores[some, s] + dense[some] @ self.panels[b]).astype(np.float32)
+                own[out_of[some, s]] = -1
+                found[some, s] = own
+                if at_first:
+                    held[some[:, None], filled[some][:, None] + np.arange(own.shape[1])] = own
+                    filled[some] += own.shape[1]
+            best = held if at_first else found
+            if best.shape[1] >= k:
+                least = np.maximum(np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k], 0)
         out, whole = [], np.zeros(self.terms)
         for i, (t, w) in enumerate(queries):
             near = np.flatnonzero(found[i] > max(least[i] - _MARGIN, 0))
@@ -266,15 +272,15 @@ class Model:
         w = (1 + np.log(counts)) * self.weights[terms]
         return terms, w / (np.sqrt(w @ w) or 1.0)
 
-    def judge(self, doc_ids, texts) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
-        """Scores and (cosine, example) evidence of texts; a document's own label is no evidence."""
+    def judge(self, doc_ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        """Scores and (cosine, example) evidence of texts' terms; a document's own label is no evidence."""
         if not self.votes:
-            return np.zeros(len(texts)), [[] for _ in texts]
+            return np.zeros(len(found)), [[] for _ in found]
         scores, near = [np.zeros(0)], []
-        for i in range(0, len(texts), TEXTS):
+        for i in range(0, len(found), TEXTS):
             ids = doc_ids[i : i + TEXTS]
             low, high = np.searchsorted(self.ids, ids, side="left"), np.searchsorted(self.ids, ids, side="right")
-            some = self.votes.score([self.vector(*self.read(t)) for t in texts[i : i + TEXTS]], [np.arange(a, b) for a, b in zip(low, high, strict=True)])
+            some = self.votes.score([self.vector(*x) for x in found[i : i + TEXTS]], [np.arange(a, b) for a, b in zip(low, high, strict=True)])
             scores.append(some[0])
             near += some[1]
         return np.concatenate(scores), near
@@ -286,7 +292,8 @@ class Model:
 
         @F.pandas_udf("boolean")
         def toxic(ids: pd.Series, texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.judge(_plain(ids), texts.to_list())[0] >= 0.5)
+            model = shared.value
+            return pd.Series(model.judge(_plain(ids), [model.read(t) for t in texts])[0] >= 0.5)
 
         return toxic(doc_id.cast("long"), text)
 
@@ -299,8 +306,8 @@ def _plain(ids: pd.Series) -> np.ndarray:
 _NO_ID = -(1 << 63)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model learnt from the labelled rows that are not held out, with document frequencies over all of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The model learnt from the labelled rows that are not held out, with document frequencies over all of ``docs``, and the terms of all documents (none without a model)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = saved(known, "toxicity-labels")
@@ -322,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             total[r["toxic"]] += r["n"]
             held.append(r["doc_id"])
     if not held:
-        return Model({}, np.ones(1), None, np.zeros(0, np.int64))
+        return Model({}, np.ones(1), None, np.zeros(0, np.int64)), None
     if len(held) < len(sizes):
         one = one.filter(F.col("doc_id").isin(held))
 
@@ -352,19 +359,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = saved(one.mapInPandas(numbered, "doc_id long, toxic int, terms array<int>, counts array<int>"), "toxicity-vectors").toArrow().sort_by("doc_id")  # at most EXAMPLE_TERMS numbers
     toxic = rows["toxic"].to_numpy().astype(float)
 
-    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = shared_reader.value
-        documents, found = 0, np.zeros(len(reader.vocabulary), dtype=np.int64)
+        for b in batches:
+            found = [reader.read(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "steps": [np.diff(t, prepend=0).astype(np.int32) for t, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        documents, found = 0, np.zeros(n_terms, dtype=np.int64)
         for b in batches:
             documents += len(b)
-            for t in b["text"]:
-                found[reader.read(t)[0]] += 1
+            for steps in b["steps"]:
+                found[np.cumsum(steps)] += 1
         terms = np.flatnonzero(found)
         yield pd.DataFrame({"term": np.r_[-1, terms], "n": np.r_[documents, found[terms]]})
 
+    n_terms = len(vocabulary)
+    # texts are read once: the terms of each as differences of their numbers, which are small
+    sparse = saved(texts.mapInPandas(read, "doc_id long, steps array<int>, counts array<int>"), "toxicity-documents", batch=1000)
     # one row for each term of the examples at most, whatever the corpus
-    frequency = texts.select("text").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = saved(frequency, "toxicity-frequencies").toArrow()
+    frequency = sparse.select("steps").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = saved(frequency, "toxicity-frequencies", batch=1000).toArrow()
     shared_reader.destroy()
     term, n = found["term"].to_numpy(), found["n"].to_numpy()
     df = np.zeros(len(vocabulary))
@@ -396,7 +411,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         raw = saved(examples.mapInPandas(own_votes, "id long, raw double"), "toxicity-votes").toArrow().sort_by("id")
         model.votes.calibrate(raw["raw"].to_numpy())
         shared.destroy()
-    return model
+    return model, sparse
 
 
 def held_out() -> Column:
@@ -417,15 +432,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts as toxic if one label says so; of rows that share a labelled doc_id the
     first text in order is the example; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model, sparse = fit(docs, labels)
+    if sparse is None:
+        sparse = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array().cast("array<int>").alias("steps"), F.array().cast("array<int>").alias("counts"))
+    model.vocabulary = {}  # terms are read
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for b in batches:
-            value, near = model.judge(_plain(b["doc_id"]), b["text"].to_list())
+            value, near = model.judge(_plain(b["doc_id"]), [(np.cumsum(t, dtype=np.int64), n.astype(float)) for t, n in zip(b["steps"], b["counts"], strict=True)])
             evidence = [[{"doc_id": int(model.ids[r]), "cosine": c, "toxic": int(model.votes.toxic[r])} for c, r in some] for some in near]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": value, "evidence": evidence})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInPandas(scored, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    found = sparse.mapInPandas(scored, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
