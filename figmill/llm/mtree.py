@@ -17,18 +17,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from figmill.llm.common import saved
+from figmill.llm.common import first_by_hash, saved
 
 #: Entries of the root page (chosen from ROOT_SAMPLE rows, first by a hash of their id), rows of a node and a leaf, queries of a block.
 ROOT_ROWS, ROOT_SAMPLE, NODE_ROWS, LEAF_ROWS, QUERY_ROWS = 128, 4096, 4096, 128, 4096
-_SLACK = 1e-6  # of a distance; bounds are looser by it, scores are whole numbers
+#: Bounds are looser by this share of the sphere's radius, far more than distances lose by rounding; scores are whole numbers.
+_SLACK = 1e-6
+#: Vectors of this squared length or more could have scores that no long holds.
+_LONGEST = 9.2e18
 
 
 def _unpack(blobs, dims: int) -> np.ndarray:
     """Rows of numbers of at most ``dims`` components; shorter ones end in zeros."""
     out = np.zeros((len(blobs), dims))
     for i, b in enumerate(blobs):
-        x = np.frombuffer(b, dtype=np.int32)
+        x = np.frombuffer(b, dtype=np.int64)
         out[i, : len(x)] = x
     return out
 
@@ -38,6 +41,8 @@ class _Sphere:
 
     def __init__(self, most: float):
         self.most = float(most)
+        self.slack = _SLACK * (1 + float(np.sqrt(self.most)))
+        self.exact = self.most < 2**52  # doubles hold all sums
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(self.most - (x * x).sum(axis=1), 0))
@@ -50,6 +55,9 @@ class _Sphere:
         """Distances of queries (whose further component is 0) to data vectors."""
         return np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + self.most - 2 * (q @ x.T), 0))
 
+    def scores(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return x @ q if self.exact else x.astype(np.int64) @ q.astype(np.int64)
+
     def reach(self, norm: float, score: float) -> float:
         return float(np.sqrt(max(norm + self.most - 2 * score, 0)))
 
@@ -85,19 +93,19 @@ def search(pages: list[tuple], q: np.ndarray, query_id: int, k: int, bound: floa
     """The query's ``k`` best (score, id) in the pages that may reach ``bound``, best page first."""
     norm, best = float(q @ q), []
     routers, radii, parents = pages[0]
-    near = np.flatnonzero(np.abs(to_root - parents) - radii <= bound + _SLACK)  # no distance is computed for the others
+    near = np.flatnonzero(np.abs(to_root - parents) - radii <= bound + sphere.slack)  # no distance is computed for the others
     if not len(near):
         return best
     gaps = sphere.asked(q[None, :], routers[near])[0]
     lower = np.maximum(gaps - radii[near], 0)
     for at in np.argsort(lower, kind="stable"):
-        if lower[at] > bound + _SLACK:
+        if lower[at] > bound + sphere.slack:
             break
         ids, x, own = pages[1][near[at]]
-        rows = np.flatnonzero((np.abs(gaps[at] - own) <= bound + _SLACK) & (ids != query_id))
+        rows = np.flatnonzero((np.abs(gaps[at] - own) <= bound + sphere.slack) & (ids != query_id))
         if not len(rows):
             continue
-        scores = x[rows] @ q
+        scores = sphere.scores(x[rows], q)
         if len(best) == k:
             rows, scores = rows[scores >= best[-1][0]], scores[scores >= best[-1][0]]
         best = sorted([*best, *zip(scores.tolist(), ids[rows].tolist(), strict=True)], key=lambda s: (-s[0], s[1]))[:k]
@@ -113,19 +121,21 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     ``every``; all rows with another vec_id are candidates; ties go to the smaller
     vec_id. Rows with a null id, a null vector or a null or non-finite component take
     no part; shorter vectors end in zeros; a repeated query id is asked once, repeated
-    candidates each count; other columns are ignored.
+    candidates each count; other columns are ignored. Components are whole numbers of 64
+    bits; a vector of squared length 9.2e18 or more, whose scores a long could not hold, takes
+    no part either.
     """
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [np.floor(256 * np.array(v, dtype=np.float64)) for v in b["embedding"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [r.astype(np.int32).tobytes() for r in rows], "norm": [int((r * r).sum()) for r in rows], "dims": [len(r) for r in rows]})
+            yield pd.DataFrame({"vec_id": b["vec_id"], "v": [np.where(np.abs(r) < 2.0**62, r, 0).astype(np.int64).tobytes() for r in rows], "norm": [float((r * r).sum()) for r in rows], "dims": [len(r) for r in rows]})
 
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    points = saved(clean.mapInPandas(whole, "vec_id long, v binary, norm long, dims int"), "vectors")
-    most, dims = points.agg(F.coalesce(F.max("norm"), F.lit(0)), F.coalesce(F.max("dims"), F.lit(0))).first()
+    points = saved(clean.mapInPandas(whole, "vec_id long, v binary, norm double, dims int").filter(F.col("norm") < _LONGEST), "vectors")
+    most, dims = points.agg(F.coalesce(F.max("norm"), F.lit(0.0)), F.coalesce(F.max("dims"), F.lit(0))).first()
     sphere = _Sphere(most)
-    sample = points.orderBy(F.xxhash64("vec_id"), "v").limit(ROOT_SAMPLE).toPandas()
+    sample = first_by_hash(points, ["vec_id", "v"], ROOT_SAMPLE, points.count()).toPandas()
     roots = _roots(_unpack(sample["v"], dims), sphere, ROOT_ROWS)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,13 +157,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         entry, at = int(key[0]), int(key[1])
         pages = build_pages(rows["vec_id"].to_numpy(), _unpack(rows["v"], dims), roots[entry], sphere)
         blob = lambda a, t: np.ascontiguousarray(a, dtype=t).tobytes()
-        return pd.DataFrame([(entry, at, blob(r, "i4"), rad, par, blob(i, "i8"), blob(x, "i4"), blob(g, "f8")) for r, rad, par, i, x, g in pages], columns=["entry", "node", "router", "radius", "parent", "ids", "vectors", "gaps"])
+        return pd.DataFrame([(entry, at, blob(r, "i8"), rad, par, blob(i, "i8"), blob(x, "i8"), blob(g, "f8")) for r, rad, par, i, x, g in pages], columns=["entry", "node", "router", "radius", "parent", "ids", "vectors", "gaps"])
 
     tree = saved(placed.groupBy("entry", "node").applyInPandas(paged, "entry int, node int, router binary, radius double, parent double, ids binary, vectors binary, gaps binary"), "mtree")
     asked = placed.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "entry", "node")).alias("x")).select(F.col("vec_id").alias("query_id"), "x.*")
     asked = saved(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64("query_id", F.lit("block")), F.lit(blocks)).cast("int")
 
     def looked(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -161,7 +169,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             q = _unpack(queries["v"], dims)
             pages = (
                 (_unpack(rows["router"], dims), rows["radius"].to_numpy(), rows["parent"].to_numpy()),
-                [(np.frombuffer(i, "i8"), np.frombuffer(x, "i4").reshape(-1, dims).astype(float), np.frombuffer(g, "f8")) for i, x, g in zip(rows["ids"], rows["vectors"], rows["gaps"], strict=True)],
+                [(np.frombuffer(i, "i8"), np.frombuffer(x, "i8").reshape(-1, dims).astype(float), np.frombuffer(g, "f8")) for i, x, g in zip(rows["ids"], rows["vectors"], rows["gaps"], strict=True)],
             )
             to_root = sphere.asked(q, roots[int(rows["entry"].iloc[0])][None, :])[:, 0]
             for i, (query_id, bound) in enumerate(zip(queries["query_id"], queries["bound"], strict=True)):
@@ -169,9 +177,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     def visits(queries: DataFrame) -> DataFrame:
+        # a node is read once for every QUERY_ROWS queries that visit it, and not at all without one
         keys = ["entry", "node", "block"]
-        wide = tree.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return wide.groupBy(*keys).cogroup(queries.withColumn("block", block).groupBy(*keys)).applyInPandas(looked, "query_id long, vec_id long, score long")
+        asked_of = queries.groupBy("entry", "node").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
+        wide = tree.join(asked_of, ["entry", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        dealt = queries.join(asked_of, ["entry", "node"]).withColumn("block", F.pmod(F.xxhash64("query_id", F.lit("block")), F.col("blocks")).cast("int")).drop("blocks")
+        return wide.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(looked, "query_id long, vec_id long, score long")
 
     home = saved(visits(asked.withColumn("bound", F.lit(float("inf")))), "home-hits")
     bounds = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
@@ -183,11 +194,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
             reach = np.array([sphere.reach(float(x @ x), w) if n >= k else np.inf for x, n, w in zip(q, b["n"], b["worst"], strict=True)])
             rows = []
             for i in range(len(b)):
-                for e in np.flatnonzero((gaps[i] - radius <= reach[i] + _SLACK) & (nodes > 0)):
+                for e in np.flatnonzero((gaps[i] - radius <= reach[i] + sphere.slack) & (nodes > 0)):
                     rows += [(b["query_id"].iloc[i], b["v"].iloc[i], int(e), n, reach[i]) for n in range(nodes[e]) if (e, n) != (b["entry"].iloc[i], b["node"].iloc[i])]
             yield pd.DataFrame(rows, columns=["query_id", "v", "entry", "node", "bound"])
 
     others = asked.join(bounds, "query_id", "left").fillna(0, ["n", "worst"]).mapInPandas(further, "query_id long, v binary, entry int, node int, bound double")
-    found = home.unionAll(visits(others))
+    found = home.unionAll(visits(saved(others, "visits")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
