@@ -17,10 +17,12 @@ _own_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; on one machine, a folder of our own where none is set (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="figmill-")
@@ -52,6 +54,20 @@ def saved(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, and that column's name; saved, so that later plans see the same numbers however a scan is split."""
+    row = unused(df, "figmill_row")
+    return saved(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that no later plan reads."""
     for df in frames:
@@ -113,18 +129,19 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``links(a, b)`` as ``(id, component)``; component is the least id.
 
     Alternating large-star and small-star steps: each keeps components, replaces
-    links by links to smaller ids and needs O(log^2) rounds whatever the shape.
+    links by links to smaller ids and needs O(log^2) rounds whatever the shape; rounds
+    go on until one changes nothing.
     Every round is written to the shared folder. Links without ends of their own
     (self links) only name their node. Nothing but a change count meets the driver.
     """
     base = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo <> hi").distinct()
     edges = saved(base, name)
     previous = None
-    for _ in range(rounds):
+    while True:
         # large star: every neighbour above a node moves to the least id around it
         both = edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionAll(edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("root"))
@@ -140,6 +157,4 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         if mark == previous:
             break
         previous = mark
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionAll(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component"))).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.llm.bloom import build_filter, probe
-from figmill.llm.common import components, saved
+from figmill.llm.common import components, numbered, saved
 
 #: Bands and registers a band: a pair at similarity 0.8 is proposed by no band once in 300,000.
 BANDS, ROWS = 32, 5
@@ -94,7 +94,7 @@ def similar_enough(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return np.where(j >= least - 1e-9, fit, -np.inf).max(axis=1) >= fit.max(axis=1) - NATS
 
 
-def _sketched(docs: DataFrame, width: int) -> DataFrame:
+def _sketched(docs: DataFrame, width: int, row: str | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cid, n, regs = [], [], []
@@ -105,7 +105,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "text_key": b["text_key"], "cid": pd.array(cid, dtype="Int64"), "n": n, "regs": regs})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    rows = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInPandas(run, "row long, doc_id long, text_key long, cid long, n long, regs binary")
 
 
@@ -228,7 +228,7 @@ def _around_pivots(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 _LINKED = "100 * common >= {} * (n_a + n_b - common)"
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """Classes of near-duplicates among ``docs(doc_id, text)``: row, doc_id, n_shingles, component_id, kept, stays.
 
     Texts link if ``percent`` of their united ``width``-word shingles are common.
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id; ``stays`` holds for one row of each component even if rows
     repeat a doc_id. A text without words links with nothing. Null texts have no
     words; a row without doc_id links, but names no component unless all in it
-    are null; other columns are ignored.
+    are null; other columns are ignored. ``row`` in the result is the column of that
+    name that ``row`` gives, else a number made here.
 
     Every member of a band's bucket meets the bucket's pivot, the member that meets most
     others over all bands. Similarity is a metric: a member near the pivot can only link
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     meet the bucket's other members that are not linked to the pivot. So a large group
     costs about its size, and no proposed pair that matters for the components goes untested.
     """
-    rows = saved(_sketched(docs, width), "sketches", batch=1000)
+    rows = saved(_sketched(docs, width, row), "sketches", batch=1000)
     classes = saved(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     bands = saved(_banded(classes), "bands")
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, with all columns."""
-    mark = "near_row"
-    stays = near_duplicates(docs, width, percent).filter("stays").select(F.col("row").alias(mark))
-    return docs.withColumn(mark, F.monotonically_increasing_id()).join(stays, mark, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs(doc_id, text, ...)`` without near-duplicates: of each component the row with the smallest doc_id stays, with all columns whatever their names."""
+    rows, mark = numbered(docs, "near-rows")
+    stays = near_duplicates(rows, width, percent, mark).filter("stays").select(F.col("row").alias(mark))
+    return rows.join(stays, mark, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
