@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.common import WORD, discard, key_filter, passing, release, saved, text_crc32
+from figmill.llm.common import WORD, discard, key_filter, numbered, passing, release, saved, text_crc32, unused
 
 #: Edits that near lines may differ by, and the code points from which they may be that many; see judge_lines for shorter lines.
 EDITS, LEAST_CHARS = 2, 40
@@ -221,11 +221,12 @@ def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short:
     ``short`` they are judged as well (see judge_lines), and only lines without a word
     stay whatever their length. Texts without such repeats are unchanged. Null texts stay null with no lines; an
     empty text has one line; an empty table gives no rows. Columns of ``docs`` that
-    have one of the added names are replaced.
+    have one of the added names are replaced; others stay, whatever their names.
     """
     # a null doc_id is after all others
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    keyed = numbered.select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
+    added = {"row", "n_lines", "n_repeated", "n_near"}
+    rows, mark = numbered(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]), "line-rows")
+    keyed = rows.select(F.col(mark).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), "text")
     verdicts = judge_lines(keyed, edits, least, short)
     hashed = instances(keyed, least, short).select("row", "doc_id", "pos", line_hash(F.col("line")).alias("hash"))
     found = passing(hashed, "hash", saved(key_filter(verdicts, "hash"), "line-verdict-filter")).join(verdicts, "hash")
@@ -236,13 +237,17 @@ def clean(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short:
     drops = saved(drops.filter("size(drops) > 0"), "line-drops")
     release(docs.sparkSession)
     lines = F.split("text", "\n")
-    dropped = F.map_from_entries(F.transform(F.array_sort("drops"), lambda p: F.struct(p, F.lit(True))))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.element_at("gone", i), F.lit(False))), "\n")
+    # which lines go and how many of them are near ones, under a name that no column of docs has
+    gone = unused(rows, "figmill_gone")
+    at = F.map_from_entries(F.transform(F.array_sort("drops"), lambda p: F.struct(p, F.lit(True))))
+    dropped = drops.select(F.col("row").alias(mark), F.struct(at.alias("at"), F.size("drops").cast("long").alias("n"), F.col("n_near").alias("near")).alias(gone))
     # no side has a size bound, so both are dealt by row at every size
-    out = numbered.join(drops.withColumn("gone", dropped).hint("merge"), "row", "left")
-    n_gone = F.coalesce(F.size("drops"), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long")).withColumn("n_repeated", F.when(F.col("gone").isNull(), F.lit(0).cast("long")).otherwise(n_gone - F.col("n_near")))
-    return out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("drops", "gone")
+    out = rows.join(dropped.hint("merge"), mark, "left")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.element_at(F.col(gone)["at"], i), F.lit(False))), "\n")
+    near = F.coalesce(F.col(gone)["near"], F.lit(0)).cast("long")
+    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.col(gone)["n"], F.lit(0).cast("long")) - near).alias("n_repeated"), near.alias("n_near")]
+    kept = [F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in rows.columns if c != mark]
+    return out.select(*kept, F.col(mark).alias("row"), *counts)
 
 
 def digest(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, short: bool = False) -> DataFrame:
