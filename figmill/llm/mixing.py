@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from figmill.llm.common import WORD, saved, text_crc32
+from figmill.llm.common import WORD, saved, text_crc32, unused
 
 #: Rows that one fold settles, about; undecided rows that the next level's fold takes.
 FAN_IN, MOST_COPIES = 64, 3
@@ -117,12 +117,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs(doc_id, text, source, ...)`` as often as ``plan`` takes them, with all their columns."""
-    mark = "mix_row"
+    """The rows of ``docs(doc_id, text, source, ...)`` as often as ``plan`` takes them, with all their columns, whatever their names."""
+    mark, times, copy = (unused(docs, f"figmill_{x}") for x in ("row", "times", "copy"))
     numbered = docs.withColumn(mark, F.monotonically_increasing_id())
     keys = numbered.select(mark, F.col("doc_id").cast("long").alias("k_doc"), F.col("source").alias("k_source"), word_count(F.col("text")).alias("k_size"), text_crc32(F.col("text")).alias("k_crc"))
     keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("k_doc", "k_source", "k_size", "k_crc").orderBy(mark)).cast("long"))
     p = plan(docs, **options).select(*[F.col(c).alias(f"p_{c}") for c in ("doc_id", "source", "size", "crc", "nth", "copies")])
     same = [F.col(f"k_{a}").eqNullSafe(F.col(f"p_{b}")) for a, b in (("doc", "doc_id"), ("source", "source"), ("size", "size"), ("crc", "crc"))]
-    taken = keys.join(p, [*same, F.col("nth") == F.col("p_nth")]).filter("p_copies > 0").select(mark, F.col("p_copies").alias("mix_copies"))
-    return numbered.join(taken, mark).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = keys.join(p, [*same, F.col("nth") == F.col("p_nth")]).filter("p_copies > 0").select(mark, F.col("p_copies").alias(times))
+    return numbered.join(taken, mark).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
