@@ -69,11 +69,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     lines and the most hit windows that share no word; ``license`` and ``dice`` (rounded
     to 6 places) are those of the best line or window, ties to the template first in name
     order; null without a hit. Null and empty texts have no hits, repeated rows are
-    scanned each, an empty table gives no rows; other columns are ignored.
+    scanned each, an empty table gives no rows; without templates nothing is a hit; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     parsed = spark.createDataFrame(sorted(templates.items()), "name string, body string").select("name", F.array_distinct(bigrams_of(words_of(F.col("body")))).alias("grams")).collect()
     known = [(r["name"], r["grams"], *bounds(len(r["grams"]), threshold)) for r in parsed if r["grams"]]
+    if not known:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_hits"), F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"))
     least, most = min(k[2] for k in known), max(k[3] for k in known)
     listed = [F.array(*map(F.lit, k[1])) for k in known]
 
