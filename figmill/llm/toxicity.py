@@ -42,6 +42,8 @@ def words_of(text: str | None) -> Counter:
 def terms_of(word: bytes) -> list[bytes]:
     """A word and its beginnings of 4 and 5 code points, if it is longer."""
     out = [word]
+    if word.isascii():
+        return out + [word[:n] + b"*" for n in BEGINNINGS if len(word) > n]
     if len(word) > BEGINNINGS[0]:
         chars = word.decode("utf-8", "surrogatepass")
         out += [chars[:n].encode("utf-8", "surrogatepass") + b"*" for n in BEGINNINGS if len(chars) > n]

@@ -532,6 +532,39 @@ def test_mtree_search(spark):
     assert [(r["query_id"], r["vec_id"]) for r in few] == [(50, 51)]
 
 
+def test_mtree_large_values(spark):
+    x = [[1e7, 3.0], [9e6, -1e6], [8e6, 1e3], [-5e6, 7.5], [1e200, 1.0], [0.0, 0.0], [3e5, 3e5]]
+    table = spark.createDataFrame([(50 * i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = {50 * i: [math.floor(256 * a) for a in v] for i, v in enumerate(x) if max(v) < 1e100}
+    whole = {i: v for i, v in whole.items() if sum(a * a for a in v) < 9.2e18}
+    want = []
+    for q, v in sorted(whole.items()):
+        scored = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in whole.items() if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert len(whole) == 6 and [tuple(r) for r in mtree.nearest(table).orderBy("query_id", "rank").collect()] == want
+
+
+# names and numbers of rows
+
+
+def test_operators_keep_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ["figmill_row", "figmill_gone", "figmill_times", "mix_row", "mix_copies", "gone", "drops", "near_row", "at", "hash"]
+    texts = ["a line that stands in two documents and is long enough\nfirst", "a line that stands in two documents and is long enough\nsecond", prose(random.Random(3), 60), None, ""]
+    docs = spark.createDataFrame([(i, t, "s", *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    docs = docs.repartition(3, F.rand(5))  # dealt anew by every scan
+    for out in (setsketch.deduplicate(docs), mixing.mix(docs, most=1), line_dedup.clean(docs, short=True)):
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+    assert {r["doc_id"]: r["n_repeated"] for r in rows} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0}
+    assert len(rows) == len(texts) and {r["text"] for r in rows if r["doc_id"] == 1} == {"second"}
+
+
+def test_licences_without_templates(spark):
+    assert [(r["n_hits"], r["license"]) for r in license_scan.scan(docs_of(spark, ["All rights reserved."]), {}).collect()] == [(0, None)]
+
+
 # lines
 
 
