@@ -33,6 +33,18 @@ def column(spark, values, f, kind="string"):
         ("列表 3 个", []),
         ("Fig. 1 and Table 2", ["figure1", "table2"]),
         ("the figure shows 3% of it", []),
+        ("FIGURE 4 and Tab. 3", ["figure4", "table3"]),
+        ("drawn as Figure~7", ["figure7"]),
+        ("Fig. 5 (b-d), then", ["figure5BCD"]),
+        ("Fig. 5a,b", ["figure5A"]),
+        ("Figure 2, 3 and 4", ["figure2", "figure3", "figure4"]),
+        ("Fig. 3 and 5 μM of it", ["figure3"]),
+        ("Fig. 1 3 d", ["figure1"]),
+        ("Fig. 6d", ["figure6D"]),
+        ("Supplementary Table S2 as well as Fig. 9", ["tableS2", "figure9"]),
+        ("we configure the table with 3 columns", []),
+        ("如图3 与表 2。", ["figure3", "table2"]),
+        ("Figs. 1-40", ["figure1", "figure40"]),
         ("", []),
     ],
 )
@@ -44,6 +56,15 @@ def test_panels():
     got = kernels.split_panels("Fig. 2. Effect. (A) Growth of the cells (B) Measure the size of it. Data are expressed as mean ± SD, n = 3.")
     assert [(p["label"], p["text"]) for p in got["panels"]] == [("A", "Growth of the cells"), ("B", "Measure the size of it.")]
     assert got["preamble"] == "Effect" and got["trailer"].startswith("Data are expressed")
+    texts = lambda s: {p["label"]: p["text"] for p in kernels.split_panels(s)["panels"]}
+    assert texts("Figure 4: Two views. View (a) holds the first group, imply- ing much, whereas panel (b) holds another group.") == {"A": "(a) holds the first group, implying much", "B": "panel (b) holds another group."}
+    assert texts("Fig. 2: Areas in boxes. (a) shows the results of one; (b) shows the results of all.") == {"A": "(a) shows the results of one", "B": "(b) shows the results of all."}
+    assert texts("Fig. 2. x. (A) The first of them all. (C) The third of them all.") == {} and texts("Fig. 8 Sum. (A) 30%. (B) 40%.") == {}
+    assert sorted(texts("Fig. 4 Survival. A. Curve of the vehicle group. B. Curve of the treated group.")) == ["A", "B"]
+    assert sorted(texts("Fig. 5 Growth. A) Volume over all the time. B) Final weight of them.")) == ["A", "B"]
+    assert texts("图 1 细胞增殖。(A) 检测细胞活力。(B) 克隆形成实验。") == {"A": "检测细胞活力。", "B": "克隆形成实验。"}
+    late = kernels.split_panels("Fig. 4. One. (A) Images of the stain (cell nuclei) Scale bar. (B) Signal in (A) and others.* indicates p < 0.05. N = 3.")
+    assert late["trailer"].startswith("* indicates") and [p["label"] for p in late["panels"]] == ["A", "B"]
     assert kernels.split_panels("Figure 3. Intensity from (B) and others.")["panels"] == []
     assert kernels.split_panels(None)["panels"] == []
     assert kernels.figure_title("Figure 1. Growth of E. coli at 0.5 mM. Then") == "Growth of E. coli at 0.5 mM"
