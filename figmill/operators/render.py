@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.functions.exprs import clean_sentinel, evidence_summary, joined, md_cell, shown
+from figmill.operators.corpus import tree
 from figmill.operators.flatten import group_cell, panels, result_cell
 from figmill.operators.metrics import kpi
 from figmill.operators.tasks import pages_label, trust_label
@@ -61,19 +62,72 @@ def provenance(records: DataFrame) -> DataFrame:
     return panels(records).select("paper_id", "ord", "panel_idx", F.concat("figure_id", F.lit(" "), "p.label", F.lit(" ← "), evidence_summary(F.col("p.evidence"))).alias("line"))
 
 
+#: Columns, first row and row height of a drawn tree; characters of a title in the rail; how a caption names its main figure.
+TREE_X, TREE_TOP, TREE_ROW, RAIL_CHARS = [16, 330, 700, 1090], 26, 21, 30
+RELATED = r"(?i)related\s+to\s+(?:Extended\s+Data\s+)?Fig(?:ure)?\.?\s*([0-9]+)"
+
+
+def _flow_figures(records: DataFrame) -> DataFrame:
+    number = F.regexp_extract("figure_id", r"([0-9]+)", 1).try_cast("int")
+    related = F.regexp_extract(F.coalesce("caption", F.lit("")), RELATED, 1).try_cast("int")
+    return records.select("paper_id", "ord", "figure_id", number.alias("number"), related.alias("related"), F.col("figure_id").startswith("Extended Data").alias("extended"))
+
+
 def flow_links(records: DataFrame) -> DataFrame:
-    """Links of a flow chart: variable to role to readout, with the groups that take each."""
-    rows = panels(records).select(F.col("p.design.independent_var").alias("a"), F.explode("p.groups").alias("g"))
-    first = rows.select(F.col("a").alias("source"), F.col("g.role").alias("target"))
-    second = rows.select(F.col("g.role").alias("source"), F.col("g.readout").alias("target"))
-    return first.unionByName(second).groupBy("source", "target").agg(F.count("*").alias("n"))
+    """The flow of a paper: main figures in a chain by number, Extended Data on the main figure that its caption names, orphans without a source.
 
+    paper_id, kind (chain, branch, orphan), source, target; the first of a chain has no source.
+    """
+    f = _flow_figures(records)
+    main = f.filter("NOT extended")
+    before = F.lag("figure_id").over(Window.partitionBy("paper_id").orderBy("number", "ord"))
+    chain = main.select("paper_id", F.lit("chain").alias("kind"), before.alias("source"), F.col("figure_id").alias("target"))
+    extra = f.filter("extended").select("paper_id", "related", F.col("figure_id").alias("target"))
+    hung = extra.join(main.select("paper_id", F.col("number").alias("related"), F.col("figure_id").alias("source")), ["paper_id", "related"], "left")
+    return chain.unionByName(hung.select("paper_id", F.when(F.col("source").isNull(), "orphan").otherwise("branch").alias("kind"), "source", "target"))
 
-def tree_layout(nodes: DataFrame) -> DataFrame:
-    """Place of each node of a drawn tree: x by depth, y by its place in path order."""
-    from pyspark.sql import Window
 
-    return nodes.withColumn("x", F.col("depth") * 180).withColumn("y", (F.row_number().over(Window.partitionBy("ord").orderBy("path")) - 1) * 24)
+def paper_tree(records: DataFrame, depth: int = 3) -> DataFrame:
+    """Nodes of one tree a paper: paper_id, path, depth, text; the paper, its figures, panels and groups, as deep as asked."""
+    nodes = tree(records).filter(F.col("depth") < depth)
+    own = records.select("paper_id", "ord")
+    below = nodes.join(own, "ord").select("paper_id", "path", (F.col("depth") + 1).alias("depth"), "text")
+    top = records.groupBy("paper_id").agg(F.min_by("paper.title", "ord").alias("text"))
+    return below.unionByName(top.select("paper_id", F.array().cast("array<bigint>").alias("path"), F.lit(0).alias("depth"), "text"))
+
+
+def tree_layout(nodes: DataFrame) -> DataFrame:
+    """Place of each node of a paper's drawn tree: x by depth; leaves take the next row, others lie half way between their first and last child."""
+    up = F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
+    parents = nodes.filter("depth > 0").select("paper_id", up.alias("path")).distinct().withColumn("inner", F.lit(True))
+    marked = nodes.join(parents, ["paper_id", "path"], "left")
+    nth = F.row_number().over(Window.partitionBy("paper_id").orderBy("path"))
+    leaves = marked.filter("inner IS NULL").select("paper_id", "path", "depth", "text", (TREE_TOP + (nth - 1) * TREE_ROW).cast("double").alias("y"))
+    inner, placed = marked.filter("inner").drop("inner"), leaves
+    level = leaves.filter("depth = 3")
+    for d in (2, 1, 0):  # from the deepest parents up
+        spans = level.groupBy("paper_id", up.alias("path")).agg(((F.min_by("y", "path") + F.max_by("y", "path")) / 2).alias("y"))
+        own = inner.filter(F.col("depth") == d).join(spans, ["paper_id", "path"]).select("paper_id", "path", "depth", "text", "y")
+        placed = placed.unionByName(own)
+        level = own.unionByName(leaves.filter(F.col("depth") == d))
+    return placed.withColumn("x", F.element_at(F.array(*map(F.lit, TREE_X)), F.col("depth") + 1))
+
+
+def rail(records: DataFrame) -> DataFrame:
+    """The list of a paper's figures: section, whether it begins there, the figure's short name, title and number of panels."""
+    section = F.when(F.col("figure_id").startswith("Extended Data"), "Extended Data").otherwise("正文图")
+    title = F.regexp_replace(F.coalesce("caption", F.lit("")), r"(?i)^(?:Extended Data\s+)?Fig(?:ure)?\.?\s*[0-9]+\s*[|.:]\s*", "")
+    short = F.when(F.length(title) > RAIL_CHARS, F.concat(F.substring(title, 1, RAIL_CHARS), F.lit("…"))).otherwise(title)
+    rows = records.select("paper_id", "ord", section.alias("section"), F.replace("figure_id", F.lit("Extended Data "), F.lit("ED ")).alias("name"), short.alias("title"), F.size("panels").alias("panels"))
+    before = F.lag("section").over(Window.partitionBy("paper_id").orderBy("ord"))
+    return rows.withColumn("begins", before.isNull() | (before != F.col("section")))
+
+
+def asset_warnings(assets: DataFrame) -> DataFrame:
+    """What assets(paper_id, figure_id, images, layout_route, bbox_confidence) are worth a look for: doubtful regions, figures without an image."""
+    doubt = F.when(F.col("bbox_confidence") != "high", F.concat("figure_id", F.lit(" 切图置信度 "), "bbox_confidence", F.lit("（"), "layout_route", F.lit("）")))
+    empty = F.when(F.coalesce(F.size("images"), F.lit(0)) <= 0, F.concat("figure_id", F.lit(" 没有产出任何切图")))
+    return assets.select("paper_id", "figure_id", F.explode(F.array_compact(F.array(doubt, empty))).alias("warning"))
 
 
 def readable_refs(refs: DataFrame, sections: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from figmill.functions.text import figure_id_of_slug
 from figmill.schema import ENUM_FALLBACKS, ENUMS, NOT_REPORTED, SCHEMA_VERSION, TEXT_FALLBACKS, record_type
 
 
@@ -93,6 +94,54 @@ def merge(records: DataFrame) -> DataFrame:
     return records.withColumn("first_ord", F.min("ord").over(span)).withColumn("last_ord", F.max("ord").over(span)).filter("ord = last_ord").drop("last_ord")
 
 
+def merge_files(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of raw(paper_id, ord, file, json), and warnings (paper_id, ord, warning) in the order of files.
+
+    A file that holds a whole bundle is taken apart, a blank figure_id is guessed from
+    the file's name, unreadable files and unusable records are fatal, and of records
+    with one id the last stays at the place of the first.
+    """
+    parsed = F.try_parse_json("json")
+    figures = F.try_variant_get(parsed, F.lit("$.figures"), "array<variant>")
+    files = raw.select("paper_id", "ord", "file", "json", parsed.isNotNull().alias("readable"), figures.isNotNull().alias("bundle"))
+    note = lambda df, text: df.select("paper_id", "ord", F.lit(0).alias("part"), text.alias("warning"))
+    broken = note(files.filter("NOT readable"), F.concat(F.lit("[致命] "), "file", F.lit(": 读取失败")))
+    taken = note(files.filter("bundle"), F.concat(F.lit("[修复] "), "file", F.lit(": 写成了 bundle 而非单条记录 → 已拆开取用")))
+    each = unwrap(files.filter("readable").select("paper_id", "ord", "json")).join(files.select("paper_id", "ord", "file"), ["paper_id", "ord"])
+    # a blank id is filled in where it stands, or put first
+    own = F.try_variant_get(F.try_parse_json("json"), F.lit("$.figure_id"), "string")
+    guess = figure_id_of_slug(F.regexp_replace("file", r"\.[^.]*$", ""))
+    blank = F.col("json").startswith("{") & (F.coalesce(F.trim(own), F.lit("")) == "")
+    stands = F.col("json").rlike(r'"figure_id"\s*:')
+    quoted = F.concat(F.lit('"figure_id":'), F.to_json(F.array(guess)).substr(F.lit(2), F.length(F.to_json(F.array(guess))) - 2))
+    empty = F.col("json").rlike(r"^\{\s*\}$")
+    filled = F.when(stands, F.regexp_replace("json", F.lit(r'"figure_id"\s*:\s*("\s*"|null)'), quoted)).otherwise(F.concat(F.lit("{"), quoted, F.when(empty, "").otherwise(","), F.expr("substring(json, 2)")))
+    each = each.withColumn("guessed", F.when(blank, guess)).withColumn("json", F.when(blank, filled).otherwise(F.col("json")))
+    guessed = each.filter("guessed IS NOT NULL").select("paper_id", "ord", "part", F.concat(F.lit("[修复] "), "file", F.lit(": figure_id 缺失 → 按文件名补为 '"), "guessed", F.lit("'")).alias("warning"))
+    place = F.row_number().over(Window.partitionBy("paper_id").orderBy("ord", "part")).cast("long")
+    numbered = each.withColumn("place", place)
+    fixed = repair(numbered.select("paper_id", F.col("place").alias("ord"), "json"))
+    at = numbered.select("paper_id", F.col("place"), F.col("ord").alias("file_ord"), "part", "file")
+    found = fixed.withColumnRenamed("ord", "place").join(at, ["paper_id", "place"])
+    said = found.select("paper_id", F.col("file_ord").alias("ord"), "part", "file", F.explode("warnings").alias("warning")).withColumn("warning", tag_source(F.col("warning"), F.col("file"))).drop("file")
+    lost = found.filter("record IS NULL").select("paper_id", F.col("file_ord").alias("ord"), "part", F.concat(F.lit("[致命] "), "file", F.lit(": 记录不可用，已跳过")).alias("warning"))
+    good = found.filter("record IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("paper_id", "record.figure_id").orderBy("place"))
+    again = good.withColumn("nth", nth).filter("nth > 1").select("paper_id", F.col("file_ord").alias("ord"), "part", F.concat(F.lit("[复核] "), "record.figure_id", F.lit(" 出现多次，保留最后一份（"), "file", F.lit("）")).alias("warning"))
+    records = merge(good.select("paper_id", F.col("place").alias("ord"), "record.*"))
+    warnings = broken.unionByName(taken).unionByName(guessed).unionByName(said).unionByName(lost).unionByName(again)
+    return records, warnings.select("paper_id", "ord", "warning")
+
+
+def in_order(records: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged records with their place among expected(paper_id, figure_id, k), others after them; and one fatal warning for each paper that lacks some."""
+    placed = records.join(expected.select("paper_id", "figure_id", "k"), ["paper_id", "figure_id"], "left")
+    nth = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("k").asc_nulls_last(), "first_ord"))
+    lacking = missing(expected, records).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "figure_id"))), lambda x: x["figure_id"]).alias("ids"))
+    text = F.concat(F.lit("[致命] 有 "), F.size("ids").cast("string"), F.lit(" 张图还没抽："), F.array_join("ids", ", "), F.lit("——补齐 extracted/ 后重跑 merge"))
+    return placed.withColumn("ord", nth.cast("long")).drop("k"), lacking.select("paper_id", text.alias("warning"))
+
+
 def missing(expected: DataFrame, records: DataFrame) -> DataFrame:
     """Expected (paper_id, figure_id) without a record."""
     return expected.join(records.select("paper_id", "figure_id"), ["paper_id", "figure_id"], "left_anti")

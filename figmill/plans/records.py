@@ -251,14 +251,61 @@ def tree_counts(spark, sf):
     return corpus.tree(records(spark, sf)).groupBy("ord").agg(F.count("*").alias("nodes"))
 
 
-@query("flow_links", f"WITH {WIDE} SELECT source, target, count(*) AS n FROM (SELECT independent_var AS source, role AS target FROM wide UNION ALL SELECT role, readout FROM wide) GROUP BY ALL")
-def flow_links(spark, sf):
-    return render.flow_links(records(spark, sf))
+_FLOW = """f AS (SELECT CAST(c_nationkey AS VARCHAR) AS paper_id, c_custkey AS ord, c_custkey % 3 = 0 AS ext, c_custkey // 3 AS num, CASE c_custkey % 9 WHEN 0 THEN (c_custkey * 7 + c_nationkey) % 400 WHEN 3 THEN c_custkey // 3 - 1 END AS rel FROM customer),
+  g AS (SELECT *, CASE WHEN ext THEN 'Extended Data ' ELSE '' END || 'Figure ' || num AS id FROM f)"""
 
 
-@query("tree_layout", f"WITH {FLAT} SELECT ord, depth * 180 AS x, CAST((row_number() OVER (PARTITION BY ord ORDER BY depth, k) - 1) * 24 AS INT) AS y, text FROM (SELECT ord, 0 AS depth, 0 AS k, figure_id AS text FROM fig UNION ALL SELECT ord, 1, panel_idx, label FROM pan JOIN fig USING (ord))")
+@query("flow_links", f"""WITH {_FLOW}, m AS (SELECT * FROM g WHERE NOT ext)
+    SELECT paper_id, 'chain' AS kind, lag(id) OVER (PARTITION BY paper_id ORDER BY num, ord) AS source, id AS target FROM m
+    UNION ALL SELECT e.paper_id, CASE WHEN m.id IS NULL THEN 'orphan' ELSE 'branch' END, m.id, e.id FROM g e LEFT JOIN m ON m.paper_id = e.paper_id AND m.num = e.rel WHERE e.ext""")
+def flow_links(spark, sf):
+    c = load(spark, sf, "customer")["customer"]
+    k, ext = F.col("c_custkey"), F.col("c_custkey") % 3 == 0
+    number = F.floor(k / 3).cast("string")
+    said = F.when(k % 9 == 0, F.concat(F.lit(", related to Fig. "), ((k * 7 + F.col("c_nationkey")) % 400).cast("string"))).when(k % 9 == 3, F.concat(F.lit(", related to Figure "), (F.floor(k / 3) - 1).cast("string"))).otherwise("")
+    figures = c.select(F.col("c_nationkey").cast("string").alias("paper_id"), k.alias("ord"), F.concat(F.when(ext, "Extended Data ").otherwise(""), F.lit("Figure "), number).alias("figure_id"), F.concat(F.lit("Growth"), said).alias("caption"))
+    return render.flow_links(figures)
+
+
+@query("tree_layout", f"""WITH {FLAT}, n AS (SELECT paper_id, title, ord, figure_id, panel_idx, label FROM fig LEFT JOIN pan USING (ord)),
+    l AS (SELECT *, 26.0 + 21 * (row_number() OVER (PARTITION BY paper_id ORDER BY ord, panel_idx) - 1) AS y FROM n),
+    f AS (SELECT paper_id, ord, figure_id, (min(y) + max(y)) / 2 AS y FROM l GROUP BY ALL)
+    SELECT paper_id, 700 AS x, CAST(y AS DOUBLE) AS y, label AS text FROM l WHERE panel_idx IS NOT NULL UNION ALL SELECT paper_id, 330, CAST(y AS DOUBLE), figure_id FROM f
+    UNION ALL SELECT f.paper_id, 16, CAST((arg_min(f.y, f.ord) + arg_max(f.y, f.ord)) / 2 AS DOUBLE), t.title FROM f JOIN (SELECT DISTINCT paper_id, title FROM fig) t USING (paper_id) GROUP BY f.paper_id, t.title""")
 def tree_layout(spark, sf):
-    return render.tree_layout(corpus.tree(records(spark, sf)).filter("depth < 2")).select("ord", "x", "y", "text")
+    return render.tree_layout(render.paper_tree(records(spark, sf), depth=2)).select("paper_id", "x", "y", "text")
+
+
+@query("rail_sections", f"""WITH {FLAT}, r AS (SELECT paper_id, ord, CASE WHEN ord % 4 = 0 THEN 'Extended Data' ELSE '正文图' END AS section, CASE WHEN ord % 4 = 0 THEN 'ED ' ELSE '' END || figure_id AS name, substr(caption, strpos(caption, '. ') + 2) AS t FROM fig)
+    SELECT paper_id, ord, section, name, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '…' ELSE t END AS title, CAST((SELECT count(*) FROM pan WHERE pan.ord = r.ord) AS INT) AS panels, coalesce(lag(section) OVER (PARTITION BY paper_id ORDER BY ord) <> section, true) AS begins FROM r""")
+def rail_sections(spark, sf):
+    extended = F.concat(F.when(F.col("ord") % 4 == 0, "Extended Data ").otherwise(""), "figure_id")
+    return render.rail(records(spark, sf).withColumn("figure_id", extended))
+
+
+@query("asset_warnings", """WITH a AS (SELECT CAST(o_custkey AS VARCHAR) AS paper_id, 'Figure ' || o_orderkey AS figure_id, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS c, CASE o_orderkey % 2 WHEN 0 THEN 'latex_vector' ELSE 'fallback_page' END AS r, o_orderkey % 5 = 0 AS bare FROM orders)
+    SELECT paper_id, figure_id, figure_id || ' 切图置信度 ' || c || '（' || r || '）' AS warning FROM a WHERE c <> 'high' UNION ALL SELECT paper_id, figure_id, figure_id || ' 没有产出任何切图' FROM a WHERE bare""")
+def asset_warnings(spark, sf):
+    o, k = load(spark, sf, "orders")["orders"], F.col("o_orderkey")
+    images = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a.png")))
+    trust = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
+    return render.asset_warnings(o.select(F.col("o_custkey").cast("string").alias("paper_id"), F.concat(F.lit("Figure "), k).alias("figure_id"), images.alias("images"), F.when(k % 2 == 0, "latex_vector").otherwise("fallback_page").alias("layout_route"), trust.alias("bbox_confidence")))
+
+
+@query("merge_warnings", """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS paper_id, o_orderkey AS k, 'figure_' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || '.json' AS f, 'Figure ' || (o_orderkey % 3) AS id FROM orders),
+    d AS (SELECT paper_id, k, f, id, row_number() OVER (PARTITION BY paper_id, id ORDER BY k) AS nth FROM o WHERE k % 5 IN (0, 1, 4))
+    SELECT paper_id, '[致命] ' || f || ': 读取失败' AS warning FROM o WHERE k % 5 = 2
+    UNION ALL SELECT paper_id, '[修复] ' || f || ': 写成了 bundle 而非单条记录 → 已拆开取用' FROM o WHERE k % 5 = 1
+    UNION ALL SELECT paper_id, '[修复] ' || f || ': figure_id 缺失 → 按文件名补为 ' || chr(39) || 'Figure ' || k || chr(39) FROM o WHERE k % 5 = 3
+    UNION ALL SELECT paper_id, '[复核] ' || id || ' 出现多次，保留最后一份（' || f || '）' FROM d WHERE nth > 1""")
+def merge_warnings(spark, sf):
+    o, k = load(spark, sf, "orders")["orders"], F.col("o_orderkey")
+    fid = F.concat(F.lit('"figure_id":"Figure '), k % 3, F.lit('"'))
+    rest = F.lit(',"schema_version":"1.0","domain":"bio","open_questions":["?"],"figure_kind":"schematic"}')
+    one = F.concat(F.lit("{"), fid, rest)
+    json = F.when(k % 5 == 1, F.concat(F.lit('{"figures":['), one, F.lit("]}"))).when(k % 5 == 2, "{broken").when(k % 5 == 3, F.concat(F.lit('{"figure_id":" "'), rest)).otherwise(one)
+    raw = o.select(F.col("o_custkey").cast("string").alias("paper_id"), k.alias("ord"), F.concat(F.lit("figure_"), F.lpad(k.cast("string"), 7, "0"), F.lit(".json")).alias("file"), json.alias("json"))
+    return repair.merge_files(raw)[1].select("paper_id", "warning")
 
 
 @query("kpi_tiles", f"""WITH {WIDE}, p AS (SELECT * FROM fig JOIN pan USING (ord)) SELECT 'figures' AS tile, CAST(count(*) AS VARCHAR) AS text FROM fig UNION ALL SELECT 'panels', CAST(count(*) AS VARCHAR) FROM p UNION ALL SELECT 'groups', CAST(count(*) AS VARCHAR) FROM wide

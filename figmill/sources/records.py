@@ -10,7 +10,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figmill.operators.repair import merge, repair, unwrap
+from figmill.operators.repair import merge_files
 from figmill.schema import KEYED_RECORD, json_schema
 
 PRIMITIVES = {
@@ -38,10 +38,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Repaired and merged records of all files, and their warnings."""
-    each = unwrap(read_files(spark, path).select("paper_id", F.col("ord").cast("long").alias("ord"), "json"))
-    fixed = repair(each.select("paper_id", (F.col("ord") * 1000 + F.col("part")).alias("ord"), "json"))
-    records = merge(fixed.filter("record IS NOT NULL").select("paper_id", "ord", "record.*"))
-    return records.select(*[c.split()[0] for c in ("paper_id", "ord")], *[c for c in records.columns if c not in ("paper_id", "ord", "first_ord")]), fixed.select("paper_id", "ord", F.explode("warnings").alias("warning"))
+    records, warnings = merge_files(read_files(spark, path).withColumn("ord", F.col("ord").cast("long")))
+    return records.select("paper_id", "ord", *[c for c in records.columns if c not in ("paper_id", "ord", "first_ord")]), warnings
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
