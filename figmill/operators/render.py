@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.functions.exprs import clean_sentinel, evidence_summary, joined, md_cell, shown
-from figmill.operators.corpus import tree
-from figmill.operators.flatten import group_cell, panels, result_cell
+from figmill.operators.corpus import mermaid, opml, tree
+from figmill.operators.flatten import group_cell, groups, panels, result_cell
 from figmill.operators.metrics import kpi
 from figmill.operators.tasks import pages_label, trust_label
 
@@ -37,11 +37,58 @@ def notes(records: DataFrame, reasons: DataFrame | None = None) -> DataFrame:
     return r.select("paper_id", "ord", "figure_id", doc.alias("doc"))
 
 
+def paper_notes(records: DataFrame, reasons: DataFrame, warnings: DataFrame) -> DataFrame:
+    """The notes of each paper as one Markdown text: its counts, its figures in order, a checklist of what to review, its warnings.
+
+    Figures of medium trust without another reason are listed after the reasons.
+    """
+    lines = lambda df, order: df.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda x: x["line"]), "\n").alias("doc"))
+    sections = notes(records, reasons).groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc"))), lambda x: x["doc"]), "\n\n").alias("figures"))
+    head = records.groupBy("paper_id").agg(F.concat(F.lit("# "), F.coalesce(F.min_by("paper.title", "ord"), F.lit("")), F.lit("\n\n- 图 "), F.count("*").cast("string"), F.lit(" · panel "), F.sum(F.size("panels")).cast("string")).alias("head"))
+    said = reasons.join(records.select("paper_id", "figure_id", F.col("ord").alias("at")), ["paper_id", "figure_id"])
+    said = said.select("paper_id", "at", F.lit(0).alias("k"), F.concat(F.lit("- [ ] "), "figure_id", F.lit(": "), md_cell(F.col("text"))).alias("line"))
+    medium = records.filter("confidence = 'medium'").join(reasons.select("paper_id", "figure_id"), ["paper_id", "figure_id"], "left_anti")
+    medium = medium.select("paper_id", F.col("ord").alias("at"), F.lit(1).alias("k"), F.concat(F.lit("- [ ] "), "figure_id", F.lit(": 置信度 中")).alias("line"))
+    checks = lines(said.unionByName(medium), ["k", "at"]).withColumnRenamed("doc", "checks")
+    warned = lines(warnings.select("paper_id", "ord", F.concat(F.lit("- "), md_cell(F.col("warning"))).alias("line")), ["ord"]).withColumnRenamed("doc", "warned")
+    whole = head.join(sections, "paper_id").join(checks, "paper_id", "left").join(warned, "paper_id", "left")
+    part = lambda title, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"## {title}\n\n"), c))
+    return whole.select("paper_id", F.concat_ws("\n\n", "head", "figures", part("复核清单", "checks"), part("警告", "warned")).alias("doc"))
+
+
+def figure_tables(records: DataFrame) -> DataFrame:
+    """The groups of each figure as one Markdown table: paper_id, ord, figure_id, doc."""
+    rows = groups(panels(records)).select("paper_id", "ord", "figure_id", "panel_idx", "group_idx", F.concat(F.lit("| "), F.array_join(F.array(md_cell(F.col("p.label")), md_cell(group_cell(F.col("g"))), md_cell(clean_sentinel(F.col("g.n"))), md_cell(result_cell(F.col("g")))), " | "), F.lit(" |")).alias("line"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("panel_idx", "group_idx", "line"))), lambda x: x["line"])
+    return rows.groupBy("paper_id", "ord", "figure_id").agg(F.concat(F.lit("## "), F.first("figure_id"), F.lit("\n\n"), _table(body, ["panel", "分组", "n", "结果"])).alias("doc"))
+
+
+def mindmaps(records: DataFrame, depth: int = 3) -> DataFrame:
+    """Each paper's mind map: paper_id, mermaid, opml."""
+    nodes = paper_tree(records, depth).withColumnRenamed("paper_id", "ord")
+    drawn = mermaid(nodes).select(F.col("ord").alias("paper_id"), F.concat(F.lit("mindmap\n"), "doc").alias("mermaid"))
+    outline = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<opml version="2.0">\n<head/>\n<body>\n'), "doc", F.lit("\n</body>\n</opml>"))
+    return drawn.join(opml(nodes).select(F.col("ord").alias("paper_id"), outline.alias("opml")), "paper_id")
+
+
 def context_packs(packs: DataFrame) -> DataFrame:
-    """Markdown of context packs(paper_id, figure_id, caption, citing array<struct<id,text>>, methods array<struct<id,text,score>>)."""
+    """Markdown of context packs as context.packs gives them: caption and its parts, citing paragraphs, methods with why they were recalled."""
     item = lambda x: F.concat(F.lit("- "), x["id"], F.lit(": "), x["text"])
-    doc = F.array_join(F.concat(F.array(F.concat(F.lit("# "), "figure_id"), F.lit("## Caption"), F.col("caption"), F.lit("## Cited in")), F.transform("citing", item), F.array(F.lit("## Methods")), F.transform("methods", item)), "\n")
-    return packs.select("paper_id", "figure_id", doc.alias("doc"))
+    why = lambda x: F.concat(item(x), F.lit(" ("), x["how"], F.when(x["score"] > 0, F.concat(F.lit(" "), x["score"].cast("string"))).otherwise(""), F.lit(")"))
+    section = lambda title, items: F.when(F.size(items) > 0, F.concat(F.array(F.lit(f"## {title}")), items)).otherwise(F.array().cast("array<string>"))
+    text = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
+    s = F.col("split")
+    parts = F.concat(
+        F.array(F.concat(F.lit("# "), "figure_id"), F.lit("## Caption"), F.coalesce("caption", F.lit(""))),
+        section("Overview", text(s["preamble"])),
+        section("Panels", F.transform(s["panels"], lambda p: F.concat(F.lit("- "), p["label"], F.lit(": "), p["text"]))),
+        section("For all panels", text(s["trailer"])),
+        section("Cited in", F.transform("citing", item)),
+        section("Cited in as well", F.when(F.size("over") > 0, F.array(F.array_join("over", ", "))).otherwise(F.array().cast("array<string>"))),
+        section("Keywords", F.when(F.size("keywords") > 0, F.array(F.array_join("keywords", ", "))).otherwise(F.array().cast("array<string>"))),
+        section("Methods", F.transform("methods", why)),
+    )
+    return packs.select("paper_id", "figure_id", F.array_join(parts, "\n").alias("doc"))
 
 
 def page_data(records: DataFrame) -> DataFrame:

@@ -52,6 +52,12 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return b.select(F.col("_metadata.file_path").alias("paper_id"), "source_pdf", "output_dir", "warnings", F.posexplode("figures").alias("ord", "f")).select("paper_id", "ord", "source_pdf", "output_dir", "warnings", "f.*")
 
 
+def write_csv_parts(table: DataFrame, path: str) -> None:
+    """CSV files in a folder, written where the rows are; each begins with a byte-order mark and the header."""
+    marked = table.select(*[F.col(f"`{c}`").cast("string").alias(("\ufeff" if k == 0 else "") + c) for k, c in enumerate(table.columns)])
+    marked.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+
+
 def write_csv(table: DataFrame, path: str) -> int:
     """One CSV file with a byte-order mark, streamed through the driver row by row; rows written."""
     import csv

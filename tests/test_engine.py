@@ -171,3 +171,40 @@ def test_clusters_and_bounds(spark):
     rects = spark.createDataFrame([("p", 0, 0.0, y, 10.0, y + 10) for y in (0.0, 20.0, 100.0, 105.0)], "paper_id string, pno int, x0 double, y0 double, x1 double, y1 double")
     assert sorted(r["n"] for r in layout.clusters(rects, ["paper_id", "pno"]).collect()) == [2, 2]
     assert RECORD.count("panels") == 1
+
+
+def test_flow_from_tables_to_documents(spark, tmp_path):
+    from figmill import __main__ as cli
+    from figmill.operators import context, recall, render, tasks
+
+    assets = spark.createDataFrame([("p", "Figure 1", "figure", "1", "Figure 1. Sum. (A) Growth of HeLa cells. (B) Death of HeLa cells."), ("p", "Figure 2", "figure", "2", "Figure 2. Plain.")], "paper_id string, figure_id string, kind string, number string, caption string")
+    paragraphs = spark.createDataFrame([("p", 1, "§1¶1", "§1", "See Fig. 1A and more."), ("p", 2, "§2¶1", "§2", "HeLa cells were grown."), ("p", 3, "§3¶1", "§3", "Tests were two-sided.")], "paper_id string, ord long, id string, section_id string, text string")
+    sections = spark.createDataFrame([("p", "§1", "Results", False), ("p", "§2", "Methods", True), ("p", "§3", "Statistical analysis", True)], "paper_id string, id string, title string, is_methods boolean")
+    packs = context.packs(assets, paragraphs, sections, recall.term_table(spark))
+    got = {r["figure_id"]: r for r in packs.collect()}
+    assert [c["id"] for c in got["Figure 1"]["citing"]] == ["§1¶1"] and got["Figure 2"]["citing"] == []
+    assert [(m["id"], m["how"]) for m in got["Figure 1"]["methods"]] == [("§2¶1", "hit"), ("§3¶1", "pinned")]
+    doc = {r["figure_id"]: r["doc"] for r in render.context_packs(packs).collect()}["Figure 1"]
+    assert "## Panels\n- A: Growth of HeLa cells." in doc and "(hit " in doc
+    made = tasks.build(packs, "light", "main,1").collect()
+    assert [r["slug"] for r in made] == ["figure_01"] and "## 4. Cited in" in made[0]["doc"] and "Methods" not in made[0]["doc"] and '"label":"B"' in made[0]["doc"]
+    for bad in ({"level": "none"}, {"figures": "77"}):
+        with pytest.raises(ValueError):
+            tasks.build(packs, **bad)
+
+    folder = tmp_path / "papers" / "one" / "extracted"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text(record(paper={"title": "T"}, confidence="medium"))
+    (folder / "figure_02.json").write_text(record(figure_id="", paper={"title": "T"}))
+    (folder / "z.json").write_text(json.dumps({"figures": [json.loads(record())]}))
+    assert cli.main(["render", "--records", f"{tmp_path}/papers", "--out", f"{tmp_path}/out", "--outputs", "notes,mindmap,tables"]) == 0
+    notes = spark.read.parquet(f"{tmp_path}/out/notes").first()["doc"]
+    assert notes.startswith("# T") and "## Figure 2" in notes and "## 复核清单" in notes and "出现多次" in notes and "缺失" in notes and "bundle" in notes
+    maps = spark.read.parquet(f"{tmp_path}/out/mindmap").first()
+    assert maps["mermaid"].startswith("mindmap\n") and maps["opml"].count("<outline") == maps["opml"].count("</outline>") + 2
+    assert spark.read.parquet(f"{tmp_path}/out/tables").count() == 2
+    assert cli.main(["corpus", "--records", f"{tmp_path}/papers", "--out", f"{tmp_path}/csv"]) == 0
+    assert next((tmp_path / "csv").glob("part-*.csv")).read_bytes().startswith(b"\xef\xbb\xbf")
+    assert cli.main(["render", "--records", f"{tmp_path}/none", "--out", f"{tmp_path}/x"]) == 2
+    with pytest.raises(ValueError):
+        cli.wanted_outputs("page,film")
