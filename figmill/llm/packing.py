@@ -109,29 +109,32 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        row = part << 33
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "nth")} | ({"ids": []} if with_ids else {})
+            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "nth", "row")} | ({"ids": []} if with_ids else {})
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.array(encode(text.as_py() or "") + [end_id], dtype="<u4")
                 for n, (start, length) in enumerate(cuts(len(ids), size)):
                     raw = ids[start : start + length].tobytes()
-                    row = (doc_id, n, start, length, zlib.crc32(raw), int(seen[length]))
+                    one = (doc_id, n, start, length, zlib.crc32(raw), int(seen[length]), row)
                     seen[length] += 1
-                    for k, v in zip(out, (*row, raw), strict=False):
+                    for k, v in zip(out, (*one, raw), strict=False):
                         out[k].append(v)
+                row += 1
             n = len(out["doc_id"])
             kinds = {"piece": pa.int32(), "ids": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()] + [pa.array([part] * n, pa.int32())], [*out, "part"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long" + ", ids binary" * with_ids + ", part int"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long, row long" + ", ids binary" * with_ids + ", part int"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pack all ``docs(doc_id, text)`` into few sequences of at most ``size`` tokens.
 
-    Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset
-    (and ids, little-endian unsigned 32-bit, if ``with_ids``). Null texts are
+    Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset, row
+    (the same for all pieces of one row, so copies can be told apart) and, if
+    ``with_ids``, ids (little-endian unsigned 32-bit). Null texts are
     empty: one piece with the end id alone. Repeated rows are packed each, null
     doc_ids are kept, an empty table gives no rows; other columns are ignored.
     """
@@ -152,4 +155,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
     before = per_part.selectExpr("part", "length", "sum(n) over (partition by length order by part) - n as before")
     ranked = cut.join(before, ["part", "length"]).withColumn("at", slot(F.col("length"), F.col("before") + F.col("nth")))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    return ranked.select(*keep, "at.sequence_id", "at.offset")
+    return ranked.select(*keep, "at.sequence_id", "at.offset", "row")
