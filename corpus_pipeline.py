@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples call toxic go; no text is moved for it."""
+    """Documents that the nearest labelled examples call toxic go; no text is moved for it.
+
+    Null and empty texts are judged like their like among the examples, repeated rows each; without labels nothing goes.
+    """
     model, _ = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.select(COLUMNS).filter(~model.rejects(F.col("doc_id"), F.col("text")))
 
@@ -32,18 +35,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates (five-word shingles, similarity 0.8 or more) one document stays."""
+    """Of every group of near-duplicates (five-word shingles, similarity 0.8 or more) one document stays.
+
+    Of repeated rows one stays, of a group the smallest doc_id; texts without words, null ones too, all stay.
+    """
     return setsketch.deduplicate(docs.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their sources' targets want them."""
+    """Documents as often as their sources' targets want them, at most three times.
+
+    A null source is a source; texts without words are taken once; rows alike share their copies evenly.
+    """
     return mixing.mix(docs.select(COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in the sequences."""
-    return pack(docs.select(COLUMNS), tokenizer_path())
+    """Pieces of at most 1024 tokens with their ids, their places in the sequences, and the row each comes from: copies that mixing made are rows of their own.
+
+    Null and empty texts are one piece with the end id alone; an empty table gives no rows.
+    """
+    return pack(docs.select(COLUMNS), tokenizer_path(), with_ids=True)
 
 
 STAGES = [
