@@ -363,3 +363,20 @@ def nearest_rule_gap(spark, sf):
 def assign_rows(spark, sf):
     w = _cells(spark, sf).withColumn("y0", F.col("row") * 20.0 + F.col("x0") % 2).withColumn("y1", F.col("y0") + 10).withColumn("table_id", F.col("table_id").cast("long"))
     return layout.assign_rows(w.drop("row")).select("table_id", "text", "row")
+
+
+@query("placement", """SELECT CAST(c_custkey AS VARCHAR) AS paper_id, c_custkey AS anchor_id, CASE c_custkey % 3 WHEN 0 THEN 56.0 WHEN 1 THEN 56.0 ELSE 44.0 END::DOUBLE AS x0, CASE c_custkey % 3 WHEN 0 THEN 56.0 WHEN 1 THEN 96.0 ELSE 40.0 END::DOUBLE AS y0,
+    CASE c_custkey % 3 WHEN 0 THEN 544.0 WHEN 1 THEN 504.0 ELSE 556.0 END::DOUBLE AS x1, CASE c_custkey % 3 WHEN 0 THEN 304.0 + c_custkey % 100 WHEN 1 THEN 454.0 ELSE 500.0 END::DOUBLE AS y1,
+    CASE c_custkey % 3 WHEN 0 THEN 'journal_raster' WHEN 1 THEN 'latex_vector' ELSE 'fallback_band' END AS route, CASE c_custkey % 3 WHEN 2 THEN 'medium' ELSE 'high' END AS trust FROM customer""")
+def placement(spark, sf):
+    from figmill.operators import place
+
+    c, k = load(spark, sf, "customer")["customer"], F.col("c_custkey")
+    lit = lambda **cols: [F.lit(v).cast("double").alias(n) for n, v in cols.items()]
+    at = [k.cast("string").alias("paper_id"), F.lit(0).alias("pno")]
+    route = F.when(k % 3 == 0, "journal_raster").otherwise("latex_vector").alias("route")
+    pages = c.select(*at, *lit(width=600, height=800, content_x0=50, content_x1=550, content_top=40, content_bottom=760), route, F.lit(False).alias("is_figure_page"), F.lit(True).alias("has_graphics"))
+    images = c.filter(k % 3 == 0).select(*at, *lit(x0=60, y0=60, x1=540), (300 + k % 100).cast("double").alias("y1"))
+    own = [F.when(k % 3 == 1, F.lit(v)).cast("double").alias(n) for n, v in (("g_x0", 60), ("g_y0", 100), ("g_x1", 500), ("g_y1", 450), ("coverage", 1))]
+    anchors = c.select(*at, k.alias("anchor_id"), F.lit("figure").alias("kind"), F.lit("").alias("series"), F.lit("1").alias("number"), *lit(x0=60, y0=500, x1=300, y1=510, col_x0=50, col_x1=550, ceiling=40), *own)
+    return place.place(anchors, pages, images, images.limit(0)).select("paper_id", "anchor_id", "x0", "y0", "x1", "y1", "route", "trust")
