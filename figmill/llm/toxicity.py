@@ -128,11 +128,14 @@ class Index:
         often = column >= 0
         dense = np.zeros((n, self.most.shape[0]), np.float32)
         dense[of[often], column[often]] = weight[often]
-        t = term[~often]
-        counts = self.posting_start[t + 1] - self.posting_start[t]
-        posting = _ranges(self.posting_start[t], counts)
-        cell = np.repeat(of[~often] * self.size, counts) + self.posting_place[posting]
-        scores = np.bincount(cell, np.repeat(weight[~often], counts) * self.posting_weight[posting], minlength=n * self.size).reshape(n, self.size)
+        rare, w = term[~often], weight[~often]
+        ends = np.searchsorted(of[~often], np.arange(n + 1))
+        scores = np.empty((n, self.size), np.float32)
+        for i in range(n):  # one text at a time, as its postings fit into a cache
+            t = rare[ends[i] : ends[i + 1]]
+            counts = self.posting_start[t + 1] - self.posting_start[t]
+            posting = _ranges(self.posting_start[t], counts)
+            scores[i] = np.bincount(self.posting_place[posting], np.repeat(w[ends[i] : ends[i + 1]], counts) * self.posting_weight[posting], minlength=self.size)
         out_of = np.zeros((n, self.size), bool)
         for i, rows in enumerate(skip or ()):
             out_of[i, self.place[rows]] = True
@@ -146,7 +149,7 @@ class Index:
             wanted = wanted & (bounds > 0) & (bounds >= least[:, None] - _MARGIN)
             for b in np.flatnonzero(wanted.any(axis=0)):
                 some, s = np.flatnonzero(wanted[:, b]), slice(self.edges[b], self.edges[b + 1])
-                own = (scores[some, s] + dense[some] @ self.panels[b]).astype(np.float32)
+                own = scores[some, s] + (dense if len(some) == n else dense[some]) @ self.panels[b]
                 own[out_of[some, s]] = -1
                 found[some, s] = own
                 if at_first:
@@ -155,14 +158,17 @@ class Index:
             best = held if at_first else found
             if best.shape[1] >= k:
                 least = np.maximum(np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k], 0)
-        out, whole = [], np.zeros(self.terms)
+        # a query's terms are numbered from 1, in an array that is small enough for a cache
+        out, local = [], np.zeros(self.terms, np.int32)
         for i, (t, w) in enumerate(queries):
             near = np.flatnonzero(found[i] > max(least[i] - _MARGIN, 0))
-            sizes = self.start[near + 1] - self.start[near]
-            at = _ranges(self.start[near], sizes)
-            whole[t] = w
-            exact = np.bincount(np.repeat(np.arange(len(near)), sizes), whole[self.term[at]] * self.weight[at], minlength=len(near))
-            whole[t] = 0
+            starts, ends = self.start[near], self.start[near + 1]
+            own = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            local[t] = np.arange(1, len(t) + 1)
+            held = np.concatenate([np.zeros(0, np.int32), *(local[self.term[x]] for x in own)])
+            local[t] = 0
+            parts = np.r_[0.0, w][held] * np.concatenate([np.zeros(0, np.float32), *(self.weight[x] for x in own)])
+            exact = np.bincount(np.repeat(np.arange(len(near)), ends - starts), parts, minlength=len(near))
             rows = self.rows[near]
             best = np.lexsort((rows, -np.round(exact, 6)))[:k]
             out.append([(float(exact[j]), int(rows[j])) for j in best if exact[j] > 0])
@@ -246,29 +252,48 @@ def ties(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np
     return LOOSE + (1 - LOOSE) * np.where(a * d > b * c, chi**2 / (chi**2 + HALF_CHI**2), 0)
 
 
+class Words(dict):
+    """Words met lately, each with its row of term numbers; row 0 is that of words without a term."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary, self.rows, self.used = vocabulary, np.full((1024, 1 + len(BEGINNINGS)), -1, np.int32), 1
+
+    def __missing__(self, word: bytes) -> int:
+        own = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
+        self[word] = at = self.used if own else 0
+        if own:
+            if at == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.full_like(self.rows, -1)])
+            self.rows[at, : len(own)] = own
+            self.used += 1
+        return at
+
+
 class Model:
     """What ``fit`` learnt: the terms, their weights, and the examples."""
 
     def __init__(self, vocabulary: dict[bytes, int], weights: np.ndarray, votes: Votes | None, ids: np.ndarray):
         self.vocabulary, self.weights, self.votes, self.ids = vocabulary, weights, votes, ids
-        self.known: dict[bytes, list[int]] = {}
+        self.known: Words | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": None}
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and counts of a whole text."""
-        if len(self.known) > 100_000:  # words met lately
-            self.known.clear()
-        known, found, times = self.known, [], []
-        for word, n in words_of(text).items():
-            own = known.get(word)
-            if own is None:
-                own = known[word] = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
-            found += own
-            times += [n] * len(own)
-        terms, at = np.unique(np.array(found, dtype=np.int64), return_inverse=True)
-        return terms, np.bincount(at, times, minlength=len(terms))
+        if self.known is None or len(self.known) > 100_000:
+            self.known = Words(self.vocabulary)
+        words = words_of(text)
+        known = self.known
+        row = np.array([known[w] for w in words], dtype=np.int64)
+        times = np.fromiter(words.values(), np.int64, len(words))
+        own = known.rows[row]
+        # a term's number and its count in one integer, so that one sort brings a term's counts together
+        both = ((own.astype(np.int64) << 32) + times[:, None])[own >= 0]
+        both.sort()
+        terms = both >> 32
+        first = np.flatnonzero(np.diff(terms, prepend=-1))
+        return terms[first], np.add.reduceat(both & 0xFFFFFFFF, first) if len(first) else np.zeros(0, np.int64)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weights[terms]
