@@ -8,7 +8,9 @@ from figmill.operators import layout
 from figmill.plans.registry import query
 from figmill.plans.synthetic import load
 
-_P = "CAST(o_custkey % 40 AS STRING) AS paper_id, CAST(o_orderkey % 6 AS INT) AS pno"
+#: Papers of up to 100 orders, so that their number grows with the table and their pages do not.
+_P = "CAST(o_orderkey DIV 100 AS STRING) AS paper_id, CAST(o_orderkey % 6 AS INT) AS pno"
+_BY_CUSTOMER = "CAST(o_custkey % 40 AS STRING) AS paper_id, CAST(o_orderkey % 6 AS INT) AS pno"
 
 
 def _sql(spark, sf, text: str, *names: str):
@@ -19,14 +21,15 @@ def _rects(spark, sf):
     return _sql(spark, sf, f"SELECT {_P}, o_orderkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM {{orders}}", "orders")
 
 
-_RECTS = f"r AS (SELECT {_P.replace('STRING', 'VARCHAR')}, o_orderkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM orders)"
+_RECTS = f"r AS (SELECT {_P.replace('STRING', 'VARCHAR').replace('DIV', '//')}, o_orderkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM orders)"
 
 
-def _pages(spark):
-    return spark.range(40).select(F.col("id").cast("string").alias("paper_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pno"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+def _pages(spark, sf):
+    papers = _sql(spark, sf, "SELECT DISTINCT o_orderkey DIV 100 AS id FROM {orders}", "orders")
+    return papers.select(F.col("id").cast("string").alias("paper_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pno"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
 
 
-_PAGES = "pages AS (SELECT CAST(a.range AS VARCHAR) AS paper_id, CAST(b.range AS INT) AS pno, 600.0::DOUBLE AS width, 800.0::DOUBLE AS height FROM range(40) a, range(6) b)"
+_PAGES = "pages AS (SELECT CAST(a.range AS VARCHAR) AS paper_id, CAST(b.range AS INT) AS pno, 600.0::DOUBLE AS width, 800.0::DOUBLE AS height FROM (SELECT DISTINCT o_orderkey // 100 AS range FROM orders) a, range(6) b)"
 
 
 @query("dedupe_rects", f"WITH {_RECTS} SELECT paper_id, pno, count(*) AS n, CAST(sum(x0 + y0) AS BIGINT) AS s FROM (SELECT DISTINCT paper_id, pno, x0, y0, x1, y1 FROM r WHERE x1 - x0 >= 20 AND y1 - y0 >= 20) GROUP BY ALL")
@@ -36,21 +39,21 @@ def dedupe_rects(spark, sf):
 
 @query("rule_vs_drawing", f"WITH {_RECTS} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN y1 - y0 <= 3 AND x1 - x0 > 60 THEN 'rule' WHEN x1 - x0 >= 8 AND y1 - y0 >= 8 THEN 'graphic' END AS kind FROM r) WHERE kind IS NOT NULL GROUP BY kind")
 def rule_vs_drawing(spark, sf):
-    return layout.split_drawings(_rects(spark, sf), _pages(spark)).groupBy("kind").agg(F.count("*").alias("n"))
+    return layout.split_drawings(_rects(spark, sf), _pages(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("page_stats", f"""WITH {_RECTS}, {_PAGES}, i AS (SELECT * FROM r WHERE o_orderkey % 50 = 0), a AS (SELECT paper_id, pno, sum((x1 - x0) * (y1 - y0) * 40) AS raster, max((x1 - x0) * (y1 - y0) * 40) AS largest, count(*) AS n FROM i GROUP BY ALL),
+@query("page_stats", f"""WITH {_RECTS}, {_PAGES}, i AS (SELECT * FROM r), a AS (SELECT paper_id, pno, sum((x1 - x0) * (y1 - y0) * 40) AS raster, max((x1 - x0) * (y1 - y0) * 40) AS largest, count(*) AS n FROM i GROUP BY ALL),
     p AS (SELECT pages.*, pno * 200 AS n_chars, coalesce(raster, 0) AS raster, coalesce(largest, 0) AS largest, coalesce(n, 0) AS n FROM pages LEFT JOIN a USING (paper_id, pno))
     SELECT paper_id, pno, CASE WHEN largest / 480000 >= 0.1 AND n <= 4 THEN 'journal_raster' ELSE 'latex_vector' END AS route, (n_chars < 600 AND raster / 480000 > 0.1) OR raster / 480000 > 0.2 AS is_figure_page, largest >= 7200 AS has_graphics FROM p""")
 def page_stats(spark, sf):
-    images = _rects(spark, sf).filter("o_orderkey % 50 = 0").withColumn("x1", F.col("x0") + 40 * (F.col("x1") - F.col("x0")))
-    facts = layout.page_facts(_pages(spark).withColumn("n_chars", F.col("pno") * 200), images, images.limit(0))
+    images = _rects(spark, sf).withColumn("x1", F.col("x0") + 40 * (F.col("x1") - F.col("x0")))
+    facts = layout.page_facts(_pages(spark, sf).withColumn("n_chars", F.col("pno") * 200), images, images.limit(0))
     return facts.select("paper_id", "pno", "route", "is_figure_page", "has_graphics")
 
 
 @query("selected_page_neighbor", f"WITH {_PAGES} SELECT paper_id, pno, lag(pno) OVER w AS before, lead(pno) OVER w AS after FROM pages WHERE (pno + CAST(paper_id AS INT)) % 3 <> 0 WINDOW w AS (PARTITION BY paper_id ORDER BY pno)")
 def selected_page_neighbor(spark, sf):
-    chosen = _pages(spark).filter("(pno + cast(paper_id AS int)) % 3 <> 0")
+    chosen = _pages(spark, sf).filter("(pno + cast(paper_id AS int)) % 3 <> 0")
     return layout.neighbours(chosen).select("paper_id", "pno", "before", "after")
 
 
@@ -65,7 +68,7 @@ def line_rects(spark, sf):
 @query("reading_order_lines", """WITH s AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS paper_id, CAST(o_orderkey % 6 AS INT) AS pno, CAST(o_orderkey % 2 AS INT) AS col, o_custkey AS block_no, string_agg('s' || o_orderkey, '' ORDER BY o_orderkey) AS text, CAST(min(o_orderkey * 13 % 700) AS DOUBLE) AS y0, CAST(min(o_custkey) AS DOUBLE) AS x0, bool_and(o_orderkey % 3 <> 0) AS emphatic FROM orders GROUP BY ALL)
     SELECT paper_id, pno, col, text, emphatic, CAST(row_number() OVER (PARTITION BY paper_id, pno ORDER BY col, y0, x0) AS INT) AS ord FROM s""")
 def reading_order_lines(spark, sf):
-    spans = _sql(spark, sf, f"SELECT {_P}, CAST(o_orderkey % 2 AS INT) AS col, o_custkey AS block_no, 0 AS line_no, o_orderkey AS span_no, concat('s', o_orderkey) AS text, CAST(o_custkey AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, 1.0D AS x1, 1.0D AS y1, 'Any' AS font, 9.04D AS size, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 16 END AS flags FROM {{orders}}", "orders")
+    spans = _sql(spark, sf, f"SELECT {_BY_CUSTOMER}, CAST(o_orderkey % 2 AS INT) AS col, o_custkey AS block_no, 0 AS line_no, o_orderkey AS span_no, concat('s', o_orderkey) AS text, CAST(o_custkey AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, 1.0D AS x1, 1.0D AS y1, 'Any' AS font, 9.04D AS size, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 16 END AS flags FROM {{orders}}", "orders")
     return layout.page_lines(spans).select("paper_id", "pno", "col", "text", "emphatic", "ord")
 
 
@@ -104,7 +107,7 @@ def columns(spark, sf):
 
 @query("running_bands", f"WITH {_PAGES} SELECT paper_id, pno, CASE WHEN CAST(paper_id AS INT) % 2 = 0 THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END AS top, 770.0::DOUBLE AS bottom FROM pages")
 def running_bands(spark, sf):
-    p = _pages(spark)
+    p = _pages(spark, sf)
     head = F.when(F.col("paper_id").cast("int") % 2 == 0, F.lit("Journal of Things")).otherwise(F.concat(F.lit("Only "), F.element_at(F.split(F.lit("a b c d e f"), " "), F.col("pno") + 1)))
     block = lambda y0, y1, t: F.struct(F.lit(y0).alias("y0"), F.lit(y1).alias("y1"), t.alias("text"))
     rows = F.array(block(30.0, 50.0, head), block(300.0, 400.0, F.lit("Journal of Things")), block(770.0, 780.0, F.concat(F.lit("page "), F.col("pno").cast("string"))))
@@ -182,24 +185,24 @@ def _indent_once(lines):
     return lines.withColumn("x0", 50.0 + 6.0 * F.sum((F.col("x0") > 60).cast("int")).over(w)).withColumn("x1", F.lit(1e6)).withColumn("col_x1", F.lit(1e6))
 
 
-@query("vertical_clusters", f"""WITH {_RECTS}, c AS (SELECT *, max(y1) OVER (PARTITION BY paper_id, pno ORDER BY y0, x0, x1, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM r WHERE o_orderkey % 7 = 0),
+@query("vertical_clusters", f"""WITH {_RECTS}, c AS (SELECT *, max(y1) OVER (PARTITION BY paper_id, pno ORDER BY y0, x0, x1, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM r),
     g AS (SELECT *, sum(CASE WHEN y0 - low > 34 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id, pno ORDER BY y0, x0, x1, y1 ROWS UNBOUNDED PRECEDING) AS cluster FROM c)
     SELECT paper_id, pno, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g GROUP BY paper_id, pno, cluster""")
 def vertical_clusters(spark, sf):
-    return layout.clusters(_rects(spark, sf).filter("o_orderkey % 7 = 0"), ["paper_id", "pno"])
+    return layout.clusters(_rects(spark, sf), ["paper_id", "pno"])
 
 
-_ANCHORS = "a AS (SELECT paper_id, pno, o_orderkey AS anchor_id, 'figure' AS kind, x0, y0, x0 + 60 AS x1, y0 + 10 AS y1, CASE WHEN x0 < 300 THEN 0.0 ELSE 300.0 END AS c0 FROM r WHERE o_orderkey % 11 = 0)"
+_ANCHORS = "a AS (SELECT paper_id, pno, o_orderkey AS anchor_id, 'figure' AS kind, x0, y0, x0 + 60 AS x1, y0 + 10 AS y1, CASE WHEN x0 < 300 THEN 0.0 ELSE 300.0 END AS c0 FROM r)"
 
 
 def _anchors(spark, sf):
-    r = _rects(spark, sf).filter("o_orderkey % 11 = 0")
+    r = _rects(spark, sf)
     c0 = F.when(F.col("x0") < 300, 0.0).otherwise(300.0)
     return r.select("paper_id", "pno", F.col("o_orderkey").alias("anchor_id"), F.lit("figure").alias("kind"), "x0", "y0", (F.col("x0") + 60).alias("x1"), (F.col("y0") + 10).alias("y1"), c0.alias("col_x0"), (c0 + 300).alias("col_x1"))
 
 
-def _content(spark):
-    return _pages(spark).withColumns({"content_x0": F.lit(0.0), "content_x1": F.lit(600.0), "content_top": F.lit(20.0), "content_bottom": F.lit(780.0)})
+def _content(spark, sf):
+    return _pages(spark, sf).withColumns({"content_x0": F.lit(0.0), "content_x1": F.lit(600.0), "content_top": F.lit(20.0), "content_bottom": F.lit(780.0)})
 
 
 _OV = "greatest(0, least({b}.x1, {a}.c0 + 300) - greatest({b}.x0, {a}.c0)) > 0.3 * least({b}.x1 - {b}.x0, 300)".format(a="a", b="b")
@@ -208,7 +211,7 @@ _CEIL = f"cf AS (SELECT a.*, greatest(20.0, coalesce((SELECT max(b.y1) FROM a b
 
 @query("ceiling_floor", f"WITH {_RECTS}, {_ANCHORS}, {_CEIL} SELECT anchor_id, CAST(ceiling AS DOUBLE) AS ceiling, CAST(floor AS DOUBLE) AS floor FROM cf")
 def ceiling_floor(spark, sf):
-    return layout.ceiling_floor(_anchors(spark, sf), _content(spark)).select("anchor_id", "ceiling", "floor")
+    return layout.ceiling_floor(_anchors(spark, sf), _content(spark, sf)).select("anchor_id", "ceiling", "floor")
 
 
 @query("caption_column", f"""WITH {_RECTS}, {_ANCHORS} SELECT anchor_id, CAST(CASE WHEN anchor_id % 2 = 0 THEN 0 WHEN x0 + 30 <= 291 THEN 20 WHEN x0 + 30 >= 309 AND x0 + 30 <= 576 THEN 315 ELSE 0 END AS DOUBLE) AS col_x0,
@@ -216,69 +219,69 @@ def ceiling_floor(spark, sf):
 def caption_column(spark, sf):
     a = _anchors(spark, sf).drop("col_x0", "col_x1")
     a = a.withColumn("x1", F.when(F.col("anchor_id") % 2 == 0, F.col("x0") + 400).otherwise(F.col("x1")))
-    cols = _pages(spark).select("paper_id", "pno", F.posexplode(F.array(F.struct(F.lit(20.0).alias("c0"), F.lit(285.0).alias("c1")), F.struct(F.lit(315.0).alias("c0"), F.lit(570.0).alias("c1")))).alias("column_no", "c")).select("paper_id", "pno", "column_no", "c.*")
-    return layout.caption_column(a, cols, _content(spark)).select("anchor_id", "col_x0", "col_x1")
+    cols = _pages(spark, sf).select("paper_id", "pno", F.posexplode(F.array(F.struct(F.lit(20.0).alias("c0"), F.lit(285.0).alias("c1")), F.struct(F.lit(315.0).alias("c0"), F.lit(570.0).alias("c1")))).alias("column_no", "c")).select("paper_id", "pno", "column_no", "c.*")
+    return layout.caption_column(a, cols, _content(spark, sf)).select("anchor_id", "col_x0", "col_x1")
 
 
-@query("graphics_bbox", f"""WITH {_RECTS}, {_ANCHORS}, {_CEIL}, g AS (SELECT * FROM r WHERE o_orderkey % 5 = 1),
+@query("graphics_bbox", f"""WITH {_RECTS}, {_ANCHORS}, {_CEIL}, g AS (SELECT * FROM r),
     c AS (SELECT cf.anchor_id, cf.c0, cf.y0 AS cap, cf.ceiling, g.x0, g.y0, g.x1, g.y1 FROM cf JOIN g ON g.paper_id = cf.paper_id AND g.pno = cf.pno AND g.y1 <= cf.y0 + 2 AND g.y1 > cf.ceiling + 2 AND greatest(0, least(g.x1, cf.c0 + 300) - greatest(g.x0, cf.c0)) > 0.25 * least(g.x1 - g.x0, 300)),
     b AS (SELECT anchor_id, greatest(min(x0), any_value(c0) - 12) AS x0, greatest(min(y0), any_value(ceiling)) AS y0, least(max(x1), any_value(c0) + 312) AS x1, least(max(y1), any_value(cap)) AS y1 FROM c GROUP BY anchor_id)
     SELECT anchor_id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, 1.0::DOUBLE AS coverage FROM b WHERE x1 - x0 >= 24 AND y1 - y0 >= 24""")
 def graphics_bbox(spark, sf):
-    a = layout.ceiling_floor(_anchors(spark, sf), _content(spark))
+    a = layout.ceiling_floor(_anchors(spark, sf), _content(spark, sf))
     r = _rects(spark, sf)
-    return layout.graphics_bbox(a, r.filter("o_orderkey % 5 = 1"), r.limit(0)).select("anchor_id", "x0", "y0", "x1", "y1", "coverage")
+    return layout.graphics_bbox(a, r, r.limit(0)).select("anchor_id", "x0", "y0", "x1", "y1", "coverage")
 
 
-@query("absorb_text", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id, c0, y0 - 200 AS ceiling, y0 AS cap, c0 + 50.0 AS x0, y0 - 150 AS y0, c0 + 200.0 AS x1, y0 - 20 AS y1 FROM a), t AS (SELECT * FROM r WHERE o_orderkey % 3 = 0),
+@query("absorb_text", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id, c0, y0 - 200 AS ceiling, y0 AS cap, c0 + 50.0 AS x0, y0 - 150 AS y0, c0 + 200.0 AS x1, y0 - 20 AS y1 FROM a), t AS (SELECT * FROM r),
     n AS (SELECT b.anchor_id, min(t.x0) AS a0, min(t.y0) AS b0, max(t.x1) AS a1, max(t.y1) AS b1 FROM b JOIN t ON t.paper_id = b.paper_id AND t.pno = b.pno AND t.y0 >= ceiling - 1 AND t.y1 <= cap + 1 AND least(t.x1, c0 + 300) > greatest(t.x0, c0)
       AND greatest(0, least(t.x1, b.x1 + 14) - greatest(t.x0, b.x0 - 14)) * greatest(0, least(t.y1, b.y1 + 14) - greatest(t.y0, b.y0 - 14)) > 0.6 * (t.x1 - t.x0) * (t.y1 - t.y0) GROUP BY b.anchor_id)
     SELECT anchor_id, CAST(greatest(least(x0, coalesce(a0, x0)), c0 - 12) AS DOUBLE) AS x0, CAST(greatest(least(y0, coalesce(b0, y0)), ceiling) AS DOUBLE) AS y0, CAST(least(greatest(x1, coalesce(a1, x1)), c0 + 312) AS DOUBLE) AS x1, CAST(least(greatest(y1, coalesce(b1, y1)), cap) AS DOUBLE) AS y1 FROM b LEFT JOIN n USING (anchor_id)""")
 def absorb_text(spark, sf):
     a = _anchors(spark, sf)
     regions = a.select("paper_id", "pno", "anchor_id", "col_x0", "col_x1", (F.col("y0") - 200).alias("ceiling"), F.col("y0").alias("cap_y0"), (F.col("col_x0") + 50).alias("x0"), (F.col("y0") - 150).alias("y0"), (F.col("col_x0") + 200).alias("x1"), (F.col("y0") - 20).alias("y1"))
-    return layout.absorb_text(regions, _rects(spark, sf).filter("o_orderkey % 3 = 0")).select("anchor_id", "x0", "y0", "x1", "y1")
+    return layout.absorb_text(regions, _rects(spark, sf)).select("anchor_id", "x0", "y0", "x1", "y1")
 
 
 @query("finalize_bbox", f"""WITH {_RECTS}, {_ANCHORS} SELECT anchor_id, CAST(greatest(c0 + 46, 0) AS DOUBLE) AS x0, CAST(greatest(y0 - 104, y0 - 90, 20) AS DOUBLE) AS y0, CAST(least(c0 + 304, 600) AS DOUBLE) AS x1, CAST(least(y0, 780) AS DOUBLE) AS y1 FROM a""")
 def finalize_bbox(spark, sf):
     a = _anchors(spark, sf)
     regions = a.select("paper_id", "pno", "anchor_id", "col_x0", "col_x1", (F.col("y0") - 90).alias("ceiling"), F.col("y0").alias("cap_y0"), (F.col("col_x0") + 50).alias("x0"), (F.col("y0") - 100).alias("y0"), (F.col("col_x0") + 300).alias("x1"), (F.col("y0") - 2).alias("y1"))
-    return layout.finalize(regions, _content(spark)).select("anchor_id", "x0", "y0", "x1", "y1")
+    return layout.finalize(regions, _content(spark, sf)).select("anchor_id", "x0", "y0", "x1", "y1")
 
 
-@query("effective_column", f"""WITH {_RECTS}, {_ANCHORS}, g AS (SELECT * FROM r WHERE o_orderkey % 5 = 1), w AS (SELECT a.anchor_id, min(g.x0) AS r0, max(g.x1) AS r1 FROM a JOIN g USING (paper_id, pno) WHERE g.y1 > 20 AND g.y1 <= a.y0 + 2 GROUP BY ALL),
+@query("effective_column", f"""WITH {_RECTS}, {_ANCHORS}, g AS (SELECT * FROM r), w AS (SELECT a.anchor_id, min(g.x0) AS r0, max(g.x1) AS r1 FROM a JOIN g USING (paper_id, pno) WHERE g.y1 > 20 AND g.y1 <= a.y0 + 2 GROUP BY ALL),
     s AS (SELECT DISTINCT a.anchor_id FROM a JOIN a b USING (paper_id, pno) WHERE b.anchor_id <> a.anchor_id AND b.y0 > 20 AND NOT (b.x0 + 30 >= a.c0 AND b.x0 + 30 < a.c0 + 300))
     SELECT a.anchor_id, CAST(CASE WHEN o THEN 0 ELSE c0 END AS DOUBLE) AS col_x0, CAST(CASE WHEN o THEN 600 ELSE c0 + 300 END AS DOUBLE) AS col_x1 FROM (SELECT a.*, coalesce(r0 < c0 - 24 OR r1 > c0 + 324, false) AND s.anchor_id IS NULL AS o FROM a LEFT JOIN w USING (anchor_id) LEFT JOIN s USING (anchor_id)) a""")
 def effective_column(spark, sf):
     a = _anchors(spark, sf).withColumn("ceiling", F.lit(20.0))
-    return layout.effective_column(a, _rects(spark, sf).filter("o_orderkey % 5 = 1"), _content(spark)).select("anchor_id", "col_x0", "col_x1")
+    return layout.effective_column(a, _rects(spark, sf), _content(spark, sf)).select("anchor_id", "col_x0", "col_x1")
 
 
-@query("body_lines", f"""WITH {_RECTS}, {_ANCHORS}, z AS (SELECT paper_id, pno, anchor_id, c0, y0 - 200 AS g0, y0 AS g1 FROM a), t AS (SELECT *, row_number() OVER () AS tid FROM (SELECT paper_id, pno, x0, y0, x0 + 150 AS x1, y0 + 10 AS y1 FROM r WHERE o_orderkey % 3 = 0)),
+@query("body_lines", f"""WITH {_RECTS}, {_ANCHORS}, z AS (SELECT paper_id, pno, anchor_id, c0, y0 - 200 AS g0, y0 AS g1 FROM a), t AS (SELECT *, row_number() OVER () AS tid FROM (SELECT paper_id, pno, x0, y0, x0 + 150 AS x1, y0 + 10 AS y1 FROM r)),
     i AS (SELECT z.*, t.tid, t.x0, t.x1, t.y0, t.y1 FROM z JOIN t USING (paper_id, pno) WHERE greatest(0, least(t.y1, g1) - greatest(t.y0, g0)) > 6 AND greatest(0, least(t.x1, c0 + 300) - greatest(t.x0, c0)) > 75),
-    u AS (SELECT DISTINCT anchor_id, tid FROM i JOIN (SELECT paper_id, pno, x0 AS gx0, y0 AS gy0, x1 AS gx1, y1 AS gy1, o_orderkey FROM r WHERE o_orderkey % 5 = 1) g USING (paper_id, pno) WHERE greatest(0, least(x1, gx1 + 200) - greatest(x0, gx0)) > 75 AND greatest(0, least(y1, gy1) - greatest(y0, gy0)) > 5)
+    u AS (SELECT DISTINCT anchor_id, tid FROM i JOIN (SELECT paper_id, pno, x0 AS gx0, y0 AS gy0, x1 AS gx1, y1 AS gy1, o_orderkey FROM r) g USING (paper_id, pno) WHERE greatest(0, least(x1, gx1 + 200) - greatest(x0, gx0)) > 75 AND greatest(0, least(y1, gy1) - greatest(y0, gy0)) > 5)
     SELECT anchor_id, count(*) AS lines FROM i ANTI JOIN u USING (anchor_id, tid) GROUP BY anchor_id""")
 def body_lines(spark, sf):
     r = _rects(spark, sf)
     a = _anchors(spark, sf)
     gaps = a.select("paper_id", "pno", "anchor_id", F.lit(0).alias("cluster"), F.col("col_x0").alias("x0"), (F.col("y0") - 200).alias("y0"), F.col("col_x1").alias("x1"), F.col("y0").alias("y1"), "col_x0", "col_x1")
-    texts = r.filter("o_orderkey % 3 = 0").select("paper_id", "pno", "x0", "y0", (F.col("x0") + 150).alias("x1"), (F.col("y0") + 10).alias("y1"))
-    graphics = a.select("paper_id", "pno", "anchor_id").join(r.filter("o_orderkey % 5 = 1").select("paper_id", "pno", "x0", "y0", (F.col("x1") + 200).alias("x1"), "y1"), ["paper_id", "pno"])
+    texts = r.select("paper_id", "pno", "x0", "y0", (F.col("x0") + 150).alias("x1"), (F.col("y0") + 10).alias("y1"))
+    graphics = a.select("paper_id", "pno", "anchor_id").join(r.select("paper_id", "pno", "x0", "y0", (F.col("x1") + 200).alias("x1"), "y1"), ["paper_id", "pno"])
     return layout.body_lines(gaps, texts, graphics, ["paper_id", "pno", "anchor_id"]).select("anchor_id", "lines")
 
 
-@query("caption_only", """WITH a AS (SELECT o_orderkey AS anchor_id, CAST(o_custkey % 40 AS VARCHAR) AS paper_id, CAST(o_orderkey % 6 AS INT) AS pno, CAST(o_orderkey % 13 AS VARCHAR) AS number FROM orders), g AS (SELECT *, (pno + CAST(paper_id AS INT)) % 4 = 0 AS h FROM a)
+@query("caption_only", """WITH a AS (SELECT o_orderkey AS anchor_id, CAST(o_orderkey // 100 AS VARCHAR) AS paper_id, CAST(o_orderkey % 6 AS INT) AS pno, CAST(o_orderkey % 13 AS VARCHAR) AS number FROM orders), g AS (SELECT *, (pno + CAST(paper_id AS INT)) % 4 = 0 AS h FROM a)
     SELECT anchor_id FROM g WHERE NOT h AND (paper_id, number) IN (SELECT (paper_id, number) FROM g WHERE h)""")
 def caption_only(spark, sf):
     a = _sql(spark, sf, f"SELECT {_P}, o_orderkey AS anchor_id, 'figure' AS kind, '' AS series, CAST(o_orderkey % 13 AS STRING) AS number FROM {{orders}}", "orders")
-    facts = _pages(spark).withColumn("has_graphics", (F.col("pno") + F.col("paper_id").cast("int")) % 4 == 0)
+    facts = _pages(spark, sf).withColumn("has_graphics", (F.col("pno") + F.col("paper_id").cast("int")) % 4 == 0)
     return layout.caption_only(a, facts).select("anchor_id")
 
 
 @query("number_order", "SELECT o_orderkey AS anchor_id, coalesce(o_orderkey % 6 < max(o_orderkey % 6) OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey % 97, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS out_of_order FROM orders")
 def number_order(spark, sf):
-    a = _sql(spark, sf, f"SELECT {_P}, o_orderkey AS anchor_id, '' AS series, o_orderkey % 97 AS n FROM {{orders}}", "orders")
+    a = _sql(spark, sf, f"SELECT {_BY_CUSTOMER}, o_orderkey AS anchor_id, '' AS series, o_orderkey % 97 AS n FROM {{orders}}", "orders")
     return layout.number_order(a).select("anchor_id", "out_of_order")
 
 
@@ -286,7 +289,7 @@ def number_order(spark, sf):
     SELECT paper_id, number, list_sort(list(DISTINCT pno))::VARCHAR AS pages, count(*) FILTER (NOT t) AS images, (['journal_raster', 'latex_vector', 'fallback_band', 'fallback_page'])[coalesce(max(r + 1) FILTER (NOT t), 4)] AS route, (['high', 'medium', 'low'])[coalesce(max(c + 1) FILTER (NOT t), 3)] AS trust,
     coalesce(arg_min('Figure part ' || o_orderkey || ' with its text', (pno, o_orderkey)) FILTER (o_orderkey % 5 <> 0), 'See next page for caption') AS lead, count(*) FILTER (o_orderkey % 5 <> 0) AS told FROM p GROUP BY ALL""")
 def emit_assets(spark, sf):
-    p = _sql(spark, sf, f"SELECT {_P}, '' AS series, CAST(o_custkey AS STRING) AS number, CAST(o_orderkey AS DOUBLE) AS y0, o_orderkey % 4 = 0 AS text_only, CASE WHEN o_orderkey % 5 = 0 THEN 'See next page for caption' ELSE concat('Figure part ', o_orderkey, ' with its text') END AS caption, element_at(array('journal_raster', 'latex_vector', 'fallback_band', 'fallback_page'), CAST(o_orderkey % 4 + 1 AS INT)) AS route, element_at(array('high', 'medium', 'low'), CAST(o_orderkey % 3 + 1 AS INT)) AS trust FROM {{orders}}", "orders")
+    p = _sql(spark, sf, f"SELECT {_BY_CUSTOMER}, '' AS series, CAST(o_custkey AS STRING) AS number, CAST(o_orderkey AS DOUBLE) AS y0, o_orderkey % 4 = 0 AS text_only, CASE WHEN o_orderkey % 5 = 0 THEN 'See next page for caption' ELSE concat('Figure part ', o_orderkey, ' with its text') END AS caption, element_at(array('journal_raster', 'latex_vector', 'fallback_band', 'fallback_page'), CAST(o_orderkey % 4 + 1 AS INT)) AS route, element_at(array('high', 'medium', 'low'), CAST(o_orderkey % 3 + 1 AS INT)) AS trust FROM {{orders}}", "orders")
     a = layout.emit_assets(p)
     lead = F.regexp_extract("caption", "^(See next page for caption|Figure part \\d+ with its text)", 1)
     told = F.size(F.regexp_extract_all("caption", F.lit("Figure part"), F.lit(0)))
@@ -306,13 +309,13 @@ def table_side_vote(spark, sf):
     return layout.side_vote(g)
 
 
-@query("band_score", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id AS band_id, c0, y1 AS b0, y1 + 200 AS b1 FROM a), l AS (SELECT b.band_id, count(*) AS rules FROM b JOIN (SELECT * FROM r WHERE o_orderkey % 9 = 0) r USING (paper_id, pno) WHERE r.y0 >= b0 - 2 AND r.y0 + 1 <= b1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY ALL),
+@query("band_score", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id AS band_id, c0, y1 AS b0, y1 + 200 AS b1 FROM a), l AS (SELECT b.band_id, count(*) AS rules FROM b JOIN (SELECT * FROM r) r USING (paper_id, pno) WHERE r.y0 >= b0 - 2 AND r.y0 + 1 <= b1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY ALL),
     t AS (SELECT b.band_id, count(*) AS words, count(*) FILTER (o_orderkey % 2 = 0) AS numbers, count(DISTINCT round_even(y0 / 4, 0)) AS rows FROM b JOIN r USING (paper_id, pno) WHERE (r.y0 + r.y1) / 2 BETWEEN b0 - 1 AND b1 + 1 AND (r.x0 + r.x1) / 2 BETWEEN c0 - 12 AND c0 + 312 GROUP BY ALL)
     SELECT band_id, coalesce(rules, 0) AS rules, coalesce(words, 0) AS words, coalesce(numbers, 0) AS numbers, coalesce(rows, 0) AS rows, CAST(round(100 * (3.0 * coalesce(rules, 0) + CASE WHEN coalesce(words, 0) > 0 THEN 12.0 * numbers / words ELSE 0 END + 0.4 * least(coalesce(rows, 0), 25))) AS BIGINT) AS score FROM b LEFT JOIN l USING (band_id) LEFT JOIN t USING (band_id)""")
 def band_score(spark, sf):
     r = _rects(spark, sf)
     bands = _anchors(spark, sf).select("paper_id", "pno", F.col("anchor_id").alias("band_id"), F.col("col_x0").alias("x0"), F.col("y1").alias("y0"), F.col("col_x1").alias("x1"), (F.col("y1") + 200).alias("y1"), "col_x0", "col_x1")
-    rules = r.filter("o_orderkey % 9 = 0").select("paper_id", "pno", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 1).alias("y1"))
+    rules = r.select("paper_id", "pno", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 1).alias("y1"))
     words = r.withColumn("text", F.when(F.col("o_orderkey") % 2 == 0, "1.5%").otherwise("word"))
     return layout.band_score(bands, rules, words).select("band_id", "rules", "words", "numbers", "rows", F.round(F.col("score") * 100).cast("long").alias("score"))
 
@@ -337,7 +340,7 @@ def merge_tables(spark, sf):
 
 
 @query("choose_band", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id AS band_id, c0 AS x0, CASE WHEN anchor_id % 2 = 0 THEN y0 - 150 ELSE y1 END AS y0, c0 + 300 AS x1, CASE WHEN anchor_id % 2 = 0 THEN y0 ELSE y1 + 15 * (anchor_id % 7) END AS y1, c0, anchor_id % 2 = 0 AS up FROM a),
-    l AS (SELECT b.band_id, min(r.x0) AS a0, min(r.y0) AS b0, max(r.x0 + 200) AS a1, max(r.y0 + 1) AS b1 FROM b JOIN (SELECT * FROM r WHERE o_orderkey % 9 = 0) r USING (paper_id, pno) WHERE r.y0 >= b.y0 - 2 AND r.y0 + 1 <= b.y1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY ALL),
+    l AS (SELECT b.band_id, min(r.x0) AS a0, min(r.y0) AS b0, max(r.x0 + 200) AS a1, max(r.y0 + 1) AS b1 FROM b JOIN (SELECT * FROM r) r USING (paper_id, pno) WHERE r.y0 >= b.y0 - 2 AND r.y0 + 1 <= b.y1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY ALL),
     s AS (SELECT b.*, a0, b0, a1, b1, y1 - y0 BETWEEN 24 AND 680 AS sane FROM b LEFT JOIN l USING (band_id))
     SELECT band_id, CASE WHEN NOT sane THEN 'low' WHEN a0 IS NOT NULL THEN 'high' ELSE 'medium' END AS trust, CAST(CASE WHEN NOT sane THEN 0 WHEN a0 IS NOT NULL THEN least(a0 - 6, x0) ELSE x0 END AS DOUBLE) AS x0, CAST(CASE WHEN NOT sane THEN 0 WHEN a0 IS NOT NULL AND up THEN greatest(y0, b0 - 8) ELSE y0 END AS DOUBLE) AS y0,
     CAST(CASE WHEN NOT sane THEN 600 WHEN a0 IS NOT NULL THEN greatest(a1 + 6, x1) ELSE x1 END AS DOUBLE) AS x1, CAST(CASE WHEN NOT sane THEN 800 WHEN a0 IS NOT NULL AND NOT up THEN least(y1, b1 + 8) ELSE y1 END AS DOUBLE) AS y1 FROM s""")
@@ -345,16 +348,16 @@ def choose_band(spark, sf):
     even = F.col("anchor_id") % 2 == 0
     a = _anchors(spark, sf)
     bands = a.select("paper_id", "pno", F.col("anchor_id").alias("band_id"), F.col("col_x0").alias("x0"), F.when(even, F.col("y0") - 150).otherwise(F.col("y1")).alias("y0"), F.col("col_x1").alias("x1"), F.when(even, F.col("y0")).otherwise(F.col("y1") + 15 * (F.col("anchor_id") % 7)).alias("y1"), "col_x0", "col_x1", F.when(even, "above").otherwise("below").alias("side"))
-    r = _rects(spark, sf).filter("o_orderkey % 9 = 0")
+    r = _rects(spark, sf)
     rules = r.select("paper_id", "pno", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 1).alias("y1"))
-    return layout.choose_band(bands, rules, _pages(spark)).select("band_id", "trust", "x0", "y0", "x1", "y1")
+    return layout.choose_band(bands, rules, _pages(spark, sf)).select("band_id", "trust", "x0", "y0", "x1", "y1")
 
 
 @query("nearest_rule_gap", f"""WITH {_RECTS}, {_ANCHORS}, b AS (SELECT paper_id, pno, anchor_id AS band_id, c0, y1 AS b0, y1 + 200 AS b1 FROM a)
-    SELECT b.band_id, CAST(min(r.y0) - any_value(b0) AS DOUBLE) AS gap FROM b JOIN (SELECT * FROM r WHERE o_orderkey % 9 = 0) r USING (paper_id, pno) WHERE r.y0 >= b0 - 2 AND r.y0 + 1 <= b1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY b.band_id""")
+    SELECT b.band_id, CAST(min(r.y0) - any_value(b0) AS DOUBLE) AS gap FROM b JOIN (SELECT * FROM r) r USING (paper_id, pno) WHERE r.y0 >= b0 - 2 AND r.y0 + 1 <= b1 + 2 AND greatest(0, least(r.x0 + 200, c0 + 300) - greatest(r.x0, c0)) > 120 GROUP BY b.band_id""")
 def nearest_rule_gap(spark, sf):
     bands = _anchors(spark, sf).select("paper_id", "pno", F.col("anchor_id").alias("band_id"), F.col("col_x0").alias("x0"), F.col("y1").alias("y0"), F.col("col_x1").alias("x1"), (F.col("y1") + 200).alias("y1"), "col_x0", "col_x1", F.lit("below").alias("side"))
-    r = _rects(spark, sf).filter("o_orderkey % 9 = 0")
+    r = _rects(spark, sf)
     rules = r.select("paper_id", "pno", "x0", "y0", (F.col("x0") + 200).alias("x1"), (F.col("y0") + 1).alias("y1"))
     return layout.nearest_gap(bands, rules).select("band_id", "gap")
 
