@@ -11,6 +11,7 @@ logistic fit on the examples (each judged without itself) calibrates.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ NEIGHBOURS, BLOCK, TEXTS = 15, 64, 128
 OFTEN, FREQUENT, FIRST_BLOCKS, _MARGIN = 1 / 24, 1536, 4, 1e-5
 #: Share of its TF-IDF that a term without any tie to toxicity keeps; chi-square at which a tie counts by half; the prior's vote.
 LOOSE, HALF_CHI, PRIOR_VOTE = 0.02, 40.0, 0.2
+#: Words whose terms a worker remembers.
+WORDS = 100_000
 #: Code points of the word beginnings that are terms beside whole words.
 BEGINNINGS = (4, 5)
 _CLEAN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -256,18 +259,22 @@ class Words(dict):
     """Words met lately, each with its row of term numbers; row 0 is that of words without a term."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary, self.rows, self.used = vocabulary, np.full((1024, 1 + len(BEGINNINGS)), -1, np.int32), 1
+        self.vocabulary, self.width = vocabulary, 1 + len(BEGINNINGS)
+        self.numbers = array("i", [-1] * self.width)
 
     def __missing__(self, word: bytes) -> int:
-        own = [self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary]
-        self[word] = at = self.used if own else 0
-        if own:
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.full_like(self.rows, -1)])
-            self.rows[at, : len(own)] = own
-            self.used += 1
+        find = self.vocabulary.get
+        own = [i for t in terms_of(word) if (i := find(t)) is not None]
+        if not own:
+            self[word] = 0
+            return 0
+        self[word] = at = len(self.numbers) // self.width
+        self.numbers.extend(own + [-1] * (self.width - len(own)))
         return at
 
+    def rows(self) -> np.ndarray:
+        return np.frombuffer(self.numbers, np.int32).reshape(-1, self.width)
+
 
 class Model:
     """What ``fit`` learnt: the terms, their weights, and the examples."""
@@ -281,13 +288,13 @@ class Model:
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and counts of a whole text."""
-        if self.known is None or len(self.known) > 100_000:
+        if self.known is None or len(self.known) > WORDS:
             self.known = Words(self.vocabulary)
         words = words_of(text)
         known = self.known
         row = np.array([known[w] for w in words], dtype=np.int64)
         times = np.fromiter(words.values(), np.int64, len(words))
-        own = known.rows[row]
+        own = known.rows()[row]
         # a term's number and its count in one integer, so that one sort brings a term's counts together
         both = ((own.astype(np.int64) << 32) + times[:, None])[own >= 0]
         both.sort()
