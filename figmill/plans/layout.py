@@ -18,10 +18,10 @@ def _sql(spark, sf, text: str, *names: str):
 
 
 def _rects(spark, sf):
-    return _sql(spark, sf, f"SELECT {_P}, o_orderkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM {{orders}}", "orders")
+    return _sql(spark, sf, f"SELECT {_P}, o_orderkey, o_custkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM {{orders}}", "orders")
 
 
-_RECTS = f"r AS (SELECT {_P.replace('STRING', 'VARCHAR').replace('DIV', '//')}, o_orderkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM orders)"
+_RECTS = f"r AS (SELECT {_P.replace('STRING', 'VARCHAR').replace('DIV', '//')}, o_orderkey, o_custkey, CAST(o_custkey * 7 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 13 % 700 AS DOUBLE) AS y0, CAST(o_custkey * 7 % 500 + 10 + o_orderkey % 60 AS DOUBLE) AS x1, CAST(o_orderkey * 13 % 700 + 3 + o_orderkey % 40 AS DOUBLE) AS y1 FROM orders)"
 
 
 def _pages(spark, sf):
@@ -42,12 +42,14 @@ def rule_vs_drawing(spark, sf):
     return layout.split_drawings(_rects(spark, sf), _pages(spark, sf)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("page_stats", f"""WITH {_RECTS}, {_PAGES}, i AS (SELECT * FROM r), a AS (SELECT paper_id, pno, sum((x1 - x0) * (y1 - y0) * 40) AS raster, max((x1 - x0) * (y1 - y0) * 40) AS largest, count(*) AS n FROM i GROUP BY ALL),
-    p AS (SELECT pages.*, pno * 200 AS n_chars, coalesce(raster, 0) AS raster, coalesce(largest, 0) AS largest, coalesce(n, 0) AS n FROM pages LEFT JOIN a USING (paper_id, pno))
-    SELECT paper_id, pno, CASE WHEN largest / 480000 >= 0.1 AND n <= 4 THEN 'journal_raster' ELSE 'latex_vector' END AS route, (n_chars < 600 AND raster / 480000 > 0.1) OR raster / 480000 > 0.2 AS is_figure_page, largest >= 7200 AS has_graphics FROM p""")
+@query("page_stats", f"""WITH {_RECTS}, {_PAGES}, i AS (SELECT * FROM r WHERE o_custkey % 11 = 0), g AS (SELECT paper_id, pno, sum((x1 - x0) * (y1 - y0) / 2) AS drawn FROM r WHERE o_custkey % 11 <> 0 GROUP BY ALL), a AS (SELECT paper_id, pno, sum((x1 - x0) * (y1 - y0) * 40) AS raster, max((x1 - x0) * (y1 - y0) * 40) AS largest, count(*) AS n FROM i GROUP BY ALL),
+    p AS (SELECT pages.*, pno * 200 AS n_chars, coalesce(raster, 0) AS raster, coalesce(largest, 0) AS largest, coalesce(n, 0) AS n, coalesce(drawn, 0) AS drawn FROM pages LEFT JOIN a USING (paper_id, pno) LEFT JOIN g USING (paper_id, pno))
+    SELECT paper_id, pno, CASE WHEN largest / 480000 >= 0.1 AND n <= 4 THEN 'journal_raster' ELSE 'latex_vector' END AS route, (n_chars < 600 AND raster / 480000 > 0.1) OR raster / 480000 > 0.2 AS is_figure_page, largest >= 7200 OR drawn >= 7200 AS has_graphics FROM p""")
 def page_stats(spark, sf):
-    images = _rects(spark, sf).withColumn("x1", F.col("x0") + 40 * (F.col("x1") - F.col("x0")))
-    facts = layout.page_facts(_pages(spark, sf).withColumn("n_chars", F.col("pno") * 200), images, images.limit(0))
+    # each rectangle is an image or a drawing
+    image, r = F.expr("o_custkey % 11 = 0"), _rects(spark, sf)
+    images = r.filter(image).withColumn("x1", F.col("x0") + 40 * (F.col("x1") - F.col("x0")))
+    facts = layout.page_facts(_pages(spark, sf).withColumn("n_chars", F.col("pno") * 200), images, r.filter(~image).withColumn("x1", (F.col("x0") + F.col("x1")) / 2))
     return facts.select("paper_id", "pno", "route", "is_figure_page", "has_graphics")
 
 

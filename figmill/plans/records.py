@@ -172,11 +172,11 @@ def merge_last_wins(spark, sf):
     return repair.merge(files).select("paper_id", "figure_id", "first_ord", "ord")
 
 
-@query("missing_figures", "SELECT CAST(c_custkey % 25 AS VARCHAR) AS paper_id, 'Figure ' || c_custkey AS figure_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)")
+@query("missing_figures", "SELECT CAST(p_partkey % 25 AS VARCHAR) AS paper_id, 'Figure ' || p_partkey AS figure_id FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)")
 def missing_figures(spark, sf):
-    t = load(spark, sf, "orders", "customer")
+    t = load(spark, sf, "orders", "part")
     named = lambda df, k: df.select((F.col(k) % 25).cast("string").alias("paper_id"), F.concat(F.lit("Figure "), k).alias("figure_id"))
-    return repair.missing(named(t["customer"], "c_custkey"), named(t["orders"].filter("o_orderkey % 9 = 0"), "o_custkey"))
+    return repair.missing(named(t["part"], "p_partkey"), named(t["orders"], "o_custkey"))
 
 
 @query("repair_record", """SELECT CAST(c_nationkey AS VARCHAR) AS paper_id, c_custkey AS ord, k AS fault,

@@ -26,15 +26,14 @@ def citation_scan(spark, sf):
     return p.select("p_partkey", F.array_join(refs, " ").alias("refs"))
 
 
-@query("citing_join", """WITH c AS (SELECT CAST(o_custkey % 25 AS VARCHAR) AS paper_id, 'Figure ' || (1 + o_orderkey % 40) AS figure_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 25, o_orderkey % 40 ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 40 < 30),
-    a AS (SELECT CAST(n_nationkey AS VARCHAR) AS paper_id, 'Figure ' || k AS figure_id FROM nation, range(1, 36) r(k))
+@query("citing_join", """WITH c AS (SELECT CAST(o_custkey % 25 AS VARCHAR) AS paper_id, 'Figure ' || (1 + o_orderkey % 40) AS figure_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 25, o_orderkey % 40 ORDER BY o_orderkey) AS nth FROM orders),
+    a AS (SELECT CAST(n_nationkey AS VARCHAR) AS paper_id, 'Figure ' || k AS figure_id FROM nation, range(3, 46) r(k))
     SELECT a.paper_id, a.figure_id, count(nth) FILTER (nth <= 12) AS kept, count(nth) FILTER (nth > 12) AS over FROM a LEFT JOIN c USING (paper_id, figure_id) GROUP BY ALL""")
 def citing_join(spark, sf):
     t = load(spark, sf, "orders", "nation")
-    o = t["orders"].filter("o_orderkey % 40 < 30")
     said = F.concat(F.lit("Details are in Fig. "), (1 + F.col("o_orderkey") % 40).cast("string"), F.lit(" of this paper."))
-    paragraphs = o.select((F.col("o_custkey") % 25).cast("string").alias("paper_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("¶"), F.col("o_orderkey")).alias("id"), said.alias("text"))
-    assets = t["nation"].select(F.col("n_nationkey").cast("string").alias("paper_id"), F.explode(F.sequence(F.lit(1), F.lit(35))).alias("k"))
+    paragraphs = t["orders"].select((F.col("o_custkey") % 25).cast("string").alias("paper_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("¶"), F.col("o_orderkey")).alias("id"), said.alias("text"))
+    assets = t["nation"].select(F.col("n_nationkey").cast("string").alias("paper_id"), F.explode(F.sequence(F.lit(3), F.lit(45))).alias("k"))  # some are cited nowhere, some citations have no asset
     assets = assets.select("paper_id", F.concat(F.lit("Figure "), F.col("k")).alias("figure_id"), F.lit("figure").alias("kind"), F.lpad(F.col("k").cast("string"), 2, "0").alias("number"), F.lit("Figure caption").alias("caption"))
     return recall.citing(assets, paragraphs).groupBy("paper_id", "figure_id").agg(F.count(F.when(~F.col("over"), 1)).alias("kept"), F.count(F.when(F.col("over"), 1)).alias("over"))
 
@@ -195,13 +194,13 @@ def figure_select(spark, sf):
     return load(spark, sf, "customer")["customer"].filter(text.figure_selected("main，2-40,77", figure, series)).select("c_custkey")
 
 
-@query("natural_sort", "SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_custkey) AS place FROM customer")
+@query("natural_sort", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY lower(c_mktsegment), c_custkey) AS place FROM customer")
 def natural_sort(spark, sf):
     from pyspark.sql import Window
 
     c = load(spark, sf, "customer")["customer"]
     key = exprs.natural_key(F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey").cast("string")))
-    return c.select("c_custkey", F.row_number().over(Window.orderBy(key)).cast("long").alias("place"))
+    return c.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(key)).cast("long").alias("place"))
 
 
 @query("task_sections", """WITH s AS (SELECT c_custkey, unnest(['intro', 'caption', 'panels', 'methods', 'grid', 'check']) AS key, unnest([1, 2, 3, 4, 5, 6]) AS k FROM customer),
