@@ -638,3 +638,16 @@ def test_short_lines(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["n_repeated"], r["n_near"], r["text_crc32"]) for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
     assert got == want and sum(v[0] for v in want.values())
+
+
+def test_toxicity_reads_the_terms_it_counts(monkeypatch):
+    texts = ["Stupidly stupid STUPID stup ok ok", None, "", "...", "grüßendes grüß 漢字漢字漢字 stupor", "zz " * 5000 + "stupid"]
+    vocabulary = {t: i for i, t in enumerate(sorted(set().union(*map(toxicity.term_counts, texts[:1] + texts[4:]))))}
+    for words in (100_000, 1):  # words met lately are forgotten
+        monkeypatch.setattr(toxicity, "WORDS", words)
+        model = toxicity.Model(vocabulary, np.ones(len(vocabulary)), None, np.zeros(0, np.int64))
+        for text in [*texts, "unknown words", *texts]:
+            terms, counts = model.read(text)
+            want = {vocabulary[t]: n for t, n in toxicity.term_counts(text).items() if t in vocabulary}
+            assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == want
+            assert list(terms) == sorted(want)
