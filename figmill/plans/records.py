@@ -25,11 +25,11 @@ def long_table(spark, sf):
     "finder",
     f"""WITH {WIDE}, t AS (SELECT {_LONG} FROM wide)
     SELECT paper_id, ord, panel_idx, group_idx, name, role, readout, n FROM t WHERE role = 'treatment'
-      AND contains(lower(concat_ws(chr(10), name, condition, readout, result, vs_control, n)), 'econ') ORDER BY ord, panel_idx, group_idx LIMIT 200""",
+      AND contains(lower(concat_ws(chr(10), name, condition, readout, result, vs_control, n)), 'econ')""",
 )
 def finder(spark, sf):
     found = flatten.find(flatten.long_table(records(spark, sf)), text="ECON", role="treatment")
-    return found.orderBy("ord", "panel_idx", "group_idx").limit(200).select("paper_id", "ord", "panel_idx", "group_idx", "name", "role", "readout", "n")
+    return found.select("paper_id", "ord", "panel_idx", "group_idx", "name", "role", "readout", "n")
 
 
 @query(
