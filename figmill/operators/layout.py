@@ -223,12 +223,16 @@ METHODS_WEAK = r"(?iu)implementation details|training details|statistic|datasets
 def mark_methods(secs: DataFrame) -> DataFrame:
     """Strong titles mark their section and all below it; weak ones only their own."""
     strong = F.col("title").rlike(METHODS_STRONG)
-    own = secs.filter(strong).select("paper_id", F.col("seq").alias("from_seq"), F.col("level").alias("from_level"))
-    w = Window.partitionBy("paper_id").orderBy("seq")
-    # a strong section reaches to the next section of its level or above
-    ends = secs.select("paper_id", "seq", "level").join(own, "paper_id").filter("seq > from_seq AND level <= from_level").groupBy("paper_id", "from_seq").agg(F.min("seq").alias("to_seq"))
-    spans = own.join(ends, ["paper_id", "from_seq"], "left")
-    inside = secs.join(spans, "paper_id").filter((F.col("seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq")))).select("paper_id", "seq").distinct().withColumn("under", F.lit(True))
+    x = secs.filter("paper_id IS NOT NULL AND seq IS NOT NULL").select("paper_id", "seq", "level", F.coalesce(strong, F.lit(False)).alias("strong"))
+    # a strong section reaches to the next section of its level or above, without a level to the end
+    of = x.filter("strong").select("paper_id", F.col("level").alias("of")).distinct()
+    met = x.join(of, "paper_id").withColumn("starts", F.col("strong") & F.col("level").eqNullSafe(F.col("of"))).filter("level <= of OR starts")
+    met = met.groupBy("paper_id", "of", "seq").agg(F.max("starts").alias("starts"))
+    spans = met.withColumn("to_seq", F.lead("seq").over(Window.partitionBy("paper_id", "of").orderBy("seq"))).filter("starts")
+    steps = spans.select("paper_id", "seq", F.lit(1).alias("step")).unionAll(spans.filter("to_seq IS NOT NULL").select("paper_id", F.col("to_seq").alias("seq"), F.lit(-1).alias("step")))
+    steps = x.select("paper_id", "seq", F.lit(0).alias("step")).unionAll(steps).groupBy("paper_id", "seq").agg(F.sum("step").alias("step"))
+    under = F.sum("step").over(Window.partitionBy("paper_id").orderBy("seq")) > 0
+    inside = steps.select("paper_id", "seq", under.alias("under"))
     return secs.join(inside, ["paper_id", "seq"], "left").withColumn("is_methods", F.coalesce("under", F.lit(False)) | F.col("title").rlike(METHODS_WEAK)).drop("under")
 
 

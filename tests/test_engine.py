@@ -208,3 +208,25 @@ def test_flow_from_tables_to_documents(spark, tmp_path):
     assert cli.main(["render", "--records", f"{tmp_path}/none", "--out", f"{tmp_path}/x"]) == 2
     with pytest.raises(ValueError):
         cli.wanted_outputs("page,film")
+
+
+def _random_sections(seed: int):
+    import random
+
+    r = random.Random(seed)
+    titles = ["Methods", "Materials and Methods", "Cells", "Statistics", None]
+    return [(r.choice(["a", "b", "c", None]), r.choice([None, *range(12)]), r.choice([1, 2, 3, 4, None]), r.choice(titles)) for _ in range(120)]
+
+
+def test_methods_reach_to_the_next_section_of_their_level(spark):
+    rows = _random_sections(3)
+    got = layout.mark_methods(spark.createDataFrame(rows, "paper_id string, seq int, level int, title string")).select("paper_id", "seq", "level", "title", "is_methods").collect()
+    strong = [(p, s, lv) for p, s, lv, t in rows if t in ("Methods", "Materials and Methods") and p is not None and s is not None]
+
+    def under(p, s):
+        if p is None or s is None:
+            return False
+        return any(q == p and at <= s and not any(p2 == p and s2 is not None and at < s2 <= s and l2 is not None and lv is not None and l2 <= lv for p2, s2, l2, _ in rows) for q, at, lv in strong)
+
+    want = [(p, s, lv, t, under(p, s) or (None if t is None else t == "Statistics")) for p, s, lv, t in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
