@@ -182,12 +182,26 @@ def headings(lines: DataFrame, body: DataFrame) -> DataFrame:
     return grouped.filter((F.col("n") <= 3) & (F.length(F.regexp_replace("title", r"[^A-Za-zÀ-ɏ一-鿿]", "")) >= 2)).select("paper_id", "at.pno", "at.ord", "title", "size")
 
 
+def _counters(x: DataFrame) -> DataFrame:
+    """``counters`` of headings(paper_id, nth, depth, numbered_doc, ...): how many of each level down to ``depth`` came since the last heading above that level.
+
+    A heading is a row for each of its levels and one for the level below, where it starts the count again.
+    """
+    level = F.when(F.col("numbered_doc"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("depth") + 1))
+    each = x.select(F.struct(*[F.col(c) for c in x.columns]).alias("head"), "paper_id", "nth", "depth", F.explode(level).alias("of"))
+    each = each.withColumn("part", F.sum((F.col("of") > F.col("depth")).cast("int")).over(Window.partitionBy("paper_id", "of").orderBy("nth")))
+    each = each.withColumn("n", F.sum((F.col("of") == F.col("depth")).cast("int")).over(Window.partitionBy("paper_id", "of", "part").orderBy("nth")))
+    own = F.when(F.col("of") <= F.col("depth"), F.struct("of", "n"))
+    found = each.groupBy("paper_id", "nth").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(own)).alias("counts"))
+    return found.select("head.*", F.transform("counts", lambda c: c["n"]).alias("counters"))
+
+
 def sections(heads: DataFrame) -> DataFrame:
     """Sections of headings(paper_id, seq, title, size): id and level.
 
     Printed numbers are kept; other headings of a paper with numbers hang below the last
     one; a paper without numbers is numbered by the rank of its repeated font sizes, a
-    level never jumping by more than one. The counters are a fold over one paper's headings.
+    level never jumping by more than one. A counter runs for every level down to a heading's own.
     """
     number = F.regexp_extract("title", NUMBERED, 1)
     x = heads.withColumn("number", F.nullif(number, F.lit("")))
@@ -197,18 +211,12 @@ def sections(heads: DataFrame) -> DataFrame:
     x = x.withColumn("any_repeat", F.max(F.col("of_size") >= 2).over(p)).withColumn("base", F.when((F.col("of_size") >= 2) | ~F.col("any_repeat"), F.col("size")))
     x = x.withColumn("level_of", F.when(F.col("base").isNotNull(), F.dense_rank().over(p.orderBy(F.desc_nulls_last("base")))).otherwise(1))
     order = p.orderBy("seq")
+    x = x.withColumn("nth", F.row_number().over(order))
+    # one level below the heading before at most: its place, unless a shorter way leads from a heading before
+    x = x.withColumn("depth", F.col("nth") + F.least(F.lit(0), F.min(F.col("level_of") - F.col("nth")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    x = _counters(x)
     x = x.withColumn("last", F.last("number", True).over(order)).withColumn("block", F.count("number").over(order))
     x = x.withColumn("sub", F.row_number().over(Window.partitionBy("paper_id", "block").orderBy("seq")) - F.when(F.col("block") > 0, 1).otherwise(0))
-    step = F.collect_list("level_of").over(order.rowsBetween(Window.unboundedPreceding, 0))
-
-    def count(state: Column, level: Column) -> Column:
-        to = F.least(level, F.size(state) + 1)
-        kept = F.slice(F.concat(state, F.array(F.lit(0))), F.lit(1), to)
-        return F.transform(kept, lambda v, i: F.when(i == to - 1, v + 1).otherwise(v))
-
-    # papers have few headings, so each keeps the list of levels up to it
-    counters = F.aggregate(step, F.array().cast("array<int>"), count)
-    x = x.withColumn("counters", F.when(~F.col("numbered_doc"), counters))
     sid = F.when(F.col("number").isNotNull(), F.col("number")).when(F.col("numbered_doc"), F.concat(F.coalesce("last", F.lit("0")), F.lit("."), F.col("sub").cast("string"))).otherwise(F.array_join(F.col("counters").cast("array<string>"), "."))
     x = x.withColumn("id", F.concat(F.lit("§"), sid)).withColumn("level", F.size(F.split("id", r"\.")))
     nth = F.row_number().over(Window.partitionBy("paper_id", "id").orderBy("seq"))

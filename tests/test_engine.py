@@ -230,3 +230,31 @@ def test_methods_reach_to_the_next_section_of_their_level(spark):
 
     want = [(p, s, lv, t, under(p, s) or (None if t is None else t == "Statistics")) for p, s, lv, t in rows]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_many_sections_are_marked_and_numbered_in_time(spark):
+    n = 30_000
+    heads = spark.range(n).selectExpr("'p' AS paper_id", "cast(id AS int) AS seq", "CASE WHEN id % 2 = 0 THEN 'Methods' ELSE 'Cells' END AS title", "cast(10 + id % 3 AS double) AS size", "cast(1 + id % 3 AS int) AS level")
+    assert layout.mark_methods(heads).filter("is_methods").count() == sum(1 for i in range(n) if any(j % 2 == 0 and not any(k % 3 <= j % 3 for k in range(j + 1, i + 1)) for j in range(max(0, i - 3), i + 1)))
+    last = layout.sections(heads).orderBy(F.desc("seq")).first()
+    assert (last["id"], last["level"]) == ("§10001", 1)
+
+
+def test_section_counters_follow_the_fold(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(p, i, "Loose", float(r.choice([9, 10, 11, 12, 13, 8 if p == "b" else 14]))) for p in "abc" for i in range(60)]
+    got = {(x["paper_id"], x["seq"]): x["id"] for x in layout.sections(spark.createDataFrame(rows, "paper_id string, seq int, title string, size double")).collect()}
+    for p in "abc":
+        own = [(i, s) for q, i, _, s in rows if q == p]
+        sizes = [s for _, s in own]
+        ranks = {s: k for k, s in enumerate(sorted({s for s in sizes if sizes.count(s) > 1}, reverse=True), 1)}
+        state, seen = [], {}
+        for i, s in own:
+            to = min(ranks.get(s, 1), len(state) + 1)
+            state = (state + [0])[:to]
+            state[-1] += 1
+            sid = "§" + ".".join(map(str, state))
+            seen[sid] = seen.get(sid, 0) + 1
+            assert got[p, i] == (sid if seen[sid] == 1 else f"{sid}#{seen[sid]}")
