@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from figmill.llm.common import first_by_hash, saved
+from figmill.llm.common import saved
 
-#: Bounds of the fit: labelled rows looked at (by order of a hash of doc_id), trees, rows a tree.
-LABELLED_ROWS, TREES, TREE_ROWS, SEED = 20_000, 128, 64, 7
+#: Trees, and the rows that each tree of an isolation forest is made of: every tree draws its own from all labelled rows.
+TREES, TREE_ROWS, SEED = 128, 64, 7
+#: Cells of (0, 1) by which labelled rows are counted on the way to a threshold.
+CELLS = 1 << 16
 #: Share of good labelled rows that the threshold may give up.
 LOST_GOOD = 0.005
 SYMBOLS = "#*$%&|<>"
@@ -70,12 +72,12 @@ def _mean_path(n: float) -> float:
 class Forest:
     """Isolation forest as flat arrays: each tree's nodes hold feature, cut, children or a path length."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED):
+    def __init__(self, parts: list[np.ndarray], seed: int = SEED):
         rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
+        rows = max(map(len, parts))
         self.scale, self.trees = _mean_path(rows) or 1.0, []
         limit = int(np.ceil(np.log2(max(rows, 2)))) + 2
-        for _ in range(trees):
+        for x in parts:
             feature, cut, left, right, length = [], [], [], [], []
 
             def grow(part: np.ndarray, depth: int) -> int:
@@ -94,7 +96,7 @@ class Forest:
                     right[me] = grow(part[part[:, f] > c], depth + 1)
                 return me
 
-            grow(x[rng.choice(len(x), rows, replace=False)], 0)
+            grow(x, 0)
             self.trees.append(tuple(map(np.array, (feature, cut, left, right, length))))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -113,14 +115,56 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / self.scale)
 
 
-def calibrated(scores: np.ndarray, good: np.ndarray) -> float:
-    """The highest threshold that catches most bad rows net of good ones, losing at most LOST_GOOD of the good; half way to the next score."""
-    cuts = np.unique(scores)
-    lost = 1 - np.searchsorted(np.sort(scores[good]), cuts, side="right") / good.sum()
-    caught = 1 - np.searchsorted(np.sort(scores[~good]), cuts, side="right") / max(1, (~good).sum())
-    gain = np.where(lost <= LOST_GOOD, caught - lost, -1)
-    at = int(np.flatnonzero(gain == gain.max())[-1])
-    return float(cuts[at : at + 2].mean())
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers stirred, as splitmix64 does."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn(labelled: DataFrame, names: list[str], total: int, trees: int = TREES, rows: int = TREE_ROWS) -> list[np.ndarray]:
+    """The features of the rows of each tree: the first ``rows`` of all ``total`` labelled rows, in an order of the tree's own.
+
+    Rows too late in a tree's order stay where they are, so some four times as many as the trees take reach the driver.
+    """
+    bound = np.uint64(min((1 << 64) - 1, int((1 << 64) * (4 * rows / max(total, 1)))))
+
+    def early(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own, x = b["h"].to_numpy().view(np.uint64), features(b)
+            for tree in range(trees):
+                order = _mixed(own ^ _mixed(np.uint64([SEED * 1_000_003 + tree])))
+                at = np.flatnonzero(order <= bound)
+                if len(at):
+                    yield pd.DataFrame({"tree": tree, "place": (order[at] >> np.uint64(1)).astype(np.int64), **{f"f{k}": x[at, k] for k in range(x.shape[1])}})
+
+    one = labelled.select(F.xxhash64("doc_id", *names).alias("h"), *names)
+    few = one.mapInPandas(early, "tree int, place long, " + ", ".join(f"f{k} double" for k in range(4))).toPandas()
+    few = few.sort_values(list(few.columns)).groupby("tree").head(rows)
+    return [part.iloc[:, 2:].to_numpy() for _, part in few.groupby("tree")]
+
+
+def calibrated(scored: DataFrame) -> float:
+    """The highest threshold that catches most bad rows of ``scored(anomaly, good)`` net of good ones, losing at most LOST_GOOD of the good; half way to the next score.
+
+    All rows count: cells of scores are summed first, and each cell then knows the rows above it.
+    """
+    n = [F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")]
+    by_score = scored.groupBy("anomaly").agg(*n).withColumn("cell", F.floor(F.col("anomaly") * CELLS).cast("int"))
+    by_score = saved(by_score, "quality-scores")
+    cells = by_score.groupBy("cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas().sort_values("cell", ascending=False)  # CELLS + 1 rows at most
+    goods, bads = int(cells["good"].sum()), max(1, int(cells["bad"].sum()))
+    cells["good_above"], cells["bad_above"] = cells["good"].cumsum() - cells["good"], cells["bad"].cumsum() - cells["bad"]
+    above = by_score.sparkSession.createDataFrame(cells[["cell", "good_above", "bad_above"]], "cell int, good_above long, bad_above long")
+    w = Window.partitionBy("cell").orderBy(F.desc("anomaly")).rowsBetween(Window.unboundedPreceding, -1)
+    cuts = by_score.join(F.broadcast(above), "cell")
+    for c in ("good", "bad"):
+        cuts = cuts.withColumn(f"{c}_above", F.col(f"{c}_above") + F.coalesce(F.sum(c).over(w), F.lit(0)))
+    lost, caught = F.col("good_above") / F.lit(float(goods)), F.col("bad_above") / F.lit(float(bads))
+    gain = F.when(lost <= LOST_GOOD, caught - lost).otherwise(-1.0)
+    best = cuts.agg(F.max(F.struct(gain.alias("gain"), "anomaly")).alias("best")).first()["best"]["anomaly"]
+    after = by_score.filter(F.col("anomaly") > F.lit(best)).agg(F.min("anomaly")).first()[0]
+    return best if after is None else (best + after) / 2
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -128,8 +172,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Returns doc_id, the statistics, base_failed (under 50 words, or over half of
     them in repeated 3-word windows), anomaly (forest score), kept. The forest
-    and its threshold are fitted on at most LABELLED_ROWS labelled rows; the
-    threshold gives up at most LOST_GOOD of the good ones that pass the base rules. Without labelled rows
+    draws the rows of each tree from all labelled rows, and all of them set the threshold, which
+    gives up at most LOST_GOOD of the good ones that pass the base rules. Without labelled rows
     only the base rules decide. Null texts have no words; repeated rows are
     judged each; null labels and label rows without a document are ignored;
     other columns are ignored.
@@ -146,11 +190,15 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # the forest judges what the base rules pass, so only such rows calibrate it
     labelled = saved(found.filter(f"NOT ({BASE_FAILED})").join(known, "doc_id"), "quality-labelled")
-    sample = first_by_hash(labelled, ["doc_id", *names], LABELLED_ROWS, labelled.count()).toPandas()
-    forest, threshold = None, 2.0
-    if len(sample) and (good := sample["quality"].to_numpy() > 0).any():
-        forest = Forest(features(sample))
-        threshold = calibrated(forest.score(features(sample)), good)
+    forest, threshold, total = None, 2.0, labelled.count()
+    if labelled.filter("quality > 0").limit(1).count():
+        forest = Forest(drawn(labelled, names, total))
+
+        def scored_only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"anomaly": forest.score(features(b)), "good": b["quality"] > 0})
+
+        threshold = calibrated(labelled.mapInPandas(scored_only, "anomaly double, good boolean"))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
