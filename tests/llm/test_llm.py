@@ -651,3 +651,64 @@ def test_toxicity_reads_the_terms_it_counts(monkeypatch):
             want = {vocabulary[t]: n for t, n in toxicity.term_counts(text).items() if t in vocabulary}
             assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == want
             assert list(terms) == sorted(want)
+
+
+def test_rows_of_a_table_are_numbered_in_place(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from figmill.llm import common
+
+    path = f"{tmp_path}/a table"
+    spark.range(1000).selectExpr("id AS doc_id", "concat('row ', id % 7) AS text").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    seen = []
+    for size in ("128m", "1k"):  # the scan is split otherwise
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            before = set(os.listdir(common.scratch_root(spark).removeprefix("file://") + "/figmill"))
+            rows, mark = common.numbered(docs.select("text", "doc_id"), "in-place")
+            new = set(os.listdir(common.scratch_root(spark).removeprefix("file://") + "/figmill")) - before
+            seen.append({r[mark]: r["doc_id"] for r in rows.collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(seen[0]) == 1000
+    # only the files are saved, not the rows
+    assert [spark.read.parquet(f"{common.scratch_root(spark)}/figmill/{x}").count() for x in new] == [5]
+    # the same places however it is split; what is no plain scan is saved
+    assert {k & ((1 << 40) - 1) for k in seen[0]} == set(range(200)) and sorted(seen[0].values()) == list(range(1000)) and seen[0] == seen[1]
+    for other in (docs.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("x"), "doc_id"), docs.join(docs.select("doc_id"), "doc_id"), docs.withColumn("x", F.rand()), docs.limit(9)):
+        rows, mark = common.numbered(other, "copied")
+        assert rows.select(mark).distinct().count() == rows.count() == other.count()
+
+
+def test_toxicity_index_is_not_made_by_the_driver(spark, monkeypatch):
+    def here(*_):
+        raise AssertionError("made by the driver")
+
+    monkeypatch.setattr(toxicity.Index, "__init__", here)
+    rng = random.Random(4)
+    texts = [prose(rng, 20) + (" awful slur" if i % 3 == 0 else "") for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs_of(spark, texts), labels).collect()}
+    assert sum(got[i] == (i % 3 == 0) for i in range(90)) >= 85
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    rng = random.Random(9)
+    scores = [(round(rng.betavariate(5, 5), 3), rng.random() < 0.9) for _ in range(25_000)] + [(0.9 + i / 1000, i % 9 == 0) for i in range(60)]
+    df = spark.createDataFrame(scores, "anomaly double, good boolean").repartition(5)
+    goods = sum(g for _, g in scores)
+    best, at = (-2.0, 0.0), sorted({s for s, _ in scores})
+    for cut in at:
+        lost = sum(g and s > cut for s, g in scores) / goods if cut > 0.7 else 1.0
+        gain = sum(not g and s > cut for s, g in scores) / (len(scores) - goods) - lost if lost <= quality_forest.LOST_GOOD else -1.0
+        best = max(best, (gain, cut))
+    after = [s for s in at if s > best[1]][:1]
+    assert abs(quality_forest.calibrated(df) - (best[1] + after[0]) / 2) < 1e-12
+    # trees draw from all rows, whatever their place in one common order
+    rows = spark.range(30_000).selectExpr("id AS doc_id", *[f"cast(100 + pmod(hash(id, {k}), 1000000) AS long) AS {c}" for k, c in enumerate(quality_forest.BASE + quality_forest.MORE)])
+    parts = quality_forest.drawn(rows, quality_forest.BASE + quality_forest.MORE, 30_000)
+    assert [len(p) for p in parts] == [quality_forest.TREE_ROWS] * quality_forest.TREES
+    assert len({tuple(x) for p in parts for x in p}) > 0.8 * 30_000 * (1 - math.exp(-quality_forest.TREE_ROWS * quality_forest.TREES / 30_000))
