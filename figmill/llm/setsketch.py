@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from figmill.llm.bloom import build_filter, probe
-from figmill.llm.common import components, numbered, saved
+from figmill.llm.common import components, numbered, release, saved
 
 #: Bands and registers a band: a pair at similarity 0.8 is proposed by no band once in 300,000.
 BANDS, ROWS = 32, 5
@@ -161,7 +161,9 @@ def _common(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, p
         return pd.Series([_shared(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(s_a, s_b, strict=True)], dtype="int64")
 
     out = paired.select("a", "b", (F.octet_length("s_a") / 8).cast("long").alias("n_a"), (F.octet_length("s_b") / 8).cast("long").alias("n_b"), overlap("s_a", "s_b").alias("common"))
-    return saved(out, "near-overlaps", batch=500), full
+    out = saved(out, "near-overlaps", batch=500)
+    release(docs.sparkSession)
+    return out, full
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -249,11 +251,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     rows = saved(_sketched(docs, width, row), "sketches", batch=1000)
     classes = saved(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     bands = saved(_banded(classes), "bands")
+    release(docs.sparkSession)
     shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     met = saved(bands.join(shared, ["band", "key"]), "bucket-members")
     central = saved(met.groupBy("cid").agg(F.sum("size").alias("meets")), "bucket-central")
     pivots = met.join(central, "cid").groupBy("band", "key").agg(F.max(F.struct("meets", "cid", "n")).alias("p")).select("band", "key", F.col("p.cid").alias("pivot"), F.col("p.n").alias("n_pivot"))
     members = saved(met.join(pivots, ["band", "key"]).select("band", "key", "cid", "n", "pivot", "n_pivot"), "bucket-pivots")
+    release(docs.sparkSession)
     around = max(0, 2 * percent - 100)
     fits = lambda x, y, least: F.least(x, y) * 100 >= F.greatest(x, y) * least  # noqa: E731  sizes bound the similarity
     stars = members.filter("cid <> pivot").filter(fits(F.col("n"), F.col("n_pivot"), around)).select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -264,6 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     placed = near.join(part("a"), "a", "left").join(part("b"), "b", "left").withColumns({f"c_{k}": F.coalesce(f"c_{k}", k) for k in "ab"})
     placed = placed.join(central.withColumnRenamed("cid", "b"), "b")
     more = _around_pivots(saved(placed, "near-placed"), sets, percent)
+    release(docs.sparkSession)
     seen = near.select(F.col("a").alias("cid"), F.col("b").alias("pivot"), F.expr(_LINKED.format(percent)).alias("linked"))
     open_members = members.filter("cid <> pivot").join(seen, ["cid", "pivot"], "left").filter("linked IS NULL OR NOT linked")
     open_members = saved(open_members.join(part("cid"), "cid", "left").select("band", "key", "cid", "n", F.coalesce("c_cid", "cid").alias("c"), F.col("linked").isNull().alias("far")), "bucket-open")
@@ -277,6 +282,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, row: str
     labels = named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("cid", "component", "component_id")
     out = rows.select("row", "doc_id", "n", "cid").join(labels, "cid", "left").withColumn("component_id", F.coalesce("component_id", F.when(F.col("cid").isNull(), F.col("doc_id"))))
     out = saved(out, "near-out")
+    release(docs.sparkSession)
     # a component without any doc_id has no component_id, so its rows meet under its class
     first_row = out.filter("doc_id <=> component_id AND cid IS NOT NULL").groupBy("component").agg(F.min("row").alias("first_row"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())

@@ -712,3 +712,41 @@ def test_quality_is_fitted_on_all_labelled_rows(spark):
     parts = quality_forest.drawn(rows, quality_forest.BASE + quality_forest.MORE, 30_000)
     assert [len(p) for p in parts] == [quality_forest.TREE_ROWS] * quality_forest.TREES
     assert len({tuple(x) for p in parts for x in p}) > 0.8 * 30_000 * (1 - math.exp(-quality_forest.TREE_ROWS * quality_forest.TREES / 30_000))
+
+
+def test_the_driver_gives_back_memory_that_it_no_longer_uses(spark):
+    from figmill.llm import common
+
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open(f"/proc/{pid}/status").read())[1]) / 1024
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe, block = field.get(None), 100_000
+    common.release(spark)
+    before = held()
+    at = [unsafe.allocateMemory(block) for _ in range(3000)]
+    for x in at:
+        unsafe.setMemory(x, block, 1)
+    # the last block keeps the C library from giving back those before it
+    for x in at[:-1]:
+        unsafe.freeMemory(x)
+    jvm.System.gc()
+    kept = held()
+    common.release(spark)
+    left = held()
+    unsafe.freeMemory(at[-1])
+    assert kept > before + 200 and left < kept - 200
+
+
+def test_near_duplicates_release_between_steps(spark, monkeypatch):
+    from figmill.llm import common
+
+    calls = []
+    for module in (common, setsketch):
+        monkeypatch.setattr(module, "release", lambda s: calls.append(s))
+    rng = random.Random(6)
+    texts = [prose(rng, 60) for _ in range(20)]
+    got = setsketch.near_duplicates(docs_of(spark, [*texts, texts[0] + " more", texts[1]]).select("doc_id", "text")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] != r["component_id"]} == {20: 0, 21: 1}
+    assert len(calls) >= 6
