@@ -202,6 +202,7 @@ def sections(heads: DataFrame) -> DataFrame:
     Printed numbers are kept; other headings of a paper with numbers hang below the last
     one; a paper without numbers is numbered by the rank of its repeated font sizes, a
     level never jumping by more than one. A counter runs for every level down to a heading's own.
+    A single line larger than all repeated sizes (a journal's name) is no section.
     """
     number = F.regexp_extract("title", NUMBERED, 1)
     x = heads.withColumn("number", F.nullif(number, F.lit("")))
@@ -209,6 +210,7 @@ def sections(heads: DataFrame) -> DataFrame:
     x = x.withColumn("numbered_doc", F.count("number").over(p) >= 0.4 * F.count("*").over(p))
     x = x.withColumn("of_size", F.count("*").over(Window.partitionBy("paper_id", "size")))
     x = x.withColumn("any_repeat", F.max(F.col("of_size") >= 2).over(p)).withColumn("base", F.when((F.col("of_size") >= 2) | ~F.col("any_repeat"), F.col("size")))
+    x = x.withColumn("biggest", F.max("base").over(p)).filter("base IS NOT NULL OR size IS NULL OR biggest IS NULL OR size <= biggest")
     x = x.withColumn("level_of", F.when(F.col("base").isNotNull(), F.dense_rank().over(p.orderBy(F.desc_nulls_last("base")))).otherwise(1))
     order = p.orderBy("seq")
     x = x.withColumn("nth", F.row_number().over(order))

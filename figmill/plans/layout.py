@@ -148,11 +148,7 @@ def heading_groups(spark, sf):
     FROM (SELECT c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS seq FROM customer) WHERE n >= 6""")
 def section_levels(spark, sf):
     heads = _sql(spark, sf, "SELECT *, CASE WHEN seq % 3 = 0 AND c_nationkey % 2 = 0 THEN concat(CAST(seq DIV 3 + 1 AS STRING), ' Part of it') ELSE 'Plain part' END AS title, CASE WHEN seq % 3 = 0 THEN 14.0D ELSE 12.0D END AS size FROM (SELECT CAST(c_nationkey AS STRING) AS paper_id, c_nationkey, count(*) OVER (PARTITION BY c_nationkey) AS n, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS seq FROM {customer}) WHERE n >= 6", "customer")
-    even = layout.sections(heads.filter("c_nationkey % 2 = 0 AND seq % 3 = 0").unionByName(heads.filter("c_nationkey % 2 = 0 AND seq % 3 > 0 AND seq < 0")))
-    # papers with printed numbers keep only those here; the others are numbered from sizes
-    even_sub = heads.filter("c_nationkey % 2 = 0 AND seq % 3 > 0").select("paper_id", "seq", F.concat(F.lit("§"), F.expr("cast(seq div 3 + 1 as string)"), F.lit("."), (F.col("seq") % 3).cast("string")).alias("id"), F.lit(2).alias("level"))
-    odd = layout.sections(heads.filter("c_nationkey % 2 = 1"))
-    return even.select("paper_id", "seq", "id", "level").unionByName(even_sub).unionByName(odd.select("paper_id", "seq", "id", "level"))
+    return layout.sections(heads).select("paper_id", "seq", "id", "level")
 
 
 @query("section_mixed", """SELECT CAST(n_nationkey AS VARCHAR) AS paper_id, CAST(k AS INT) AS seq, (['§0.1', '§1', '§1.1', '§1.2', '§2.3', '§2.3.1', '§A', '§1#2'])[k] AS id FROM nation, range(1, 9) r(k)""")

@@ -258,3 +258,10 @@ def test_section_counters_follow_the_fold(spark):
             sid = "§" + ".".join(map(str, state))
             seen[sid] = seen.get(sid, 0) + 1
             assert got[p, i] == (sid if seen[sid] == 1 else f"{sid}#{seen[sid]}")
+
+
+def test_a_single_large_line_is_no_section(spark):
+    sizes = [30.0, 14.0, 12.0, 11.0, 12.0, 14.0, 12.0]
+    rows = [("p", i, "Loose", s) for i, s in enumerate(sizes)] + [("q", 0, "Loose", 30.0), ("q", 1, "Loose", 14.0)]
+    got = [tuple(r) for r in layout.sections(spark.createDataFrame(rows, "paper_id string, seq int, title string, size double")).select("paper_id", "seq", "id").orderBy("paper_id", "seq").collect()]
+    assert got == [("p", 1, "§1"), ("p", 2, "§1.1"), ("p", 3, "§2"), ("p", 4, "§2.1"), ("p", 5, "§3"), ("p", 6, "§3.1"), ("q", 0, "§1"), ("q", 1, "§1.1")]
