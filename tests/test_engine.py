@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from figmill.functions import exprs, kernels, text
-from figmill.operators import audit, flatten, layout, place, repair
-from figmill.schema import RECORD, json_schema
+from figmill.operators import audit, corpus, flatten, layout, place, repair
+from figmill.schema import KEYED_RECORD, RECORD, json_schema
 from figmill.sources import records as sources
 from figmill.streaming import ingest
 
@@ -265,3 +265,51 @@ def test_a_single_large_line_is_no_section(spark):
     rows = [("p", i, "Loose", s) for i, s in enumerate(sizes)] + [("q", 0, "Loose", 30.0), ("q", 1, "Loose", 14.0)]
     got = [tuple(r) for r in layout.sections(spark.createDataFrame(rows, "paper_id string, seq int, title string, size double")).select("paper_id", "seq", "id").orderBy("paper_id", "seq").collect()]
     assert got == [("p", 1, "§1"), ("p", 2, "§1.1"), ("p", 3, "§2"), ("p", 4, "§2.1"), ("p", 5, "§3"), ("p", 6, "§3.1"), ("q", 0, "§1"), ("q", 1, "§1.1")]
+
+
+def test_a_label_of_many_digits_is_no_part_of_the_title():
+    assert kernels.figure_title("Figure 12345. Rates of growth. Then") == "Rates of growth"
+    assert kernels.figure_title("Figure " + "1" * 5000 + ". Rates") == "Rates"
+
+
+def test_a_figure_map_leaves_nothing_out(spark):
+    group = lambda name, role, result="up", condition="5 mM": {"name": name, "role": role, "condition": condition, "n": "3", "readout": "OD", "result": result, "vs_control": "N/A"}
+    design = {"independent_var": "dose", "levels": ["low", "not_reported", "high"], "controlled": ["pH"], "unit": "well"}
+    stats = {"test": "t-test", "error_bar": "-", "replicates": "3", "significance": None}
+    panel = {"label": "A", "experiment": "Growth (24 h)", "design": design, "groups": [group("DMSO", "control"), group(None, "treatment"), group("-", "other", "not_reported"), group("N/A", "ablation", None, None)], "stats": stats, "finding": "grows", "evidence": {"inferred": ["groups[].n"]}}
+    bare = {"label": "-", "experiment": None, "design": {**design, "independent_var": "not_reported"}, "groups": [], "stats": stats, "finding": None, "evidence": None}
+    empty = {"label": "B", "experiment": None, "design": None, "groups": None, "stats": None, "finding": None, "evidence": None}
+    base = {"paper_id": "p", "figure_kind": "experiment", "caption": "Figure 1. Rates of growth. Then", "question": "why", "figure_conclusion": "it grows", "confidence": "low", "open_questions": ["what " + "x" * 50, "n/a"]}
+    rows = [{**base, "ord": 1, "figure_id": "Figure 1", "panels": [panel, bare, empty]}, {**base, "ord": 2, "figure_id": "Figure 2", "caption": None, "panels": [], "figure_kind": "schematic", "confidence": "high", "open_questions": []}, {**base, "ord": 3, "figure_id": None, "caption": None, "question": None, "panels": None, "figure_kind": None, "confidence": None, "open_questions": None, "figure_conclusion": None}]
+    records = spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", KEYED_RECORD).alias("r")).select("r.*")
+    got = {r["ord"]: r["doc"].split("\n") for r in corpus.figure_mermaid(records).collect()}
+    assert got[1] == [
+        "mindmap", "  ⚠ Figure 1 · Rates of growth", "    ❓ why", "    ⚠ Panel A · Growth （24 h）", "      🎚 自变量 dose", "        ○ DMSO · up", "        ● up", "        · 5 mM", "        ◆", "      ✅ grows",
+        "    （无内容）", "      🎚 自变量", "        水平 low", "        水平 high", "    Panel B ·", "      🎚 自变量", "        （未记录具体分组）",
+        "    ✅ it grows", "    ⚠ 待确认", "      推断 · Panel A · 含模型推断字段：groups［］.n", "      低置信 · 整图置信度自评为低", "      what " + "x" * 34 + "…",
+    ]
+    assert got[2] == ["mindmap", "  Figure 2 · why", "    📐 机制示意图（无实验分组）", "    ✅ it grows"]
+    assert got[3] == ["mindmap", "  （无内容）", "    无分组实验数据"]
+    deep = {r["ord"]: r["doc"].split("\n") for r in corpus.figure_mermaid(records, "result").collect()}[1]
+    assert deep[5:11] == ["        ○ DMSO", "          条件 5 mM", "          样本量 3", "          指标 OD", "          → up", "        ●"]
+    assert [x.strip() for x in deep[deep.index("        ◆") :][:10]] == ["◆", "样本量 3", "指标 OD", "设计水平 low、not_reported、high", "实验单位 well", "固定 pH", "统计检验 t-test", "重复 3", "✅ grows", "（无内容）"]
+    assert {r["ord"]: r["doc"] for r in corpus.figure_mermaid(records, "panel").collect()}[1].count("\n") == 7
+    with pytest.raises(ValueError):
+        corpus.figure_mermaid(records, "figure")
+
+
+def test_mermaid_lines_draws_groups_with_and_without_a_name(spark, sf_dir, tmp_path):
+    import duckdb
+
+    from figmill.plans import ORACLES, QUERIES
+
+    duck = duckdb.connect()
+    odd = "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ' Not_reported (a)' WHEN 2 THEN chr(160) || 'a' || chr(9) || chr(133) || '(b)|' || p_name ELSE p_name || repeat(' long', 9) END"
+    for t in ("region", "nation", "customer", "orders", "lineitem", "part"):
+        duck.sql(f"COPY (SELECT * {f'REPLACE ({odd} AS p_name)' if t == 'part' else ''} FROM '{sf_dir}/{t}.parquet' {'WHERE l_orderkey % 7 <> 0' if t == 'lineitem' else ''}) TO '{tmp_path}/{t}.parquet'")
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = {r["ord"]: r["doc"] for r in QUERIES["mermaid_lines"](spark, str(tmp_path)).collect()}
+    assert got == dict(duck.sql(f"SELECT ord, doc FROM ({ORACLES['mermaid_lines']})").fetchall())
+    drawn = sum(x.startswith("        ") for doc in got.values() for x in doc.split("\n"))
+    orders = "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey"
+    assert drawn == duck.sql(f"SELECT count(*) FROM ({orders}) LEFT JOIN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_orderkey = o_orderkey").fetchall()[0][0]
